@@ -34,6 +34,8 @@ CACHE = 700_000
 NOT_PLAIN = re.compile(r"[^\t-\r -~\xa1-ɏ]")
 #: A word that no plain text holds; chunks are encoded by the thousand with it in between.
 BETWEEN, JOINED = "☃", 2000
+#: Marks that end most chunks that aren't words.
+MARKS = ".,!?;:%$&*#"
 
 
 class ChunkTokenizer:
@@ -47,11 +49,30 @@ class ChunkTokenizer:
             raise ValueError("ids are held in 16 bits")
         self.size = self.library.get_vocab_size()
         self.chunks: dict[str, bytes] = {}
+        vocab = self.library.get_vocab()
+        self.ends_word = np.zeros(self.size, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.between = self.library.encode(f" {BETWEEN} ", add_special_tokens=False).ids
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, chunks: list[str], n: int) -> Iterator[bytes]:
+        """Ids of chunks of n words each (a word: letters, or marks); each word ends with a token that ends words."""
+        for i in range(0, len(chunks), JOINED):
+            ids = np.array(self.library.encode_batch_fast([" ".join(chunks[i : i + JOINED])], add_special_tokens=False)[0].ids, np.uint16)
+            ends, raw = (2 * np.flatnonzero(self.ends_word[ids])[n - 1 :: n] + 2).tolist(), ids.tobytes()
+            yield from (raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
+    def _add(self, new: set[str]) -> None:
+        words = list(filter(str.isalpha, new))
+        rest = new.difference(words)
+        marked = [c for c in rest if c.rstrip(MARKS).isalpha()]
+        other = list(rest.difference(marked))
+        self.chunks.update(zip(words, self._encode_words(words, 1), strict=True))
+        self.chunks.update(zip(marked, self._encode_words(marked, 2), strict=True))
+        self.chunks.update(zip(other, self._encode_chunks(other), strict=True))
+
     def _encode_chunks(self, chunks: list[str]) -> Iterator[bytes]:
         """Ids of plain chunks; the first id of BETWEEN starts with a byte that they don't have."""
         joined = [f" {BETWEEN} ".join(chunks[i : i + JOINED]) for i in range(0, len(chunks), JOINED)]
@@ -72,8 +93,7 @@ class ChunkTokenizer:
                     plain.append((i, text.lower().split()))
                 else:
                     whole.append(i)
-        new = list(set().union(*(c for _, c in plain)) - self.chunks.keys())
-        self.chunks.update(zip(new, self._encode_chunks(new), strict=True))
+        self._add(set().union(*(chunks for _, chunks in plain)).difference(self.chunks))
         for i, chunks in plain:
             out[i] = b"".join(map(self.chunks.__getitem__, chunks))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
@@ -97,6 +117,7 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         own, end = chunk_tokenizer(path), np.uint16(end_id).tobytes()
         seen = np.zeros(max(own.size, end_id + 1), np.int64)
+        last = np.zeros(len(seen), np.int32)
         for batch in it:
             cols: dict[str, list] = {k: [] for k in ("n", "crcs", "rest")}
             for raw in own.encode(batch.column("text").to_pylist()):
@@ -105,7 +126,9 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
                 cols["n"].append(len(ids))
                 cols["crcs"].append([crc32_ids(ids[i * window : (i + 1) * window]) for i in range(full)])
                 cols["rest"].append(ids[full * window :].tobytes())
-                seen[np.flatnonzero(np.bincount(ids, minlength=len(seen)))] += 1
+                places = np.arange(len(ids), dtype=np.int32)
+                last[ids] = places
+                seen[ids[last[ids] == places]] += 1  # each of the document's terms once
             yield {"term": pa.nulls(len(cols["n"]), pa.int32()), "df": pa.nulls(len(cols["n"]), pa.int64()), "row": batch.column("row"), "doc_id": batch.column("doc_id")} | cols
         terms = np.flatnonzero(seen)
         none = lambda kind: pa.nulls(len(terms), kind)
