@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import by_arrow, table, written
 
-WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS = 4096, 2, 1_500_000, 24
+WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS = 4096, 2, 1_000_000, 24
 K1, B = 1.2, 0.75
 #: Most chunks whose ids a worker remembers.
-CACHE = 700_000
+CACHE = 300_000
 #: Texts without these characters are cut at white space into chunks that are tokenised alone.
 NOT_PLAIN = re.compile(r"[^\t-\r -~\xa1-ɏ]")
 #: A word that no plain text holds; chunks are encoded by the thousand with it in between.
@@ -207,6 +207,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     frequencies = spark.sparkContext.broadcast(df)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        chunk_tokenizer.cache_clear()  # a worker that tokenised before holds its chunks no longer
         shard, rows = None, []
         for batch in it:
             for row in zip(*(batch.column(c).to_pylist() for c in ("shard", "row", "doc_id", "n", "crcs", "rest")), strict=True):
