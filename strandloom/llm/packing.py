@@ -29,7 +29,7 @@ from .common import by_arrow, table, written
 WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS = 4096, 2, 1_000_000, 24
 K1, B = 1.2, 0.75
 #: Most chunks whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 650_000
 #: Texts without these characters are cut at white space into chunks that are tokenised alone.
 NOT_PLAIN = re.compile(r"[^\t-\r -~\xa1-ɏ]")
 #: A word that no plain text holds; chunks are encoded by the thousand with it in between.
