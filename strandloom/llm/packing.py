@@ -14,6 +14,7 @@ length is whole; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from .common import by_arrow, table, written
 WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS = 4096, 2, 1_000_000, 24
 K1, B = 1.2, 0.75
 #: Most chunks whose ids a worker remembers.
-CACHE = 650_000
+CACHE = 900_000
 #: Texts without these characters are cut at white space into chunks that are tokenised alone.
 NOT_PLAIN = re.compile(r"[^\t-\r -~\xa1-ɏ]")
 #: A word that no plain text holds; chunks are encoded by the thousand with it in between.
@@ -42,6 +43,7 @@ class ChunkTokenizer:
     """Ids as uint16 bytes of whole texts; equal to the library's, by chunks between white space that are encoded once."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads would only spin
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
