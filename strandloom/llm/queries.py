@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, sharding, token_counts
+from . import language_id, near_dedup, packing, sharding, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_language_id": language_id.op2_language_id,
     "op4_shard_table": sharding.op4_shard_table,
     "op5_token_counts": token_counts.op5_token_counts,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
 }
 
 ORACLES = {
