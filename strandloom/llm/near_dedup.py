@@ -38,7 +38,7 @@ from .common import by_arrow, table, utf8, written
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 CHUNK, VALUE_BITS, MISS = 6, 16, 1e-5
 #: Classes of a block of step 2, and members that share one copy of a star's centre.
-BLOCK, FAN = 512, 256
+BLOCK, FAN = 1024, 256
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
