@@ -69,9 +69,19 @@ class ChunkTokenizer:
     def _add(self, new: set[str]) -> None:
         words = list(filter(str.isalpha, new))
         rest = new.difference(words)
-        marked = [c for c in rest if c.rstrip(MARKS).isalpha()]
-        other = list(rest.difference(marked))
+        marked, other = [], []
         self.chunks.update(zip(words, self._encode_words(words, 1), strict=True))
+        for c in rest:
+            if (word := c.rstrip(MARKS)).isalpha():
+                if word in self.chunks:
+                    marks = c[len(word) :]
+                    if marks not in self.chunks:
+                        self.chunks[marks] = self._encode([marks])[0]
+                    self.chunks[c] = self.chunks[word] + self.chunks[marks]
+                else:
+                    marked.append(c)
+            else:
+                other.append(c)
         self.chunks.update(zip(marked, self._encode_words(marked, 2), strict=True))
         self.chunks.update(zip(other, self._encode_chunks(other), strict=True))
 
