@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts may be very long, so that memory is held by few rows a batch.
-BATCH_ROWS = 512
+#: Bounds of an Arrow batch. Texts may be very long, so that bytes bound it too.
+BATCH_ROWS, BATCH_BYTES = 65536, 4 << 20
 _OWN_SCRATCH: list[str] = []
 
 
@@ -39,8 +39,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def by_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """mapInArrow with a function that yields dicts of columns; small batches bound the worker's memory."""
+    """mapInArrow with a function that yields dicts of columns; bounded batches bound the worker's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     target = arrow_schema(schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

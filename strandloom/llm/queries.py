@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, near_dedup, packing, sharding, token_counts
+from . import language_id, near_dedup, packing, repeats, sharding, token_counts
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_shard_table": sharding.op4_shard_table,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op9_repeats": repeats.op9_repeats,
 }
 
 ORACLES = {
