@@ -20,6 +20,7 @@ a null doc_id is kept; repeated rows are treated each; texts of any length are w
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,18 +32,26 @@ KEY, ROUNDS = "strandloom", 8
 #: Days of the permuted domain from 1900-01-01, 250 * 292.
 DAYS, DAY_LEFT, DAY_RIGHT = 73000, 250, 292
 
-MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
-SECRET = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])|(?<=(?:password|passwd|secret|token|api_key)=)[A-Za-z0-9]{8,64}"
-DATE = r"(?<![0-9./-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})(?![0-9/-])"
-ADDRESS = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
-SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9])|(?<![0-9])(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+#: Each takes its first character before it looks back, so that most places fail at once.
+MAIL = r"[A-Za-z0-9](?<![A-Za-z0-9._%+-].)[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}"
+SECRET = r"AKIA(?<![A-Za-z0-9]....)[0-9A-Z]{16}(?![A-Za-z0-9])|[0-9a-f](?<![A-Za-z0-9].)[0-9a-f]{31,63}(?![A-Za-z0-9])|[A-Za-z0-9](?<=(?:password|passwd|secret|token|api_key)=.)[A-Za-z0-9]{7,63}"
+DATE = r"[0-9](?<![0-9./-].)(?:(?<=1)9[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|(?<=2)0[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9](?:/[0-9]{2}/|\.[0-9]{2}\.)(?:19|20)[0-9]{2})(?![0-9/-])"
+ADDRESS = r"[0-9](?<![0-9.].)[0-9]{0,2}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
+SOCIAL = r"[0-9](?<![0-9-].)[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+PHONE = r"\+(?<![0-9+].)[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9])|\((?<![0-9].)[2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[2-9](?<![0-9].)[0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+CARD = r"[0-9](?<![0-9].)(?:[ -]?[0-9]){12,18}(?![0-9])"
+#: The form of a date that DATE has found.
+DATE_FORM = r"[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4}"
 #: Earlier ones win where several match at a place.
 KINDS = (MAIL, SECRET, DATE, ADDRESS, SOCIAL, PHONE, CARD)
 ANY = "|".join(KINDS)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: inside a higher-order function each mention would be computed anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def digest(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256)
 
@@ -66,12 +75,12 @@ def permuted_digits(digits: Column, tag: str, key: str = KEY) -> Column:
     rest = F.length(digits) - half
     n_left, n_right = (F.rpad(F.lit("1"), n + 1, "0").cast("long") for n in (half, rest))
     out = feistel(F.substring(digits, F.lit(1), half), F.substring(digits, half + 1, rest), n_left, n_right, tag, key)
-    return F.concat(F.lpad(out["l"].cast("string"), half, "0"), F.lpad(out["r"].cast("string"), rest, "0"))
+    return let(out, lambda o: F.concat(F.lpad(o["l"].cast("string"), half, "0"), F.lpad(o["r"].cast("string"), rest, "0")))
 
 
 def put_back(value: Column, digits: Column) -> Column:
     """value with its digits replaced one after the other."""
-    return F.array_join(F.transform(F.split(value, "[0-9]", -1), lambda between, i: F.concat(between, F.substring(digits, i + 1, F.lit(1)))), "")
+    return let(digits, lambda d: F.array_join(F.transform(F.split(value, "[0-9]", -1), lambda between, i: F.concat(between, F.substring(d, i + 1, F.lit(1)))), ""))
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -85,19 +94,24 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def card(value: Column, key: str = KEY) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
-    middle = permuted_digits(F.substring(digits, F.lit(2), n - 2), "card", key)
-    body = F.concat(F.substring(digits, 1, 1), middle)
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(luhn_sum(digits) % 10 == 0, put_back(value, F.concat(body, check.cast("string")))).otherwise(value)
+    def checked(body: Column) -> Column:
+        check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
+        return put_back(value, F.concat(body, check.cast("string")))
+
+    def new(digits: Column) -> Column:
+        middle = permuted_digits(F.substring(digits, F.lit(2), F.length(digits) - 2), "card", key)
+        return F.when(luhn_sum(digits) % 10 == 0, let(F.concat(F.substring(digits, 1, 1), middle), checked)).otherwise(value)
+
+    return let(F.regexp_replace(value, "[^0-9]", ""), new)
 
 
 def phone(value: Column, key: str = KEY) -> Column:
-    digits = F.regexp_replace(value, "[^0-9]", "")
-    n = F.length(digits)
-    new = F.concat(F.substring(digits, F.lit(1), n - 8), permuted_digits(F.substring(digits, n - 7, F.lit(8)), "phone", key))
-    return F.when(n.between(9, 15), put_back(value, new)).otherwise(value)
+    def new(digits: Column) -> Column:
+        n = F.length(digits)
+        moved = F.concat(F.substring(digits, F.lit(1), n - 8), permuted_digits(F.substring(digits, n - 7, F.lit(8)), "phone", key))
+        return F.when(n.between(9, 15), put_back(value, moved)).otherwise(value)
+
+    return let(F.regexp_replace(value, "[^0-9]", ""), new)
 
 
 def social(value: Column, key: str = KEY) -> Column:
@@ -107,7 +121,7 @@ def social(value: Column, key: str = KEY) -> Column:
 def address(value: Column, key: str = KEY) -> Column:
     o = [F.split_part(value, F.lit("."), F.lit(i)).cast("int") for i in range(1, 5)]
     out = feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), "address", key)
-    new = F.concat_ws(".", *[x.cast("string") for h in ("l", "r") for x in (F.floor(out[h] / 256).cast("int"), (out[h] % 256).cast("int"))])
+    new = let(out, lambda p: F.concat_ws(".", *[x.cast("string") for h in ("l", "r") for x in (F.floor(p[h] / 256).cast("int"), (p[h] % 256).cast("int"))]))
     return F.when((F.greatest(*o) <= 255) & ~value.rlike(r"(^|\.)0[0-9]"), new).otherwise(value)
 
 
@@ -116,7 +130,7 @@ def date(value: Column, key: str = KEY) -> Column:
         day = F.try_to_timestamp(value, F.lit(layout)).cast("date")
         number = F.datediff(day, F.lit("1900-01-01").cast("date"))
         out = feistel(F.floor(number / DAY_RIGHT), number % DAY_RIGHT, F.lit(DAY_LEFT), F.lit(DAY_RIGHT), "date", key)
-        new = F.date_add(F.lit("1900-01-01").cast("date"), (out["l"] * DAY_RIGHT + out["r"]).cast("int"))
+        new = let(out, lambda o: F.date_add(F.lit("1900-01-01").cast("date"), (o["l"] * DAY_RIGHT + o["r"]).cast("int")))
         return value.rlike(pattern) & number.between(0, DAYS - 1), F.date_format(new, layout)
 
     cases = [moved("^[0-9]{4}-", "yyyy-MM-dd"), moved("^[0-9]{4}/", "yyyy/MM/dd"), moved("^[0-9]{2}/", "MM/dd/yyyy"), moved(r"^[0-9]{2}\.", "dd.MM.yyyy")]
@@ -125,16 +139,17 @@ def date(value: Column, key: str = KEY) -> Column:
 
 def replaced_by_class(value: Column, tag: str, key: str = KEY, hexadecimal: bool = False) -> Column:
     """value (up to 128 characters) with each letter and digit replaced by another of its class, from a keyed digest."""
-    noise = F.concat(digest(key, tag, value), digest(key, tag, F.concat(value, F.lit("2"))))
     letters = "abcdef0123456789" if hexadecimal else "ghijklmnopqrstuv"
 
-    def one(i: Column) -> Column:
-        c, h = F.substring(value, i, F.lit(1)), F.substring(noise, i, F.lit(1))
+    def one(c: Column, h: Column) -> Column:
         digit = h if hexadecimal else F.translate(h, "abcdef", "012345")
         small = F.translate(h, "0123456789abcdef", letters)
         return F.when(c.rlike("[0-9]"), digit).when(c.rlike("[a-z]"), small).when(c.rlike("[A-Z]"), F.upper(small)).otherwise(c)
 
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), one), "")
+    def whole(noise: Column) -> Column:
+        return F.array_join(F.transform(F.split(value, "(?!^)(?!$)"), lambda c, i: one(c, F.substring(noise, i + 1, F.lit(1)))), "")
+
+    return let(F.concat(digest(key, tag, value), digest(key, tag, F.concat(value, F.lit("2")))), whole)
 
 
 def mail(value: Column, key: str = KEY) -> Column:
@@ -151,7 +166,7 @@ def secret(value: Column, key: str = KEY) -> Column:
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """The pseudonym of one match."""
     whole = lambda kind: value.rlike(f"^(?:{kind})$")
-    shape = [(value.contains("@"), mail(value, key)), (whole(DATE.replace("(?<![0-9./-])", "").replace("(?![0-9/-])", "")), date(value, key)), (whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), address(value, key)), (whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), social(value, key)), (whole(r"[0-9](?:[ -]?[0-9]){12,18}"), card(value, key)), (whole(r"[0-9+(][0-9 ().-]*"), phone(value, key))]
+    shape = [(value.contains("@"), mail(value, key)), (whole(DATE_FORM), date(value, key)), (whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), address(value, key)), (whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), social(value, key)), (whole(r"[0-9](?:[ -]?[0-9]){12,18}"), card(value, key)), (whole(r"[0-9+(][0-9 ().-]*"), phone(value, key))]
     return reduce(lambda rest, c: F.when(c[0], c[1]).otherwise(rest), reversed(shape), secret(value, key))
 
 
