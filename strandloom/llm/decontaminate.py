@@ -74,6 +74,13 @@ def best_stretch(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def may_match(item: str, text: str, most: int, width: int = 4) -> bool:
+    """False only if more than most edits part item from every stretch of text: each edit changes width of its grams at most."""
+    held = {text[i : i + width] for i in range(len(text) - width + 1)}
+    grams = len(item) - width + 1
+    return sum(item[i : i + width] in held for i in range(grams)) >= grams - width * most
+
+
 class Index:
     """Items of one block: classes by length, and for each class the filter, the walks and the keys of its items."""
 
@@ -173,7 +180,10 @@ class Index:
                         continue
                     text, most = self.items[item][1], int(self.ratio * self.lengths[item])
                     begin = max(0, start - most)
-                    distance, end = best_stretch(text, texts[doc][begin : start + len(text) + most])
+                    around = texts[doc][begin : start + len(text) + most]
+                    if not may_match(text, around, most):
+                        continue
+                    distance, end = best_stretch(text, around)
                     if distance <= most:
                         found[doc, item] = (distance, start, begin + end)
         for (doc, item), (distance, low, high) in found.items():
