@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, near_dedup, packing, pii, repeats, sharding, token_counts
+import corpus_pipeline
+
+from . import decontaminate, language_id, near_dedup, packing, pii, quality_lines, repeats, sharding, token_counts, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,8 +13,11 @@ QUERIES = {
     "op4_shard_table": sharding.op4_shard_table,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_near_dedup": near_dedup.op6_near_dedup,
+    "op7_quality": quality_lines.op7_quality,
     "op8_pii": pii.op8_pii,
     "op9_repeats": repeats.op9_repeats,
+    "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
