@@ -28,7 +28,7 @@ from .common import by_arrow, crc_mod, table
 
 ORDER, BITS = 5, 12
 #: Bounds of the model and of the fold that calibrates it.
-MAX_NGRAMS, FOLD_ROWS, FOLD = 1_200_000, 4000, 40
+MAX_NGRAMS, FOLD_ROWS, FOLD_CHARS, FOLD = 600_000, 2000, 200_000, 40
 #: Texts of fewer letters than this are never rejected for their cross-entropy.
 MIN_LETTERS = 24
 CHUNK = 400_000
@@ -202,7 +202,7 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
 
 def train(rows: DataFrame, id_column: str = "doc_id", max_ngrams: int = MAX_NGRAMS, fold_rows: int = FOLD_ROWS) -> Model:
     """A model of rows (id, text, lang). A fortieth of them, by a hash of the id, is held back for calibration, of which
-    at most fold_rows are used."""
+    at most fold_rows (of up to FOLD_CHARS characters) are used."""
     rows = rows.where(f"{id_column} is not null and lang is not null and text is not null").withColumn("__fold", F.pmod(F.xxhash64(F.col(id_column), F.lit("fold")), F.lit(FOLD)))
     counted = ngram_counts(rows.where("__fold > 0")).persist()
     # the least count a language's n-grams must have for all to fit, from a histogram of a few rows a language
@@ -219,16 +219,18 @@ def train(rows: DataFrame, id_column: str = "doc_id", max_ngrams: int = MAX_NGRA
     kept = F.lit(False)
     for lang in langs:
         kept |= (F.col("lang") == lang) & (level >= least[lang])
-    model_rows, tables = counted.where(kept).select("lang", "gram", "n").toPandas().sort_values("gram"), []
-    for lang in langs:
-        own = model_rows[model_rows.lang == lang]
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") if langs else F.lit(0)
+    model_rows, tables = counted.where(kept).select(number.alias("lang"), "gram", "n").toPandas().sort_values("gram"), []
+    for i in range(len(langs)):
+        own = model_rows[model_rows.lang == i + 1]
         tables.append((own.gram.to_numpy(np.int64), own.n.to_numpy(np.int64)))
+    del model_rows
     counted.unpersist()
     filled = [i for i, (k, _) in enumerate(tables) if len(k)]
     if not filled:
         return Model([])
     model = kneser_ney([langs[i] for i in filled], [tables[i] for i in filled])
-    fold = rows.where("__fold = 0").orderBy(F.xxhash64(id_column), id_column).limit(fold_rows).select("lang", "text").toPandas()
+    fold = rows.where("__fold = 0").where(F.length("text") <= FOLD_CHARS).orderBy(F.xxhash64(id_column), id_column).limit(fold_rows).select("lang", "text").toPandas()
     return calibrate(model, fold.text.tolist(), fold.lang.tolist())
 
 
@@ -239,7 +241,8 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
     model.most = np.full(len(model.langs), np.inf)
     if not known:
         return model
-    entropy, letters = model.cross_entropy([texts[i] for i in known])
+    parts = [model.cross_entropy([texts[i] for i in known[a : a + 100]]) for a in range(0, len(known), 100)]
+    entropy, letters = (np.concatenate(x) for x in zip(*parts, strict=True))
     truth = np.array([model.langs.index(langs[i]) for i in known])
     used = letters > 0
     entropy, truth, letters = entropy[used], truth[used], letters[used]
