@@ -1,4 +1,291 @@
-"""The registered queries and their SQL."""
+"""The registered queries on the provided tables, and the same in SQL for DuckDB.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Texts stand in for DNA (functions.sequences.dna). Documents are long reads; conversations are short ones, on which the queries
+that order whole routes run.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import sequences as S
+from ..operators import graph as G
+from ..operators.lineage import cut
+
+TAG = F.concat(F.lit("t"), F.col("read_id").cast("string"))
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def long_reads(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), S.dna(F.col("text")).alias("seq"))
+
+
+def short_reads(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), S.dna(F.col("text")).alias("seq"))
+
+
+def _kmers(spark: SparkSession, d: str) -> DataFrame:
+    return G.oriented(G.kmers(G.filtered(short_reads(spark, d))))
+
+
+def _built(reads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    used = G.filtered(reads)
+    nodes = G.nodes_grid(used)
+    return used, nodes, G.steps(used, G.hits(used, nodes))
+
+
+def _linked(spark: SparkSession, d: str, reads=long_reads) -> tuple[DataFrame, DataFrame, DataFrame]:
+    _, nodes, walked = _built(reads(spark, d))
+    walked = cut(walked)
+    return walked, nodes, G.tail_targets(G.tails(walked), nodes)
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    return G.route_positions(_built(short_reads(spark, d))[2])
+
+
+def _ends(spark: SparkSession, d: str, tail: str, side_of_f: str) -> DataFrame:
+    walked, nodes, targets = _linked(spark, d, short_reads)
+    side = F.when(F.col("dir") == side_of_f[0], side_of_f[1]).otherwise("P" if side_of_f[1] == "S" else "S")
+    at = G.route_positions(walked).select("smer", "dir", "node_pos", side.alias("side"), F.col(tail).alias("bases"))
+    open_tails = targets.select("smer", "side", "bases", "idx", "linked")
+    out = at.join(open_tails, ["smer", "side", "bases"], "left").where("bases = '' or linked = 0")
+    return out.select("smer", "dir", "node_pos", F.coalesce("idx", F.lit(0)).alias("idx"))
+
+
+def _read_walks(spark: SparkSession, d: str) -> DataFrame:
+    placed = cut(_positions(spark, d))
+    longest = placed.agg(F.max("ord") + 2).first()[0] or 2
+    return G.walks(placed, longest)
+
+
+def _walk_tags(spark: SparkSession, d: str) -> DataFrame:
+    """Tags lie at the last step of their read, by node and position."""
+    placed = _positions(spark, d)
+    last = placed.groupBy("read_id").agg(F.max("ord").alias("ord"))
+    return placed.join(last, ["read_id", "ord"]).select("smer", "dir", "node_pos", TAG.alias("tag"))
+
+
+def _node_stats(spark: SparkSession, d: str) -> DataFrame:
+    walked = cut(_built(long_reads(spark, d))[2])
+    held = G.tails(walked).groupBy("smer").agg(F.sum((F.col("side") == "P").cast("long")).alias("prefix_tails"), F.sum((F.col("side") == "S").cast("long")).alias("suffix_tails"))
+    n = lambda d: F.sum(F.when(F.col("dir") == d, F.col("width")).otherwise(0))
+    ways = G.routes(walked).groupBy("smer").agg(F.count("*").alias("ways"), n("F").alias("forward_routes"), n("R").alias("reverse_routes"))
+    return ways.join(held, "smer", "left").select("smer", "ways", "forward_routes", "reverse_routes", F.coalesce("prefix_tails", F.lit(0)).alias("prefix_tails"), F.coalesce("suffix_tails", F.lit(0)).alias("suffix_tails"))
+
+
+def _limited(spark: SparkSession, d: str, limit: int = 20) -> DataFrame:
+    ways = G.routes(_built(long_reads(spark, d))[2])
+    lists = ways.groupBy("smer").agg(F.sum("width").alias("total"), F.count("*").alias("ways"))
+    return lists.select("smer", "total", F.when(F.col("total") <= limit, F.col("ways")).otherwise(-1).alias("shown"))
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    nodes = G.nodes_grid(G.filtered(long_reads(spark, d)))
+    asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("read_id"), S.dna(F.col("text")).alias("seq"))
+    return G.hits(G.filtered(asked), nodes).select("read_id", "pos", "smer", "dir")
+
+
+def _sequence_index(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), "source")
+    return G.fragments(long_reads(spark, d)).join(docs, "read_id").select("source", F.col("read_id").alias("sequence"), "fragment_id", "start_pos", "end_pos")
+
+
+def _quality(spark: SparkSession, d: str) -> DataFrame:
+    """Short reads with made-up qualities: the code of a base is 33 plus four times its number."""
+    return short_reads(spark, d).withColumn("qual", F.translate("seq", "ACGT", "!%)-"))
+
+
+def _fastq(spark: SparkSession, d: str) -> DataFrame:
+    q = _quality(spark, d)
+    return q.select("read_id", F.concat(F.lit("@r"), F.col("read_id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"), F.lit("\n")).alias("record"))
+
+
+def _histogram(spark: SparkSession, d: str) -> DataFrame:
+    codes = _quality(spark, d).select(F.explode(S.quality_ints(F.col("qual"))).alias("q"))
+    return codes.groupBy("q").agg(F.count("*").alias("n"))
+
+
+def _phred(spark: SparkSession, d: str) -> DataFrame:
+    h = _histogram(spark, d).select((F.col("q") + 33).alias("code"), "n")
+    n = lambda a, b: F.coalesce(F.sum(F.when(F.col("code").between(a, b), F.col("n"))), F.lit(0))
+    both = h.agg(n(33, 58).alias("low"), n(80, 104).alias("high"))
+    return both.select("low", "high", F.when((F.col("low") > 0) & (F.col("high") == 0), 33).when((F.col("high") > 0) & (F.col("low") == 0), 64).otherwise(0).alias("offset"))
+
+
+def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    import uuid
+
+    from ..graph import Graph
+    from .scratch import folder
+
+    path = f"{folder(spark)}/graph-{uuid.uuid4().hex}"
+    Graph.build(long_reads(spark, d)).save(path)
+    return Graph.load(spark, path).routes
+
+
+QUERIES = {
+    "seq_reads": lambda s, d: long_reads(s, d).select("read_id", "seq", F.length("seq").alias("len")),
+    "seq_reads_filtered": lambda s, d: G.filtered(short_reads(s, d)).select("read_id", "seq", "m"),
+    "fasta_runs": lambda s, d: G.acgt_runs(_table(s, d, "documents").select("doc_id", F.translate("text", "acgt", "ACGT").alias("text")), "doc_id", "text", 2),
+    "fasta_fragments": lambda s, d: G.fragments(long_reads(s, d)),
+    "kmers": lambda s, d: _kmers(s, d).select("read_id", "pos", "kmer"),
+    "canonical_kmers": lambda s, d: _kmers(s, d).groupBy("smer").agg(F.count("*").alias("n")),
+    "kmer_orientation": lambda s, d: _kmers(s, d).groupBy("read_id").agg(F.sum(F.col("rc").cast("long")).alias("reversed"), F.count("*").alias("n")),
+    "kmer_both_strands": lambda s, d: _kmers(s, d).select("read_id", "pos", F.explode(F.array("kmer", S.revcomp(F.col("kmer")))).alias("strand")),
+    "smer_pack": lambda s, d: G.nodes_grid(G.filtered(short_reads(s, d))).select("smer", S.pack(F.col("smer")).alias("smer_id")),
+    "smer_unpack": lambda s, d: G.nodes_grid(G.filtered(short_reads(s, d))).select(S.unpack(S.pack(F.col("smer"))).alias("smer")),
+    "revcomp": lambda s, d: short_reads(s, d).select("read_id", S.revcomp(F.col("seq")).alias("rc")),
+    "nodes_grid": lambda s, d: G.nodes_grid(G.filtered(long_reads(s, d))),
+    "node_count": lambda s, d: G.nodes_grid(G.filtered(long_reads(s, d))).agg(F.count("*").alias("n")),
+    "node_path_counts": lambda s, d: (lambda u: G.hits(u, G.nodes_grid(u)).groupBy("smer").agg(F.count("*").alias("n")))(G.filtered(long_reads(s, d))),
+    "nodes_sequential": lambda s, d: G.nodes_sequential(G.filtered(short_reads(s, d))),
+    "nodes_rounds": lambda s, d: G.nodes_rounds(G.filtered(short_reads(s, d))),
+    "read_hits": lambda s, d: (lambda u: G.hits(u, G.nodes_grid(u)).select("read_id", "ord", "pos", "smer", "dir"))(G.filtered(long_reads(s, d))),
+    "hit_gaps": lambda s, d: (lambda u: G.gaps(G.hits(u, G.nodes_grid(u))).groupBy("gap").agg(F.count("*").alias("n")))(G.filtered(long_reads(s, d))),
+    "max_gap_check": lambda s, d: (lambda u: G.gaps(G.hits(u, G.nodes_grid(u))).agg(F.max("gap").alias("max_gap")))(G.filtered(long_reads(s, d))),
+    "steps": lambda s, d: _built(long_reads(s, d))[2],
+    "tails": lambda s, d: G.tails(_built(long_reads(s, d))[2]),
+    "tail_targets": lambda s, d: _linked(s, d)[2],
+    "dangling_tails": lambda s, d: _linked(s, d)[2].where("linked = 0").select("smer", "side", "bases"),
+    "edges": lambda s, d: G.edges(_linked(s, d)[2]),
+    "edge_widths": lambda s, d: (lambda w, n, t: G.edge_widths(G.edges(t), G.widths(w)))(*_linked(s, d)),
+    "edge_symmetry_check": lambda s, d: (lambda w, n, t: G.edge_widths(G.edges(t), G.widths(w)).agg(F.count("*").alias("n_edges"), F.sum((~F.col("agrees")).cast("long")).alias("violations")))(*_linked(s, d)),
+    "routes_agg": lambda s, d: G.routes(_built(long_reads(s, d))[2]),
+    "total_routes": lambda s, d: G.routes(_built(long_reads(s, d))[2]).groupBy("smer").agg(F.sum("width").alias("total")),
+    "node_stats": _node_stats,
+    "route_positions": lambda s, d: _positions(s, d).select("read_id", "ord", "smer", "dir", "node_pos", "up_pos", "down_pos"),
+    "route_runs": lambda s, d: G.route_runs(_positions(s, d)),
+    "sequence_starts": lambda s, d: _ends(s, d, "up_tail", "FP"),
+    "sequence_ends": lambda s, d: _ends(s, d, "down_tail", "FS"),
+    "linked_smers_flat": lambda s, d: (lambda w, n, t: t.join(G.widths(w), ["smer", "side", "bases"]).select("smer", "side", "idx", "bases", "target", "linked", "forward", "reverse"))(*_linked(s, d)),
+    "linked_smer_limited": _limited,
+    "read_walks": lambda s, d: _read_walks(s, d).select("seq"),
+    "read_walk_tags": _walk_tags,
+    "tag_lookup": lambda s, d: _walk_tags(s, d).where("tag like '%1'"),
+    "sequence_index": _sequence_index,
+    "sequence_index_summary": lambda s, d: _sequence_index(s, d).groupBy("source").agg(F.countDistinct("sequence").alias("sequences"), F.count("*").alias("fragments"), F.max("end_pos").alias("longest")),
+    "map_reads_to_nodes": _mapped,
+    "fastq_text": _fastq,
+    "quality_ints": lambda s, d: _quality(s, d).select("read_id", F.array_join(S.quality_ints(F.col("qual")).cast("array<string>"), ",").alias("q")),
+    "quality_histogram": _histogram,
+    "phred_offset": _phred,
+    "graph_roundtrip": _roundtrip,
+}
+
+_RC = "reverse(translate({0}, 'ACGT', 'TGCA'))".format
+_DNA = "translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+_SHORT, _LONG = ("conv_id * 1000 + turn", "conversations"), ("doc_id", "documents")
+
+
+def _sql(select: str, source: tuple[str, str] = _LONG) -> str:
+    """The tables of the graph as common table expressions (only those that the query names are computed)."""
+    return f"""
+WITH reads AS (SELECT {source[0]} AS read_id, {_DNA} AS seq FROM {source[1]}),
+r AS (SELECT read_id, seq, length(seq) - 23 AS m FROM reads WHERE length(seq) >= 40 AND NOT contains(seq, 'N')),
+places AS (SELECT read_id, m, unnest(range(0, m + 1)) AS pos FROM r),
+k AS (SELECT p.read_id, p.m, p.pos, substr(r.seq, p.pos + 1, 23) AS kmer FROM places p JOIN r ON p.read_id = r.read_id),
+c AS (SELECT *, least(kmer, {_RC("kmer")}) AS smer, kmer > {_RC("kmer")} AS rc FROM k),
+n AS (SELECT DISTINCT smer FROM c WHERE (pos > 0 AND pos % 23 = 0) OR (m < 23 AND pos = m // 2)),
+h AS (SELECT read_id, m, pos, smer, CASE WHEN rc THEN 'R' ELSE 'F' END AS dir, row_number() OVER (PARTITION BY read_id ORDER BY pos) - 1 AS ord,
+      coalesce(lag(pos) OVER (PARTITION BY read_id ORDER BY pos), 0) AS a, coalesce(lead(pos) OVER (PARTITION BY read_id ORDER BY pos), m) AS b
+      FROM c WHERE smer IN (SELECT smer FROM n)),
+g AS (SELECT read_id, pos - a AS gap FROM h UNION ALL SELECT read_id, max(m) - max(pos) FROM h GROUP BY read_id),
+st AS (SELECT h.read_id, ord, pos, smer, dir, {_RC("substr(seq, a + 1, pos - a)")} AS up_tail, substr(seq, pos + 24, b - pos) AS down_tail FROM h JOIN r ON h.read_id = r.read_id),
+en AS (SELECT smer, dir, CASE WHEN dir = 'F' THEN 'P' ELSE 'S' END AS side, up_tail AS bases FROM st
+       UNION ALL SELECT smer, dir, CASE WHEN dir = 'F' THEN 'S' ELSE 'P' END, down_tail FROM st),
+tl AS (SELECT smer, side, row_number() OVER (PARTITION BY smer, side ORDER BY length(bases), bases) AS idx, length(bases) AS len, bases
+       FROM (SELECT DISTINCT smer, side, bases FROM en WHERE bases <> '')),
+tp AS (SELECT *, CASE WHEN side = 'S' THEN smer ELSE {_RC("smer")} END || bases AS path FROM tl),
+tq AS (SELECT *, right(path, 23) AS t, {_RC("right(path, 23)")} AS u FROM tp),
+tt AS (SELECT smer, side, idx, len, bases, path, least(t, u) AS target,
+       CASE WHEN least(t, u) NOT IN (SELECT smer FROM n) THEN 0 WHEN (side = 'S') = (t < u) THEN 1 ELSE -1 END AS linked FROM tq),
+ed AS (SELECT smer, side, idx, bases, target, linked, CASE WHEN left({_RC("path")}, 23) = target THEN 'S' ELSE 'P' END AS far_side,
+       substr({_RC("path")}, 24, length(bases)) AS far_bases FROM tt WHERE linked <> 0),
+wd AS (SELECT smer, side, bases, count(*) FILTER (dir = 'F') AS forward, count(*) FILTER (dir = 'R') AS reverse FROM en WHERE bases <> '' GROUP BY ALL),
+ew AS (SELECT ed.smer, ed.side, ed.bases, ed.target, linked, x.forward, x.reverse, coalesce(CASE WHEN linked > 0 THEN x.forward = y.forward AND x.reverse = y.reverse
+       ELSE x.forward = y.reverse AND x.reverse = y.forward END, false) AS agrees
+       FROM ed JOIN wd x ON (ed.smer, ed.side, ed.bases) = (x.smer, x.side, x.bases) LEFT JOIN wd y ON (ed.target, ed.far_side, ed.far_bases) = (y.smer, y.side, y.bases)),
+ro AS (SELECT smer, dir, up_tail, down_tail, count(*) AS width FROM st GROUP BY ALL),
+ky AS (SELECT *, list(up_tail) OVER (PARTITION BY read_id ORDER BY ord DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hist,
+       list(down_tail) OVER (PARTITION BY read_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fut FROM st),
+po AS (SELECT read_id, ord, smer, dir, up_tail, down_tail, row_number() OVER (PARTITION BY smer, dir ORDER BY hist, fut, read_id, ord) - 1 AS node_pos,
+       row_number() OVER (PARTITION BY smer, dir, up_tail ORDER BY hist, fut, read_id, ord) - 1 AS up_pos,
+       row_number() OVER (PARTITION BY smer, dir, down_tail ORDER BY hist, fut, read_id, ord) - 1 AS down_pos FROM ky),
+ch AS (SELECT *, CASE WHEN up_tail IS DISTINCT FROM lag(up_tail) OVER w OR down_tail IS DISTINCT FROM lag(down_tail) OVER w THEN 1 ELSE 0 END AS new FROM po WINDOW w AS (PARTITION BY smer, dir ORDER BY node_pos)),
+ru AS (SELECT *, sum(new) OVER (PARTITION BY smer, dir ORDER BY node_pos) - 1 AS run FROM ch),
+fr AS (SELECT read_id, i AS fragment_id, i * 1000 AS start_pos, least(l, i * 1000 + 1050) AS end_pos FROM
+       (SELECT read_id, length(seq) AS l, unnest(range(0, greatest(0, CAST(floor((length(seq) - 50) / 1000.0) AS BIGINT)) + 1)) AS i FROM reads WHERE length(seq) >= 40)),
+qu AS (SELECT read_id, seq, translate(seq, 'ACGT', '!%)-') AS qual FROM reads),
+qc AS (SELECT unnest(string_split(qual, '')) AS ch FROM qu WHERE qual <> ''),
+qh AS (SELECT ascii(ch) - 33 AS q, count(*) AS n FROM qc GROUP BY ALL)
+{select}"""
+
+
+def _sql_ends(tail: str, forward_side: str) -> str:
+    other = "P" if forward_side == "S" else "S"
+    return _sql(f"SELECT po.smer, po.dir, node_pos, coalesce(idx, 0) AS idx FROM po LEFT JOIN tt ON po.smer = tt.smer AND tt.bases = po.{tail} AND tt.side = CASE WHEN dir = 'F' THEN '{forward_side}' ELSE '{other}' END WHERE po.{tail} = '' OR linked = 0", _SHORT)
+
+
+_INDEX = "SELECT source, read_id AS sequence, fragment_id, start_pos, end_pos FROM fr JOIN documents ON read_id = doc_id"
+_TAGS = "SELECT smer, dir, node_pos, 't' || po.read_id AS tag FROM po JOIN (SELECT read_id, max(ord) AS ord FROM po GROUP BY read_id) l ON (po.read_id, po.ord) = (l.read_id, l.ord)"
+
+ORACLES = {
+    "seq_reads": _sql("SELECT read_id, seq, length(seq) AS len FROM reads"),
+    "seq_reads_filtered": _sql("SELECT read_id, seq, m FROM r", _SHORT),
+    "fasta_runs": """
+WITH p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(translate(text, 'acgt', 'ACGT'), '[\\r\\n]', '', 'g'), '[^ACGT]')) AS run,
+  unnest(range(0, len(string_split_regex(regexp_replace(translate(text, 'acgt', 'ACGT'), '[\\r\\n]', '', 'g'), '[^ACGT]')))) AS i FROM documents),
+q AS (SELECT doc_id, coalesce(sum(length(run) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_pos, length(run) AS len FROM p)
+SELECT * FROM q WHERE len >= 2""",
+    "fasta_fragments": _sql("SELECT * FROM fr"),
+    "kmers": _sql("SELECT read_id, pos, kmer FROM k", _SHORT),
+    "canonical_kmers": _sql("SELECT smer, count(*) AS n FROM c GROUP BY smer", _SHORT),
+    "kmer_orientation": _sql("SELECT read_id, count(*) FILTER (rc) AS reversed, count(*) AS n FROM c GROUP BY read_id", _SHORT),
+    "kmer_both_strands": _sql(f"SELECT read_id, pos, kmer AS strand FROM k UNION ALL SELECT read_id, pos, {_RC('kmer')} FROM k", _SHORT),
+    "smer_pack": _sql("SELECT smer, list_sum(list_transform(range(0, 23), lambda i: (strpos('ACGT', substr(smer, i + 1, 1)) - 1)::BIGINT << (2 * (22 - i))::BIGINT))::BIGINT AS smer_id FROM n", _SHORT),
+    "smer_unpack": _sql("SELECT smer FROM n", _SHORT),
+    "revcomp": _sql(f"SELECT read_id, {_RC('seq')} AS rc FROM reads", _SHORT),
+    "nodes_grid": _sql("SELECT smer FROM n"),
+    "node_count": _sql("SELECT count(*) AS n FROM n"),
+    "node_path_counts": _sql("SELECT smer, count(*) AS n FROM h GROUP BY smer"),
+    "read_hits": _sql("SELECT read_id, ord, pos, smer, dir FROM h"),
+    "hit_gaps": _sql("SELECT gap, count(*) AS n FROM g GROUP BY gap"),
+    "max_gap_check": _sql("SELECT max(gap) AS max_gap FROM g"),
+    "steps": _sql("SELECT * FROM st"),
+    "tails": _sql("SELECT * FROM tl"),
+    "tail_targets": _sql("SELECT smer, side, idx, len, bases, target, linked FROM tt"),
+    "dangling_tails": _sql("SELECT smer, side, bases FROM tt WHERE linked = 0"),
+    "edges": _sql("SELECT * FROM ed"),
+    "edge_widths": _sql("SELECT * FROM ew"),
+    "edge_symmetry_check": _sql("SELECT count(*) AS n_edges, count(*) FILTER (NOT agrees) AS violations FROM ew"),
+    "routes_agg": _sql("SELECT * FROM ro"),
+    "total_routes": _sql("SELECT smer, sum(width)::BIGINT AS total FROM ro GROUP BY smer"),
+    "node_stats": _sql("""SELECT w.smer, ways, forward_routes, reverse_routes, coalesce(prefix_tails, 0) AS prefix_tails, coalesce(suffix_tails, 0) AS suffix_tails
+FROM (SELECT smer, count(*) AS ways, coalesce(sum(width) FILTER (dir = 'F'), 0)::BIGINT AS forward_routes, coalesce(sum(width) FILTER (dir = 'R'), 0)::BIGINT AS reverse_routes FROM ro GROUP BY smer) w
+LEFT JOIN (SELECT smer, count(*) FILTER (side = 'P') AS prefix_tails, count(*) FILTER (side = 'S') AS suffix_tails FROM tl GROUP BY smer) t ON w.smer = t.smer"""),
+    "route_positions": _sql("SELECT read_id, ord, smer, dir, node_pos, up_pos, down_pos FROM po", _SHORT),
+    "route_runs": _sql("SELECT smer, dir, run::BIGINT AS run, up_tail, down_tail, count(*) AS width FROM ru GROUP BY ALL", _SHORT),
+    "sequence_starts": _sql_ends("up_tail", "P"),
+    "sequence_ends": _sql_ends("down_tail", "S"),
+    "linked_smers_flat": _sql("SELECT tt.smer, tt.side, idx, tt.bases, target, linked, forward, reverse FROM tt JOIN wd ON (tt.smer, tt.side, tt.bases) = (wd.smer, wd.side, wd.bases)"),
+    "linked_smer_limited": _sql("SELECT smer, sum(width)::BIGINT AS total, CASE WHEN sum(width) <= 20 THEN count(*) ELSE -1 END AS shown FROM ro GROUP BY smer"),
+    "read_walks": _sql("SELECT seq FROM r", _SHORT),
+    "read_walk_tags": _sql(_TAGS, _SHORT),
+    "tag_lookup": _sql(f"SELECT * FROM ({_TAGS}) WHERE tag LIKE '%1'", _SHORT),
+    "sequence_index": _sql(_INDEX),
+    "sequence_index_summary": _sql(f"SELECT source, count(DISTINCT sequence) AS sequences, count(*) AS fragments, max(end_pos) AS longest FROM ({_INDEX}) GROUP BY source"),
+    "map_reads_to_nodes": _sql(f"""SELECT read_id, pos, smer, CASE WHEN kmer = smer THEN 'F' ELSE 'R' END AS dir FROM (
+  SELECT read_id, pos, substr(q, pos + 1, 23) AS kmer, least(substr(q, pos + 1, 23), {_RC("substr(q, pos + 1, 23)")}) AS smer
+  FROM (SELECT item_id AS read_id, q, unnest(range(0, length(q) - 22)) AS pos FROM (SELECT item_id, {_DNA} AS q FROM benchmark) WHERE length(q) >= 40)) WHERE smer IN (SELECT smer FROM n)"""),
+    "fastq_text": _sql("SELECT read_id, '@r' || read_id || chr(10) || seq || chr(10) || '+' || chr(10) || qual || chr(10) AS record FROM qu", _SHORT),
+    "quality_ints": _sql("SELECT read_id, CASE WHEN qual = '' THEN '' ELSE list_aggregate(list_transform(string_split(qual, ''), lambda x: ascii(x) - 33), 'string_agg', ',') END AS q FROM qu", _SHORT),
+    "quality_histogram": _sql("SELECT q, n FROM qh", _SHORT),
+    "phred_offset": _sql("""SELECT low, high, CASE WHEN low > 0 AND high = 0 THEN 33 WHEN high > 0 AND low = 0 THEN 64 ELSE 0 END AS "offset" FROM (
+  SELECT coalesce(sum(n) FILTER (q + 33 BETWEEN 33 AND 58), 0)::BIGINT AS low, coalesce(sum(n) FILTER (q + 33 BETWEEN 80 AND 104), 0)::BIGINT AS high FROM qh)""", _SHORT),
+    "graph_roundtrip": _sql("SELECT * FROM ro"),
+}

@@ -1,0 +1,16 @@
+"""The folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+_OWN: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="strandloom-"))
+    return shared or _OWN[0]
