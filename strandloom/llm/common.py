@@ -70,3 +70,14 @@ def crc_mod(column: str, n: int) -> F.Column:
 
 def crc_of(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
+
+
+def first_by_hash(ids: DataFrame, rows: int) -> DataFrame:
+    """At most `rows` rows of ids (doc_id, ...), the first by a hash of the id; a table small enough to broadcast."""
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
+def texts_of(docs: DataFrame, some: DataFrame):
+    """The rows of a bounded sample (doc_id, ...) with their texts, as pandas; docs are not shuffled."""
+    rows = docs.where("text is not null").selectExpr("cast(doc_id as long) doc_id", "text")
+    return rows.join(F.broadcast(some), "doc_id").toPandas().sort_values("doc_id", kind="stable")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_arrow, crc_mod, table
+from .common import by_arrow, crc_mod, first_by_hash, table, texts_of
 
 ORDER, BITS = 5, 12
 #: Bounds of the model and of the fold that calibrates it.
@@ -230,7 +230,8 @@ def train(rows: DataFrame, id_column: str = "doc_id", max_ngrams: int = MAX_NGRA
     if not filled:
         return Model([])
     model = kneser_ney([langs[i] for i in filled], [tables[i] for i in filled])
-    fold = rows.where("__fold = 0").where(F.length("text") <= FOLD_CHARS).orderBy(F.xxhash64(id_column), id_column).limit(fold_rows).select("lang", "text").toPandas()
+    ids = rows.where("__fold = 0").where(F.length("text") <= FOLD_CHARS).select(F.col(id_column).cast("long").alias("doc_id"), "lang")
+    fold = texts_of(rows.select(F.col(id_column).alias("doc_id"), "text"), first_by_hash(ids, fold_rows))
     return calibrate(model, fold.text.tolist(), fold.lang.tolist())
 
 

@@ -20,9 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import by_arrow, table, utf8
+from .common import by_arrow, first_by_hash, table, texts_of, utf8
 from .repeats import mixed, rolled
 
 TRAIN_ROWS, TRAIN_LINES, SHARE = 2000, 100, 0.5
@@ -149,7 +148,7 @@ class Field:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Field | None:
     """The field of at most `rows` labelled texts (by a hash of the id); None if there are no two kinds."""
     known = labels.where("quality is not null and doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "quality")
-    used = docs.where("text is not null").selectExpr("cast(doc_id as long) doc_id", "text").join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toPandas()
+    used = texts_of(docs, first_by_hash(known, rows))
     if used.quality.nunique() < 2:
         return None
     owner, _, features, _ = lines_of([t.encode() for t in used.text])

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_arrow, crc_mod, table
+from .common import by_arrow, crc_mod, first_by_hash, table, texts_of
 
 DEPTH, DECAY, LONGEST, LETTERS = 3, 0.6, 20, 32
-TRAIN_ROWS, LANDMARKS, ROUNDS, THRESHOLD = 20_000, 160, 4, 0.3
+TRAIN_ROWS, LANDMARKS, ROUNDS, THRESHOLD = 4500, 160, 4, 0.3
 CACHE = 600_000
 SINGLE = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 LETTER_RUN = re.compile(r"[^\W\d_]+")
@@ -179,7 +179,7 @@ def train_machine(texts: list[str], toxic: np.ndarray) -> Machine | None:
         # what clean texts have about as often is no witness
         positive = [w for w in seen if good[w] * n_toxic < 0.2 * seen[w] * n_clean and bad[w] >= often] or [w for w in marks if good[w] == 0] or marks
         rows = positive + negatives
-        x = vectors(rows) @ v.T @ whiten
+        x = np.concatenate([vectors(rows[a : a + 200]) @ v.T for a in range(0, len(rows), 200)]) @ whiten
         y = np.r_[np.ones(len(positive)), -np.ones(len(negatives))]
         cost = np.r_[[seen[w] for w in positive], np.ones(len(negatives))].astype(float)
         cost[y > 0] /= max(cost[y > 0].sum(), 1e-9)
@@ -221,17 +221,15 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine | None:
     """A machine of at most `rows` labelled rows (by a hash of the id)."""
     known = labels.where("toxic is not null and doc_id is not null").selectExpr("cast(doc_id as long) doc_id", "toxic")
-    used = docs.where("text is not null").selectExpr("cast(doc_id as long) doc_id", "text").join(known, "doc_id")
-    # as many toxic rows as clean ones at most: toxic rows are rare
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    some = used.where("toxic = 1").orderBy(*order).limit(rows // 8).unionByName(used.where("toxic = 0").orderBy(*order).limit(rows // 4))
-    frame = some.toPandas()
+    # toxic rows are rare: up to a third of the rows used
+    some = first_by_hash(known.where("toxic = 1"), rows // 3).unionByName(first_by_hash(known.where("toxic = 0"), rows - rows // 3))
+    frame = texts_of(docs, some)
     if frame.toxic.nunique() < 2:
         return None
     machine = train_machine(frame.text.tolist(), frame.toxic.to_numpy() == 1)
     if machine is not None:
         # the share of toxic rows among all labelled ones, not among those used
-        share = used.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+        share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
         held = frame.toxic.mean()
         machine.offset += float(np.log(share / (1 - share)) - np.log(held / (1 - held)))
     return machine
@@ -253,5 +251,6 @@ def scored(docs: DataFrame, machine: Machine | None, threshold: float = THRESHOL
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = scored(docs, train(docs.where(crc_mod("doc_id", 4) != 2), table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2)
+    out = scored(docs, train(docs, labels))
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
