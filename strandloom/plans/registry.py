@@ -13,9 +13,6 @@ from ..functions import sequences as S
 from ..operators import graph as G
 from ..operators.lineage import cut
 
-TAG = F.concat(F.lit("t"), F.col("read_id").cast("string"))
-
-
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -67,7 +64,7 @@ def _walk_tags(spark: SparkSession, d: str) -> DataFrame:
     """Tags lie at the last step of their read, by node and position."""
     placed = _positions(spark, d)
     last = placed.groupBy("read_id").agg(F.max("ord").alias("ord"))
-    return placed.join(last, ["read_id", "ord"]).select("smer", "dir", "node_pos", TAG.alias("tag"))
+    return placed.join(last, ["read_id", "ord"]).select("smer", "dir", "node_pos", F.concat(F.lit("t"), F.col("read_id").cast("string")).alias("tag"))
 
 
 def _node_stats(spark: SparkSession, d: str) -> DataFrame:
