@@ -255,7 +255,7 @@ def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
     model.temperature = min([1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0], key=loss)
     for i in range(len(model.langs)):
         own = entropy[(truth == i) & (entropy.argmin(1) == i) & (letters >= MIN_LETTERS), i]
-        if len(own) >= 20:
+        if len(own) >= 5:
             high = np.quantile(own, 0.999)
             model.most[i] = high + max(high - np.median(own), 0.5)
     return model

@@ -169,6 +169,8 @@ def repeated_words(texts: list[list[bytes]]) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), sizes)
     key = mixed(rolled(mixed(words), WIDTH))
     inside = np.flatnonzero(owner[: len(key)] == owner[WIDTH - 1 :])
+    if not len(inside):
+        return out
     key = key[inside] ^ mixed(owner[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     order = np.argsort(key)
     same = key[order[1:]] == key[order[:-1]]
