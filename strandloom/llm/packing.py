@@ -136,7 +136,8 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
                 ids = np.frombuffer(raw + end, np.uint16)
                 full = len(ids) // window
                 cols["n"].append(len(ids))
-                cols["crcs"].append([crc32_ids(ids[i * window : (i + 1) * window]) for i in range(full)])
+                wide = ids[: full * window].astype("<u4")
+                cols["crcs"].append([zlib.crc32(wide[i * window : (i + 1) * window]) for i in range(full)])
                 cols["rest"].append(ids[full * window :].tobytes())
                 places = np.arange(len(ids), dtype=np.int32)
                 last[ids] = places
@@ -208,7 +209,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), gapless in each sequence; with_ids: and
     the ids of pieces that share a window (uint16 bytes; a window that one document fills alone has its own ids null)."""
     spark = docs.sparkSession
-    made = written(tokenised(docs, path, window, end_id), "tokenised")
+    made = written(tokenised(docs, path, window, end_id), "tokenised", "snappy")
     stats = made.where("n is not null").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.length("rest") / 2), F.lit(0)).alias("rest")).first()
     # at most one row per id of the vocabulary
     counts = made.where("term is not null").groupBy("term").agg(F.sum("df").alias("df")).collect()
