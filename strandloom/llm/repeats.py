@@ -248,7 +248,7 @@ def last_digit(runs: DataFrame) -> DataFrame:
         held, before = 0, None
         for batch in it:
             for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "doc", "start", "bytes")), strict=True):
-                if row[0] != before and held > SEGMENT // 2 or held > SEGMENT:
+                if row[0] != before and held > SEGMENT // 2:  # a gram's runs stay together: COLD bounds them
                     yield repeated(group)
                     group, held = [], 0
                 before = row[0]

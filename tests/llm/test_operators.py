@@ -252,6 +252,19 @@ def test_repeats(spark, docs, cold, monkeypatch):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
 
 
+def test_runs_of_one_gram_meet(spark):
+    """As many runs as a cold gram may hold, after half a segment of another gram's in the same task."""
+    rng = random.Random(6)
+    size = repeats.WINDOW + 76
+    gram = spark.range(1, 100).where("pmod(hash(id), 4) = pmod(hash(0L), 4)").first().id
+    other = repeats.SEGMENT // 2 // size
+    rows = [(0, i, rng.randbytes(size)) for i in range(other)] + [(gram, i, rng.randbytes(size)) for i in range(other, other + repeats.COLD)]
+    last = rows[-1][1]
+    rows[-1] = (gram, last, rows[other][2][:150] + rng.randbytes(size - 150))
+    found = spark.createDataFrame([(g, d, 0, bytearray(b)) for g, d, b in rows], "gram long, doc long, start long, bytes binary")
+    assert [tuple(r) for r in repeats.last_digit(found).collect()] == [(last, 0, 150)]
+
+
 def test_segments_of_long_texts(spark, monkeypatch):
     text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(5000))
     monkeypatch.setattr(repeats, "SEGMENT", 700)
