@@ -1,9 +1,12 @@
 """Lexical retrieval packing: documents are packed with the neighbours that a sharded BM25 index returns for them.
 
 1. Every text is tokenised once. Windows of the full length that one document fills alone are cut off at once; what is left of it
-   (under one window) goes on, with its ids, to a shard. Shards are dealt by a hash of the row, so that neither a hot
-   source nor a group of copies gathers in one, and their number follows the total of tokens: a shard's size is bounded.
+   (under one window) goes on, with its ids, to a shard.
 2. Document frequencies of all terms (token ids, so that the table is bounded by the vocabulary) are counted over all documents.
+   A rest's key is three of its terms, drawn with odds by BM25 weight from the same random numbers in all rests, so that
+   rests that share their heaviest terms are likely to share a key. Shards are filled with rests in order of the first
+   term; a term of more tokens than a shard holds is spread over several by the whole key, and a key of more than a
+   quarter of a shard (copies) by the row. So a shard's size is bounded, and the number of shards follows the tokens.
 3. Each shard builds an inverted index of its rests. The first unused rest is a seed: its terms of highest weight query the
    index, BM25 ranks the unused neighbours, and these fill the seed's window greedily. The last is cut at the window's
    end and its remainder starts the next window. So only the last window of a shard is padded.
@@ -29,6 +32,9 @@ from .common import by_arrow, table, written
 
 WINDOW, END_ID, SHARD_TOKENS, QUERY_TERMS = 4096, 2, 1_000_000, 24
 K1, B = 1.2, 0.75
+#: Bits of a term in a key, terms in a key, power of the weight in the odds, a fixed number for each term.
+TERM, KEY_TERMS, SHARPNESS = 16, 3, 4
+LOT = -np.log(1 - np.random.default_rng(7).random(1 << TERM))
 #: Most chunks whose ids a worker remembers.
 CACHE = 900_000
 #: Texts without these characters are cut at white space into chunks that are tokenised alone.
@@ -151,17 +157,68 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = EN
     return by_arrow(rows, run, "term int, df long, row long, doc_id long, n long, crcs array<long>, rest binary")
 
 
-def retrieval_order(rests: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, window: int, n_terms: int = QUERY_TERMS) -> list[list[tuple[int, int, int]]]:
-    """Windows as lists of (rest, start in it, length). An inverted index over the shard's rests, with the statistics of all
-    documents, ranks the unused neighbours of each seed."""
+def weights_of(rests: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rest, term and BM25 weight of each term of each rest, in order of (rest, term)."""
     n = len(rests)
     sizes = np.array([len(r) for r in rests], np.int64)
-    # (rest, term) -> frequency, then sorted by term: the postings
     owner = np.repeat(np.arange(n), sizes)
     pair, tf = np.unique(owner << 20 | np.concatenate(rests).astype(np.int64), return_counts=True) if n else (np.empty(0, np.int64), np.empty(0, np.int64))
     doc, term = pair >> 20, pair & (1 << 20) - 1
     idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean, 1)))
+    return doc, term, idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(mean, 1)))
+
+
+def lexical_keys(rests: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float) -> np.ndarray:
+    """The key of each rest (none is empty): its KEY_TERMS terms of the least lot, the first one uppermost."""
+    out = np.zeros(len(rests), np.int64)
+    if not len(rests):
+        return out
+    doc, term, weight = weights_of(rests, df, n_docs, mean)
+    lot, begins = LOT[term] / np.maximum(weight, 1e-9) ** SHARPNESS, np.searchsorted(doc, np.arange(len(rests)))
+    for _ in range(KEY_TERMS):
+        least = np.flatnonzero(lot == np.minimum.reduceat(lot, begins)[doc])
+        least = least[np.r_[True, doc[least[1:]] != doc[least[:-1]]]]
+        out = out << TERM | np.where(np.isfinite(lot[least]), term[least], 0)
+        lot[least] = np.inf
+    return out
+
+
+def dealt_by_key(keyed: DataFrame, shard_tokens: int) -> DataFrame:
+    """keyed(key, row, rest, ...) with a shard: see 2. above."""
+    spark, size = keyed.sparkSession, F.sum(F.greatest(F.length("rest") / 2, F.lit(1.0)))
+    sums = keyed.groupBy("key").agg(size.alias("size"))
+    # at most four rows a shard, and a row per id of the vocabulary
+    keys = {r.key: r.size for r in sums.where(F.col("size") > shard_tokens / 4).collect()}
+    terms = {r.term: r.size for r in sums.where(F.col("size") <= shard_tokens / 4).groupBy(F.shiftright("key", TERM * (KEY_TERMS - 1)).alias("term")).agg(F.sum("size").alias("size")).collect()}
+    if sum(keys.values()) + sum(terms.values()) <= shard_tokens * 1.5:
+        return keyed.withColumn("shard", F.lit(0).cast("long"))
+    shard, held = 0, 0.0
+
+    def place(size: float) -> tuple[int, int]:
+        """The first shard and the number of shards of a group; small groups share one."""
+        nonlocal shard, held
+        if held and held + size > shard_tokens:
+            shard, held = shard + 1, 0.0
+        n = max(1, -int(-size // shard_tokens))
+        first, shard, held = shard, shard + n - 1, held + size if n == 1 else float(shard_tokens)
+        return first, n
+
+    by_term = [(t, *place(terms[t])) for t in sorted(terms)]
+    by_key = [(k, *place(keys[k])) for k in sorted(keys)]
+    one = F.broadcast(spark.createDataFrame(by_term, "term long, term_first long, term_n long"))
+    two = F.broadcast(spark.createDataFrame(by_key, "key long, key_first long, key_n long"))
+    out = keyed.withColumn("term", F.shiftright("key", TERM * (KEY_TERMS - 1))).join(one, "term", "left").join(two, "key", "left")
+    own = F.col("key_first") + F.pmod(F.xxhash64("row"), F.col("key_n"))
+    return out.withColumn("shard", F.coalesce(own, F.col("term_first") + F.pmod(F.xxhash64("key"), F.col("term_n")))).select("shard", *keyed.columns)
+
+
+def retrieval_order(rests: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, window: int, n_terms: int = QUERY_TERMS) -> list[list[tuple[int, int, int]]]:
+    """Windows as lists of (rest, start in it, length). An inverted index over the shard's rests, with the statistics of all
+    documents, ranks the unused neighbours of each seed."""
+    n = len(rests)
+    sizes = np.array([len(r) for r in rests], np.int64)
+    # (rest, term) -> weight, then sorted by term: the postings
+    doc, term, weight = weights_of(rests, df, n_docs, mean)
     ends = np.searchsorted(doc, np.arange(n + 1))
     by_term = np.argsort(term, kind="stable")
     post_doc, post_weight = doc[by_term], weight[by_term].astype(np.float32)
@@ -216,7 +273,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     df = np.zeros(max([r.term for r in counts], default=0) + 1, np.int64)
     for r in counts:
         df[r.term] = r.df
-    n_docs, mean, n_shards = stats.docs, stats.rest / max(stats.docs, 1), max(1, round(stats.rest / shard_tokens))
+    n_docs, mean = stats.docs, stats.rest / max(stats.docs, 1)
     frequencies = spark.sparkContext.broadcast(df)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -259,7 +316,19 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     from .common import arrow_schema
 
     arrow_names = arrow_schema(SCHEMA)
-    dealt = made.where("n is not null").select(F.pmod(F.xxhash64("row"), F.lit(n_shards)).alias("shard"), "row", "doc_id", "n", "crcs", "rest")
+    fields = ("row", "doc_id", "n", "crcs", "rest")
+
+    def keyed(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            rests = [np.frombuffer(r, np.uint16) for r in batch.column("rest").to_pylist()]
+            key, some = np.zeros(len(rests), np.int64), [i for i, r in enumerate(rests) if len(r)]
+            key[some] = lexical_keys([rests[i] for i in some], frequencies.value, n_docs, mean)
+            none = np.array([not len(r) for r in rests], bool)  # no term: any key, so that no shard gets all
+            key[none] = batch.column("row").to_numpy()[none] * 2654435761 % (1 << TERM * KEY_TERMS)
+            yield {"key": key} | {c: batch.column(c) for c in fields}
+
+    with_keys = written(by_arrow(made.where("n is not null").select(*fields), keyed, "key long, row long, doc_id long, n long, crcs array<long>, rest binary"), "keyed", "snappy")
+    dealt = dealt_by_key(with_keys, shard_tokens).select("shard", *fields)
     out = by_arrow(dealt.repartition("shard").sortWithinPartitions("shard", "row"), run, SCHEMA)
     return out if with_ids else out.drop("ids")
 

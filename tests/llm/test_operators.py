@@ -89,6 +89,21 @@ def test_neighbours_come_first():
     assert all(len({x % 3 for x, _, _ in window}) == 1 for window in out)
 
 
+def test_neighbours_share_a_shard(spark):
+    """Groups of related documents among many shards, and copies that fill more than a shard."""
+    rng = random.Random(8)
+    vocab = sorted({w for t in pd.read_parquet(f"{SF}/documents.parquet").text[:100] for w in re.findall("[a-z]{5,}", t)})
+    rng.shuffle(vocab)
+    topics = [vocab[8 * i : 8 * i + 8] for i in range(40)]
+    texts = [" ".join(rng.choices(topics[i % 40], k=60)) for i in range(400)] + [" ".join(vocab[320:420])] * 200
+    rows = packing.pack(frame(spark, texts), WORD, window=512, shard_tokens=4000).toPandas()
+    shard = (rows.sequence_id.to_numpy() >> 32)[np.argsort(rows.doc_id.to_numpy(), kind="stable")[np.unique(np.sort(rows.doc_id), return_index=True)[1]]]
+    assert len(shard) == 600 and len(set(shard)) > 8
+    pairs = [(i, j) for i in range(400) for j in range(i % 40, i, 40)]
+    assert np.mean([shard[i] == shard[j] for i, j in pairs]) > 0.5
+    assert rows.groupby(rows.sequence_id // 2**32).length.sum().max() < 12_000 and len(set(shard[400:])) > 2
+
+
 def test_language(spark):
     docs = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
     known = spark.createDataFrame(docs[["doc_id", "text", "lang"]])
