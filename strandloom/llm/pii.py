@@ -11,7 +11,8 @@ equal values stay equal in all documents and different ones different, without a
 
 Mail addresses and secrets (access keys, long hexadecimal tokens, values of password= and the like) have no such domain;
 their letters and digits are replaced, class by class, from a keyed digest of the value, which links equal values too.
-What fails its validation stays as it is. Texts without a digit or @ aren't searched.
+Telephone and card numbers end before a space and another value; of groups of digits that fail as a card, the longest run
+of whole groups that is a valid one is replaced. What else fails its validation stays as it is. Texts without a digit or @ aren't searched.
 
 Edge cases: a null text stays null with 0 replaced, an empty one empty; equal values in one text are replaced alike;
 a null doc_id is kept; repeated rows are treated each; texts of any length are whole; an empty table gives no rows;
@@ -38,8 +39,12 @@ SECRET = r"AKIA(?<![A-Za-z0-9]....)[0-9A-Z]{16}(?![A-Za-z0-9])|[0-9a-f](?<![A-Za
 DATE = r"[0-9](?<![0-9./-].)(?:(?<=1)9[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|(?<=2)0[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}|[0-9](?:/[0-9]{2}/|\.[0-9]{2}\.)(?:19|20)[0-9]{2})(?![0-9/-])"
 ADDRESS = r"[0-9](?<![0-9.].)[0-9]{0,2}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 SOCIAL = r"[0-9](?<![0-9-].)[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"\+(?<![0-9+].)[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})){2,5}(?![0-9])|\((?<![0-9].)[2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[2-9](?<![0-9].)[0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
-CARD = r"[0-9](?<![0-9].)(?:[ -]?[0-9]){12,18}(?![0-9])"
+#: A space before a value of its own, which a telephone or card number does not run into.
+OTHER = r"(?! (?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])|[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|(?:19|20)[0-9]{2}[-/][0-9]{2}[-/][0-9]{2}(?![0-9])|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2}(?![0-9])|(?:[2-9][0-9]{2}[.-]|\([2-9][0-9]{2}\) ?)[0-9]{3}[.-][0-9]{4}(?![0-9])|[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{1,4}(?![0-9])))"
+GROUP = r"[ .-]?(?:\([0-9]{1,4}\)|[0-9]{2,4})"
+PHONE = rf"\+(?<![0-9+].)[0-9]{{1,3}}{GROUP}(?:{OTHER}{GROUP}){{1,4}}(?![0-9])|" r"\((?<![0-9].)[2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|[2-9](?<![0-9].)[0-9]{2}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+CARD_OTHER = OTHER[: OTHER.rindex("|[0-9]{4}[ -]")] + "))"  # a card's own groups are no other value
+CARD = rf"[0-9](?<![0-9].)(?:{CARD_OTHER}[ -]?[0-9]){{12,18}}(?![0-9])"
 #: The form of a date that DATE has found.
 DATE_FORM = r"[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}([./])[0-9]{2}\2[0-9]{4}"
 #: Earlier ones win where several match at a place.
@@ -105,6 +110,21 @@ def card(value: Column, key: str = KEY) -> Column:
     return let(F.regexp_replace(value, "[^0-9]", ""), new)
 
 
+def card_within(value: Column, key: str = KEY) -> Column:
+    """value with its card number replaced: all of it, or the longest run of whole groups that is valid."""
+
+    def spans(groups: Column) -> Column:
+        n = F.size(groups)
+        before = lambda i: F.length(F.array_join(F.slice(groups, F.lit(1), i - 1), " ")) + F.when(i > 1, 1).otherwise(0)
+        span = lambda i, j: F.struct(F.length(F.array_join(F.slice(groups, i, j - i + 1), "")).alias("digits"), (-i).alias("i"), (before(i) + 1).alias("start"), F.length(F.array_join(F.slice(groups, i, j - i + 1), " ")).alias("n"))
+        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: span(i, j))))
+
+    part = lambda s: F.substring(value, s["start"], s["n"])
+    valid = F.filter(spans(F.split(value, "[ -]")), lambda s: (s["digits"] >= 13) & (luhn_sum(F.regexp_replace(part(s), "[^0-9]", "")) % 10 == 0))
+    put = lambda s: F.concat(F.substring(value, F.lit(1), s["start"] - 1), card(part(s), key), F.substring(value, s["start"] + s["n"], F.length(value)))
+    return F.coalesce(let(F.array_max(valid), put), value)
+
+
 def phone(value: Column, key: str = KEY) -> Column:
     def new(digits: Column) -> Column:
         n = F.length(digits)
@@ -166,7 +186,7 @@ def secret(value: Column, key: str = KEY) -> Column:
 def pseudonym(value: Column, key: str = KEY) -> Column:
     """The pseudonym of one match."""
     whole = lambda kind: value.rlike(f"^(?:{kind})$")
-    shape = [(value.contains("@"), mail(value, key)), (whole(DATE_FORM), date(value, key)), (whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), address(value, key)), (whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), social(value, key)), (whole(r"[0-9](?:[ -]?[0-9]){12,18}"), card(value, key)), (whole(r"[0-9+(][0-9 ().-]*"), phone(value, key))]
+    shape = [(value.contains("@"), mail(value, key)), (whole(DATE_FORM), date(value, key)), (whole(r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"), address(value, key)), (whole(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), social(value, key)), (whole(r"[0-9](?:[ -]?[0-9]){12,18}"), card_within(value, key)), (whole(r"[0-9+(][0-9 ().-]*"), phone(value, key))]
     return reduce(lambda rest, c: F.when(c[0], c[1]).otherwise(rest), reversed(shape), secret(value, key))
 
 

@@ -243,6 +243,17 @@ def test_pseudonyms(spark):
     assert (got[6].text, got[6].n_replaced, got[7].text, got[8].n_replaced) == (None, 0, "", 0)
 
 
+def test_adjacent_values(spark):
+    card_number, phone, address = "4111 1111 1111 1111", "+1 (826) 555-4081", "190.137.223.204"
+    texts = [f"{phone} {address}", f"{phone} 456-555-2186", f"{phone} 123-45-6789", f"{phone} {card_number}", f"{card_number} 123", f"12 {card_number}", f"{card_number} 123-45-6789", f"{card_number} {address}", card_number]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts)).collect()}
+    alone = got[8].text
+    for i, t in enumerate(texts):
+        assert not any(v in got[i].text for v in ("555-4081", "555-2186", "45-6789", address, card_number)), (t, got[i].text)
+    assert (got[4].text, got[5].text) == (f"{alone} 123", f"12 {alone}") and got[6].text.startswith(f"{alone} ")
+    assert [got[i].n_replaced for i in range(9)] == [2, 2, 2, 2, 1, 1, 2, 2, 1]
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(1000).selectExpr("lpad(cast(id as string), 3, '0') d")
     got = {r[0] for r in df.select(pii.permuted_digits(df.d, "t")).collect()}
