@@ -5,14 +5,19 @@ smallest doc_id stands for them. Each class has a signature of k MinHash values
 signatures is the number of differing values. The signature is split into m chunks. If two signatures differ in at
 most r = 2m - 1 values, some chunk differs in at most one (pigeonhole); so each chunk is entered once for every
 value left out, and the signatures that share an entry hold all pairs within distance r. k is chosen so that a pair at the
-threshold shares no entry with a probability of under MISS.
+threshold shares no entry with a probability of under MISS; step 3 passes over pairs whose signatures differ in more
+values than a pair at the threshold does with a probability of MISS.
 
 Candidates are never listed as all pairs of an entry:
 1. each entry links its smallest class with each other one (a star); these pairs are confirmed on whole texts, and
    the confirmed ones joined to components;
-2. entries of three and more classes that still hold different components are settled exactly: their texts meet in
-   blocks of bounded size, in which only classes of different components are compared, so what a star can't tell
-   (two classes alike that are both unlike the centre) is found too.
+2. of the classes in entries that still hold different components, those go that can have no link to another of them: if a
+   class has a shingles and u of them in no other open class, it shares at most a - u with any, which is too few
+   where a - u is under the threshold times a. What goes may make others go, so this is repeated while it helps;
+3. what is still open is settled exactly. Members of one component need no comparison, so only the classes outside an entry's
+   largest component (its rest) ask: they are dealt into blocks, the entry's members into slabs, and each block meets
+   each slab in a task, which holds the block and reads the slab row by row. Rows grow with the members, times the
+   blocks of the rest. So two classes alike that are both unlike the centre are found too.
 Components come from repeated contraction to the smallest neighbour.
 
 Edge cases: null and empty texts (and those of white space only) have the empty set and are linked with nothing; a text
@@ -33,12 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_arrow, table, utf8, written
+from .common import by_arrow, dropped, table, utf8, written
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 CHUNK, VALUE_BITS, MISS = 6, 16, 1e-5
-#: Classes of a block of step 2, and members that share one copy of a star's centre.
-BLOCK, FAN = 1024, 256
+#: Asking classes of a block and members of a slab of step 3, and members that share one copy of a star's centre.
+BLOCK, SLAB, FAN = 1024, 16384, 256
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,6 +54,15 @@ def chunks_for(threshold: float) -> int:
     return max(1, math.ceil(math.log(MISS) / math.log(one)))
 
 
+def most_apart(threshold: float, n_values: int) -> int:
+    """The distance that a pair at the threshold exceeds with a probability under MISS."""
+    p, term, tail, k = 1 - threshold, threshold**n_values, 1.0, 0
+    while (tail := tail - term) > MISS:
+        term *= (n_values - k) / (k + 1) * p / (1 - p)
+        k += 1
+    return k
+
+
 def shingle_set(text: bytes | None, width: int) -> frozenset[bytes]:
     """The exact set, as byte strings of the shingles."""
     words = WORDS.findall(text.translate(LOWER)) if text else []
@@ -183,62 +197,76 @@ def alike(x: frozenset, y: frozenset, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def settled_blocks(open_entries: DataFrame, signatures: DataFrame, texts: DataFrame, width: int, num: int, den: int, most_apart: int) -> DataFrame:
-    """Links between classes of one entry that aren't in one component yet. An entry's classes are dealt into blocks, and
-    each pair of blocks meets in a task; two classes are compared in the first entry that they share only."""
-    sizes = open_entries.groupBy("entry").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = open_entries.join(sizes, "entry").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = placed.select("entry", "nth", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
-    rows = met.join(signatures, "node").join(texts, "node")
-    fields = ("entry", "low", "high", "nth", "node", "component", "block", "signature", "text")
+def settled(open_entries: DataFrame, signatures: DataFrame, texts: DataFrame, width: int, num: int, den: int, apart: int) -> DataFrame:
+    """Links between classes of one entry that aren't in one component yet (step 3). Two classes are compared in the first
+    entry that they share only."""
+    sizes = open_entries.groupBy("entry", "component").agg(F.count("*").alias("n")).groupBy("entry").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"))
+    parts = sizes.select("entry", F.col("top.component").alias("main"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / SLAB).cast("int").alias("slabs"))
+    placed = open_entries.join(parts, "entry").withColumn("rest", F.col("component") != F.col("main"))
+    dealt = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    none = F.array().cast("array<int>")
+    # a class of the rest asks in each slab; every member answers in each block
+    cells = F.concat(F.when(F.col("rest"), F.transform(every("slabs"), lambda s: F.struct(dealt("blocks", "block").alias("block"), s.alias("slab"), F.lit(0).alias("member")))).otherwise(F.transform(none, lambda s: F.struct(s.alias("block"), s.alias("slab"), s.alias("member")))), F.transform(every("blocks"), lambda b: F.struct(b.alias("block"), dealt("slabs", "slab").alias("slab"), F.lit(1).alias("member"))))
+    info = signatures.join(texts, "node").join(open_entries.select("node").distinct(), "node", "left_semi")
+    met = placed.select("entry", "nth", "node", "component", "rest", F.explode(cells).alias("cell")).select("entry", "cell.block", "cell.slab", "cell.member", "rest", "nth", "node", "component")
+    fields = ("entry", "block", "slab", "member", "rest", "nth", "node", "component", "signature", "text")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        sets = SetCache(width)
-        at, group = None, []
+        sets, cell, block = SetCache(width), None, None
         for batch in it:
+            found: dict[str, list] = {"a": [], "b": []}
             for row in zip(*[batch.column(c).to_pylist() for c in fields[:-1]], utf8(batch.column("text")), strict=True):
-                if at != row[:3] and group:
-                    yield links(group, sets)
-                    group = []
-                at = row[:3]
-                group.append(row)
-        if group:
-            yield links(group, sets)
-
-    def links(group: list[tuple], sets: SetCache) -> dict:
-        found: dict[str, list] = {"a": [], "b": []}
-        label = {g[5]: g[5] for g in group}
-
-        def root(c: int) -> int:
-            while label[c] != c:
-                label[c] = c = label[label[c]]
-            return c
-
-        _, low, high, nth, *_ = group[0]
-        values = np.frombuffer(b"".join(g[7] for g in group), np.uint16).reshape(len(group), -1, CHUNK)
-        component, block = (np.array([g[i] for g in group], np.int64) for i in (5, 6))
-        for i in range(1, len(group)):
-            ask = np.flatnonzero((component[:i] != component[i]) & ((block[:i] != block[i]) | (low == high)))
-            if not len(ask):
-                continue
-            differ = values[ask] != values[i]
-            in_chunk = differ.sum(2)
-            first = (in_chunk <= 1).argmax(1)
-            at_first = np.arange(len(ask))
-            shared = first * CHUNK + np.where(in_chunk[at_first, first] == 1, differ[at_first, first].argmax(1), 0)
-            for j in ask[(in_chunk.sum(1) <= most_apart) & (shared == nth)]:
-                (x, own_x, text_x), (y, own_y, text_y) = ((group[k][4], group[k][5], group[k][8]) for k in (i, j))
-                if root(own_x) != root(own_y) and alike(sets.of(x, text_x), sets.of(y, text_y), num, den):
-                    found["a"].append(x)
-                    found["b"].append(y)
-                    label[root(own_x)] = root(own_y)
-        return found
-
-    ordered = rows.select(*fields).repartition("entry", "low", "high").sortWithinPartitions("entry", "low", "high", "node")
+                if cell != row[:3]:
+                    cell, block = row[:3], Block(sets, num, den, apart)
+                if row[3]:
+                    block.answer(row, found)
+                else:
+                    block.rows.append(row)
+            yield found
+
+    ordered = met.join(info, "node").select(*fields).repartition("entry", "block", "slab").sortWithinPartitions("entry", "block", "slab", "member", "node")
     return by_arrow(ordered, run, "a long, b long")
 
 
+class Block:
+    """The asking classes of a cell; `answer` compares them with a member of the entry."""
+
+    def __init__(self, sets: SetCache, num: int, den: int, apart: int):
+        self.sets, self.num, self.den, self.apart = sets, num, den, apart
+        self.rows: list[tuple] = []
+        self.values, self.label = None, {}
+
+    def root(self, c: int) -> int:
+        label = self.label
+        label.setdefault(c, c)
+        while label[c] != c:
+            label[c] = c = label[label[c]]
+        return c
+
+    def answer(self, row: tuple, found: dict[str, list]) -> None:
+        if not self.rows:
+            return
+        if self.values is None:
+            self.values = np.frombuffer(b"".join(r[8] for r in self.rows), np.uint16).reshape(len(self.rows), -1, CHUNK)
+            self.node, self.component = (np.array([r[i] for r in self.rows], np.int64) for i in (6, 7))
+        _, _, _, _, rest, nth, node, component, signature, text = row
+        # of two classes of the rest, the greater asks
+        ask = np.flatnonzero((self.component != component) & (self.node > node)) if rest else np.flatnonzero(self.component != component)
+        if not len(ask):
+            return
+        differ = self.values[ask] != np.frombuffer(signature, np.uint16).reshape(-1, CHUNK)
+        in_chunk = differ.sum(2)
+        first, here = (in_chunk <= 1).argmax(1), np.arange(len(ask))
+        shared = first * CHUNK + np.where(in_chunk[here, first] == 1, differ[here, first].argmax(1), 0)
+        for j in ask[(in_chunk.sum(1) <= self.apart) & (shared == nth)]:
+            x, own, other = self.rows[j][6], self.rows[j][7], self.rows[j][9]
+            if self.root(own) != self.root(component) and alike(self.sets.of(x, other), self.sets.of(node, text), self.num, self.den):
+                found["a"].append(x)
+                found["b"].append(node)
+                self.label[self.root(own)] = self.root(component)
+
+
 class SetCache:
     """The exact sets of the classes asked for last, up to a number of shingles."""
 
@@ -260,19 +288,65 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of links (a, b). Each round joins every label with
     its smallest neighbour, so that the graph of labels shrinks until no link is left."""
     edges = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
-    labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node"))
+    labels = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "labels")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = both.groupBy(F.col("a").alias("old")).agg(F.min("b").alias("least")).select("old", F.least("old", "least").alias("new"))
         # one jump further: the parent's parent
         jumped = parents.alias("x").join(parents.alias("y"), F.col("x.new") == F.col("y.old")).select(F.col("x.old").alias("old"), F.col("y.new").alias("new"))
         jumped = written(jumped, "parents")
-        labels = written(labels.join(jumped, labels.component == jumped.old, "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+        renamed = written(labels.join(jumped, labels.component == jumped.old, "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
         moved = edges.join(jumped.select(F.col("old").alias("a"), F.col("new").alias("x")), "a").join(jumped.select(F.col("old").alias("b"), F.col("new").alias("y")), "b")
-        edges = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        left = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+        dropped(edges, labels, jumped)
+        edges, labels = left, renamed
+    dropped(edges)
     return labels
 
 
+def still_open(labelled: DataFrame) -> DataFrame:
+    """Of (entry, nth, node, component), the entries that hold several components."""
+    several = labelled.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("entry")
+    return written(labelled.join(several, "entry"), "open")
+
+
+def open_grams(nodes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(node, size, gram): a hash of each shingle of each class of nodes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        own = Signer(width, 1)
+        for batch in it:
+            grams = [own.hashes(t).view(np.int64) for t in utf8(batch.column("text"))]
+            sizes = [len(g) for g in grams]
+            nodes = np.array(batch.column("node").to_pylist(), np.int64)
+            if grams:
+                yield {"node": np.repeat(nodes, sizes), "size": np.repeat(np.array(sizes, np.int64), sizes), "gram": np.concatenate(grams)}
+
+    return by_arrow(texts.join(nodes, "node", "left_semi"), run, "node long, size long, gram long")
+
+
+def without_lonely(several: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The open entries without the classes that can have no link to another open class (step 2)."""
+    grams = written(open_grams(several.select("node").distinct(), texts, width), "grams")
+    before = grams.select("node").distinct().count()
+    while before:
+        single = grams.groupBy("gram").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("size").alias("size")).where("n = 1")
+        lonely = written(single.groupBy("node").agg(F.count("*").alias("own"), F.min("size").alias("size")).where(f"{den} * (size - own) < {num} * size").select("node"), "lonely")
+        n = lonely.count()
+        if not n:
+            break
+        rest = still_open(several.join(lonely, "node", "left_anti"))
+        # what the entries that are settled now held alone goes too
+        fewer = written(grams.join(rest.select("node").distinct(), "node", "left_semi"), "grams")
+        dropped(several, grams, lonely)
+        several, grams, after = rest, fewer, fewer.select("node").distinct().count()
+        if after > 0.9 * before:
+            break
+        before = after
+    dropped(grams)
+    return several
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links, itself included), kept, of each row.
     Linked are documents whose shingle sets have den * |intersection| >= num * |union|."""
@@ -285,15 +359,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     texts = written(docs.selectExpr("cast(doc_id as long) node", "text").join(shared.select("node").distinct(), "node", "left_semi"), "texts")
     pairs = written(shared.where("node <> centre").select("centre", "node").distinct(), "pairs")
     labels = components(confirmed_stars(pairs, texts, width, num, den))
-    # entries in which a star may have missed links
     labelled = shared.where("n > 2").join(labels, "node", "left").select("entry", "nth", "node", F.coalesce("component", "node").alias("component"))
-    several = labelled.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("entry")
-    unsettled = written(labelled.join(several, "entry"), "open")
-    if not unsettled.isEmpty():
+    several = without_lonely(still_open(labelled), texts, width, num, den)
+    if not several.isEmpty():
         signatures = classes.groupBy("node").agg(F.first("signature").alias("signature"))
-        most_apart = round(n_chunks * CHUNK * min(1.0, 2.5 * (1 - num / den)))
-        late = settled_blocks(unsettled, signatures, texts, width, num, den, most_apart)
-        labels = components(late.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        late = settled(several, signatures, texts, width, num, den, most_apart(num / den, n_chunks * CHUNK))
+        grouped = components(late.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        dropped(labels)
+        labels = grouped
+    dropped(shared, texts, pairs, several)
     own = made.join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"], "left").join(labels, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     out = own.select("doc_id", "n_shingles", component.alias("component_id"))
