@@ -1,12 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 Text is read as lower-case letters, any run of other characters being one gap. The n-grams of the highest order are
-counted over all training rows (partial counts a task, then one sum), and the most frequent of each language are
-kept, so that the model has a bounded size. From them come Kneser-Ney probabilities of all orders, interpolated,
-in sorted arrays of n-gram keys with a column per language: one binary search serves all languages, and what no
-language has falls to the next order with each language's own back-off weight.
-The language of the lowest cross-entropy per character wins. A fold of the training rows gives the temperature
-of the score and, per language, the cross-entropy beyond which a text is rejected.
+counted over all training rows (partial counts a task, then one sum); from these come, as tables, the Kneser-Ney counts of the
+lower orders (distinct predecessors), the discounts (from the counts of ones and twos) and the sum of each context.
+All of these cover every n-gram. The model then holds, in sorted arrays of n-gram keys with a column per language, the n-grams
+whose share of their language's and order's count is at least PRUNE; the probability of the others goes to the next order,
+by a back-off weight that makes each context sum to one. So at most 1 / PRUNE n-grams an order and language are held at
+any input size, and the sums they rest on grow with the input.
+The language of the lowest cross-entropy per character wins. A fold of the training rows, scored by the executors, gives the
+temperature of the score and, per language, the cross-entropy beyond which a text is rejected: a margin over the median, and
+a part that falls with the square root of the letters, as that of a mean does.
 
 Edge cases: null texts and texts without a letter are `und` with score 0 and rejected; a null id or language is not
 learned from; ties go to the first language in order; repeated rows are scored each; without any training row
@@ -15,6 +18,8 @@ all is `und`; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -24,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_arrow, crc_mod, first_by_hash, table, texts_of
+from .common import by_arrow, crc_mod, table, written
 
 ORDER, BITS = 5, 12
-#: Bounds of the model and of the fold that calibrates it.
-MAX_NGRAMS, FOLD_ROWS, FOLD_CHARS, FOLD = 600_000, 2000, 200_000, 40
-#: Texts of fewer letters than this are never rejected for their cross-entropy.
-MIN_LETTERS = 24
+#: The least share of a language's counts that an n-gram of the model has.
+PRUNE = 1e-6
+#: One in FOLD training rows is held back for calibration; about FOLD_ROWS of them a language are used.
+FOLD, FOLD_ROWS = 40, 2000
+#: Least margins of rejection in nats: over the median, and for one letter.
+MARGIN, ONE_LETTER = 0.5, 6.0
+#: Bytes of a piece of the stored model.
+PIECE = 8 << 20
 CHUNK = 400_000
 MASK = (1 << BITS) - 1
 
@@ -83,7 +92,9 @@ class Model:
     logw: dict[int, np.ndarray] = field(default_factory=dict)
     floor: float = 0.0
     temperature: float = 8.0
+    #: per language: median cross-entropy and margin together, and the part of one letter
     most: np.ndarray | None = None
+    more: np.ndarray | None = None
 
     def score(self, key: np.ndarray, order: int = ORDER) -> np.ndarray:
         """Log probability of each key's last symbol after the others, in each language."""
@@ -122,36 +133,30 @@ class Model:
         score = np.where(letters > 0, 1 / odds.sum(1), 0.0)
         rejected = letters == 0
         if self.most is not None:
-            rejected |= (letters >= MIN_LETTERS) & (entropy.min(1) > self.most[best])
+            rejected |= entropy.min(1) > self.most[best] + self.more[best] / np.sqrt(np.maximum(letters, 1))
         return [self.langs[b] if n else "und" for b, n in zip(best, letters, strict=True)], score, rejected
 
 
-def kneser_ney(langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """tables: for each language, sorted distinct keys of the highest order and their counts."""
+def kneser_ney(langs: list[str], discounts: dict[tuple[int, int], float], kept: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> Model:
+    """kept: for each order and language, sorted keys, their counts and the sums of their contexts; discounts by (order,
+    language)."""
     model = Model(langs)
-    symbols = np.unique(np.concatenate([k & MASK for k, _ in tables]))
-    model.floor = -float(np.log(len(symbols) + 1))
-    per_order: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {ORDER: tables}
-    for order in range(ORDER - 1, 0, -1):  # counts of distinct predecessors
-        per_order[order] = [np.unique(k & ((1 << BITS * order) - 1), return_counts=True) for k, _ in per_order[order + 1]]
+    model.floor = -float(np.log(len(np.unique(np.concatenate([k for k, _, _ in kept[1]]))) + 1))
     for order in range(1, ORDER + 1):
-        own, discounts, sums = per_order[order], [], []
-        model.keys[order] = union = np.unique(np.concatenate([k for k, _ in own]))
+        model.keys[order] = union = np.unique(np.concatenate([k for k, _, _ in kept[order]]))
         model.contexts[order] = before = np.unique(union >> BITS)
         model.logp[order] = np.zeros((len(union), len(langs)), np.float32)
         model.logw[order] = np.zeros((len(before), len(langs)), np.float32)
+        if not len(union):
+            continue
         lower = np.exp(model.score(union, order - 1).astype(np.float64))
         at_context = np.searchsorted(before, union >> BITS)
-        for i, (keys, counts) in enumerate(own):
-            ones, twos = int((counts == 1).sum()), int((counts == 2).sum())
-            discounts.append(min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5)
-            context = np.searchsorted(before, keys >> BITS)
-            sums.append(np.bincount(context, counts, len(before)))
-            kinds = np.bincount(context, minlength=len(before))
-            weight = np.where(sums[i] > 0, discounts[i] * kinds / np.maximum(sums[i], 1), 1.0)
+        for i, (keys, counts, sums) in enumerate(kept[order]):
+            share = (counts - discounts.get((order, i), 0.5)) / sums
+            # what the context's kept n-grams leave, i.e. discounts and n-grams that aren't held
+            weight = np.clip(1 - np.bincount(np.searchsorted(before, keys >> BITS), share, len(before)), 1e-9, 1)
             p = weight[at_context] * lower[:, i]
-            mine = np.searchsorted(union, keys)
-            p[mine] += np.maximum(counts - discounts[i], 0) / sums[i][context]
+            p[np.searchsorted(union, keys)] += share
             model.logp[order][:, i] = np.log(p)
             model.logw[order][:, i] = np.log(weight)
     return model
@@ -200,74 +205,141 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
     return by_arrow(rows.select("lang", "text"), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame, id_column: str = "doc_id", max_ngrams: int = MAX_NGRAMS, fold_rows: int = FOLD_ROWS) -> Model:
-    """A model of rows (id, text, lang). A fortieth of them, by a hash of the id, is held back for calibration, of which
-    at most fold_rows (of up to FOLD_CHARS characters) are used."""
-    rows = rows.where(f"{id_column} is not null and lang is not null and text is not null").withColumn("__fold", F.pmod(F.xxhash64(F.col(id_column), F.lit("fold")), F.lit(FOLD)))
-    counted = ngram_counts(rows.where("__fold > 0")).persist()
-    # the least count a language's n-grams must have for all to fit, from a histogram of a few rows a language
-    level = F.floor(F.log2("n") * 4).cast("int")
-    steps = counted.groupBy("lang", level.alias("level")).agg(F.count("*").alias("k")).collect()
-    langs = sorted({r.lang for r in steps})
-    least = {}
-    for lang in langs:
-        room, least[lang] = max_ngrams // len(langs), 10**6
-        for r in sorted((r for r in steps if r.lang == lang), key=lambda r: -r.level):
-            if r.k > room:
-                break
-            room, least[lang] = room - r.k, r.level
-    kept = F.lit(False)
-    for lang in langs:
-        kept |= (F.col("lang") == lang) & (level >= least[lang])
-    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") if langs else F.lit(0)
-    model_rows, tables = counted.where(kept).select(number.alias("lang"), "gram", "n").toPandas().sort_values("gram"), []
-    for i in range(len(langs)):
-        own = model_rows[model_rows.lang == i + 1]
-        tables.append((own.gram.to_numpy(np.int64), own.n.to_numpy(np.int64)))
-    del model_rows
-    counted.unpersist()
-    filled = [i for i, (k, _) in enumerate(tables) if len(k)]
-    if not filled:
-        return Model([])
-    model = kneser_ney([langs[i] for i in filled], [tables[i] for i in filled])
-    ids = rows.where("__fold = 0").where(F.length("text") <= FOLD_CHARS).select(F.col(id_column).cast("long").alias("doc_id"), "lang")
-    fold = texts_of(rows.select(F.col(id_column).alias("doc_id"), "text"), first_by_hash(ids, fold_rows))
-    return calibrate(model, fold.text.tolist(), fold.lang.tolist())
-
-
-def calibrate(model: Model, texts: list[str], langs: list[str]) -> Model:
-    """Temperature of the least log loss; per language the cross-entropy that rejects: as far above the highest per
-    mille of the fold's right texts as that is above their median."""
-    known = [i for i, x in enumerate(langs) if x in model.langs]
-    model.most = np.full(len(model.langs), np.inf)
-    if not known:
-        return model
-    parts = [model.cross_entropy([texts[i] for i in known[a : a + 100]]) for a in range(0, len(known), 100)]
-    entropy, letters = (np.concatenate(x) for x in zip(*parts, strict=True))
-    truth = np.array([model.langs.index(langs[i]) for i in known])
-    used = letters > 0
-    entropy, truth, letters = entropy[used], truth[used], letters[used]
+def all_orders(counted: DataFrame) -> DataFrame:
+    """(order, lang, gram, n) from those of the highest order: below it, n is the number of distinct predecessors."""
+    out, above = counted.withColumn("order", F.lit(ORDER)), counted
+    for order in range(ORDER - 1, 0, -1):
+        above = written(above.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("gram")).agg(F.count("*").alias("n")), "ngrams")
+        out = out.unionByName(above.withColumn("order", F.lit(order)))
+    return out.select("order", "lang", "gram", "n")
+
+
+def built(counted: DataFrame, langs: list[str], prune: float = PRUNE) -> bytes:
+    """The pickled model of the counts (lang, gram, n). It is made in a task, of at most 1 / prune rows an order and language."""
+    spark = counted.sparkSession
+    every = all_orders(counted)
+    # a row per language and order
+    sums = every.groupBy("order", "lang").agg(F.sum("n").alias("total"), F.sum((F.col("n") == 1).cast("long")).alias("ones"), F.sum((F.col("n") == 2).cast("long")).alias("twos")).collect()
+    discounts = {(r.order, langs.index(r.lang)): min(0.95, max(0.1, r.ones / (r.ones + 2 * r.twos))) if r.ones + r.twos else 0.5 for r in sums}
+    limits = spark.createDataFrame([(r.order, r.lang, langs.index(r.lang), prune * r.total) for r in sums], "order int, lang string, number int, least double")
+    context = F.shiftright("gram", BITS)
+    held = every.join(F.broadcast(limits), ["order", "lang"]).where("n >= least").withColumn("context", context).drop("least")
+    contexts = every.groupBy("order", "lang", context.alias("context")).agg(F.sum("n").alias("context_sum"))
+    rows = held.join(contexts, ["order", "lang", "context"]).select("order", "number", "gram", "n", "context_sum")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        parts = [[b.column(c).to_numpy() for c in ("order", "number", "gram", "n", "context_sum")] for b in it]
+        if not parts:
+            return
+        order, number, gram, n, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+        kept: dict[int, list] = {}
+        for o in range(1, ORDER + 1):
+            for i in range(len(langs)):
+                own = np.flatnonzero((order == o) & (number == i))
+                own = own[np.argsort(gram[own])]
+                kept.setdefault(o, []).append((gram[own], n[own].astype(np.float64), total[own].astype(np.float64)))
+        raw = pickle.dumps(kneser_ney(langs, discounts, kept), 5)
+        for i in range(0, len(raw), PIECE):
+            yield {"place": [i], "piece": [raw[i : i + PIECE]]}
+
+    made = written(by_arrow(rows.repartition(1), run, "place long, piece binary"), "model", "snappy")
+    return b"".join(bytes(r.piece) for r in made.orderBy("place").collect())
+
+
+@dataclass
+class Trained:
+    """A model as the executors hold it, and what the fold has added to it."""
+
+    raw: object = None
+    key: str = ""
+    temperature: float = 8.0
+    most: np.ndarray | None = None
+    more: np.ndarray | None = None
+
+    def model(self) -> Model:
+        if self.raw is None:
+            return Model([])
+        out = loaded(self.raw, self.key)
+        out.temperature, out.most, out.more = self.temperature, self.most, self.more
+        return out
+
+
+_LOADED: dict[str, Model] = {}
+
+
+def loaded(held, key: str) -> Model:
+    """The model of a broadcast, made once a process; one is held at a time."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = pickle.loads(held.value)
+    return _LOADED[key]
+
+
+def train(rows: DataFrame, id_column: str = "doc_id", prune: float = PRUNE, fold_rows: int = FOLD_ROWS) -> Trained:
+    """A model of rows (id, text, lang). One in FOLD of them, by a hash of the id, is held back for calibration."""
+    spark = rows.sparkSession
+    used = rows.where(f"`{id_column}` is not null and lang is not null and text is not null").select(F.col(id_column).alias("id"), "text", "lang")
+    fold = F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLD))
+    counted = written(ngram_counts(used.where(fold > 0)), "ngrams")
+    langs = sorted(r.lang for r in counted.select("lang").distinct().collect())  # a row per language
+    if not langs:
+        return Trained()
+    trained = Trained(spark.sparkContext.broadcast(built(counted, langs, prune)), uuid.uuid4().hex)
+    return calibrate(trained, langs, used.where(fold == 0), fold_rows)
+
+
+def calibrate(trained: Trained, langs: list[str], fold: DataFrame, rows: int) -> Trained:
+    """Temperature of the least log loss; limits of rejection from the texts that the model tells right. A language of few
+    such texts takes the margins of all."""
+    spark, held, key = fold.sparkSession, trained.raw, trained.key
+    sizes = fold.groupBy("lang").count().collect()  # a row per language
+    odds = spark.createDataFrame([(r.lang, min(1.0, rows / r["count"])) for r in sizes], "lang string, odds double")
+    lot = F.pmod(F.xxhash64("id", F.lit("use")), F.lit(1 << 30)) / float(1 << 30)
+    some = fold.join(F.broadcast(odds), "lang").where(lot < F.col("odds")).select("lang", "text")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        model = loaded(held, key)
+        for batch in it:
+            entropy, letters = model.cross_entropy(batch.column("text").to_pylist())
+            yield {"lang": batch.column("lang"), "letters": letters, "entropy": entropy.tolist()}
+
+    told = [r for r in by_arrow(some, run, "lang string, letters long, entropy array<double>").collect() if r.letters and r.lang in langs]
+    trained.most, trained.more = np.full(len(langs), np.inf), np.zeros(len(langs))
+    if not told:
+        return trained
+    entropy, letters = np.array([r.entropy for r in told]), np.array([r.letters for r in told], float)
+    truth = np.array([langs.index(r.lang) for r in told])
 
     def loss(t: float) -> float:
         z = -t * (entropy - entropy.min(1, keepdims=True))
-        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth])) if len(z) else 0.0
-
-    model.temperature = min([1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0], key=loss)
-    for i in range(len(model.langs)):
-        own = entropy[(truth == i) & (entropy.argmin(1) == i) & (letters >= MIN_LETTERS), i]
-        if len(own) >= 5:
-            high = np.quantile(own, 0.999)
-            model.most[i] = high + max(high - np.median(own), 0.5)
-    return model
+        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]))
+
+    trained.temperature = min([1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0], key=loss)
+    right = entropy.argmin(1) == truth
+    own = entropy[np.arange(len(truth)), truth]
+
+    def margins(mine: np.ndarray) -> tuple[float, float, float]:
+        over, n = own[mine] - np.median(own[mine]), letters[mine]
+        long = over[n >= np.median(n)]
+        margin = max(MARGIN, 2 * np.quantile(long, 0.999))
+        return float(np.median(own[mine])), margin, max(ONE_LETTER, np.quantile((over - margin) * np.sqrt(n), 0.999))
+
+    if right.any():
+        pooled = margins(right)
+        for i in range(len(langs)):
+            mine = right & (truth == i)
+            middle, margin, one = margins(mine) if mine.sum() >= 20 else (float(np.median(own[mine])) if mine.any() else pooled[0], *pooled[1:])
+            trained.most[i], trained.more[i] = middle + margin, one
+    return trained
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, trained: Trained) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        model = trained.model()
         for batch in it:
-            langs, score, rejected = held.value.predict(batch.column("text").to_pylist())
+            langs, score, rejected = model.predict(batch.column("text").to_pylist())
             yield {"doc_id": batch.column("doc_id"), "lang_pred": langs, "score": score, "rejected": rejected}
 
     return by_arrow(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, lang_pred string, score double, rejected boolean")

@@ -111,10 +111,62 @@ def test_language(spark):
     got = language_id.predict(known, model).toPandas().merge(docs, on="doc_id")
     held = got[got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)]
     assert (held.lang_pred == held.lang).mean() > 0.95 and got.rejected.mean() < 0.02 and got.score.between(0, 1).all()
+    model = model.model()
     assert model.predict([None, "12 %", ""])[0] == ["und"] * 3
     assert model.predict(["qzxwvkj pqrtbn xkcd " * 20])[2][0]
 
 
+def brute_probability(counts, gram, order):
+    """Interpolated Kneser-Ney of the last symbol after the others, from the counts of each order by their definition."""
+    if order == 0:
+        return None
+    own = counts[order]
+    ones, twos = (sum(v == n for v in own.values()) for n in (1, 2))
+    d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+    context = {g: v for g, v in own.items() if g[:-1] == gram[-order:][:-1]}
+    lower = brute_probability(counts, gram, order - 1) if order > 1 else 1 / (len({g[-1] for g in counts[1]}) + 1)
+    if not context:
+        return lower
+    total = sum(context.values())
+    return max(own.get(gram[-order:], 0) - d, 0) / total + d * len(context) / total * lower
+
+
+def test_language_probabilities(spark):
+    """Without pruning, the model's probabilities are those of the definition."""
+    texts = ["abra cadabra", "a cab a bar", "bad cab", "abba"] * 2
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "id long, text string, lang string")
+    model = language_id.pickle.loads(language_id.built(language_id.ngram_counts(rows), ["x"]))
+    n = language_id.ORDER
+    counts = {n: collections.Counter()}
+    for t in texts:
+        s = " " * (n - 1) + t
+        if not t[-1].isspace():
+            s += ""
+        counts[n].update(s[i - n : i] for i in range(n, len(s) + 1))
+    for k in range(n - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    code = lambda c: 0 if c == " " else ord(c) & language_id.MASK
+    for gram in ["abra ", " cada", "    a", "bbbbb", "rdcab", "a bar"]:
+        key = 0
+        for c in gram:
+            key = key << language_id.BITS | code(c)
+        assert abs(np.exp(model.score(np.array([key]))[0, 0]) - brute_probability(counts, gram, n)) < 1e-5
+
+
+def test_pruned_contexts_sum_to_one(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    rows = spark.createDataFrame(docs[["doc_id", "text", "lang"]])
+    counted = language_id.ngram_counts(rows)
+    langs = sorted(docs.lang.dropna().unique())
+    for prune in (1e-6, 1e-3):
+        model = language_id.pickle.loads(language_id.built(counted, langs, prune))
+        symbols = model.keys[1]
+        for context in (0, model.contexts[language_id.ORDER][7], model.contexts[3][5]):
+            p = np.exp(model.score((int(context) << language_id.BITS) + symbols).astype(float)).sum(0)
+            assert ((p > 0.95) & (p < 1.01)).all()
+    assert len(model.keys[language_id.ORDER]) <= len(langs) * 1000
+
+
 def edited(text, n, rng):
     out = list(text)
     for _ in range(n):
@@ -187,7 +239,28 @@ def test_near_duplicates(spark, docs, width, num):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), root(i), root(i) == i) for i in range(len(texts))}
 
 
-def test_unsettled_blocks(spark):
+def brute_links(texts, width, num):
+    sets = [near_dedup.shingle_set(t.encode(), width) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    at = collections.defaultdict(set)
+    for i, s in enumerate(sets):
+        for g in s:
+            at[g].add(i)
+    for i, s in enumerate(sets):
+        for j in set().union(*(at[g] for g in s)):
+            if j < i and root(i) != root(j) and near_dedup.alike(s, sets[j], num, 100):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def test_unsettled_entries(spark):
     """Two alike texts in one entry with a third that is unlike both."""
     sig = np.arange(48, dtype=np.uint16)
     other = sig.copy()
@@ -195,10 +268,28 @@ def test_unsettled_blocks(spark):
     rows = [(1, 0, 1, 1), (1, 0, 2, 2), (1, 0, 3, 3)]
     info = spark.createDataFrame([(1, bytearray(other.tobytes())), (2, bytearray(sig.tobytes())), (3, bytearray(sig.tobytes()))], "node long, signature binary")
     texts = spark.createDataFrame([(1, "q r s t u v"), (2, "a b c d e f g"), (3, "a b c d e f g h")], "node long, text string")
-    out = near_dedup.settled_blocks(spark.createDataFrame(rows, "entry long, nth int, node long, component long"), info, texts, 3, 80, 100, 20)
+    out = near_dedup.settled(spark.createDataFrame(rows, "entry long, nth int, node long, component long"), info, texts, 3, 80, 100, 20)
     assert [sorted(r) for r in out.collect()] == [[2, 3]]
 
 
+@pytest.mark.parametrize("block, slab", [(1024, 16384), (16, 40)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, block, slab):
+    """Copies of one text with edits of several sizes, whose entries hold many components, in one cell and in many."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "SLAB", slab)
+    rng = random.Random(11)
+    base, texts = [f"w{i}" for i in range(60)], []
+    for i in range(900 if block == 1024 else 300):
+        words = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            words[rng.randrange(60)] = f"x{rng.randrange(10_000)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    got = near_dedup.near_duplicates(frame(spark, texts), 3, 85, 100).collect()
+    want = brute_links(texts, 3, 85)
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want)) and len(set(want)) > 30
+
+
 def test_quality(spark, docs):
     texts = docs.text.tolist()[:150] + ODD
     field = quality_lines.train(spark.createDataFrame(docs), spark.read.parquet(f"{SF}/labels.parquet"))
