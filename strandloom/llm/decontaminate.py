@@ -2,23 +2,30 @@
 
 A random walk reads a string, staying on or leaving each character by a random bit of (step, character); what it reads is
 as long for all strings, and few edits between two strings leave few differing steps (CGK). Items are put into classes of
-like length. A window of a class's length at each word start of a document is embedded by WALKS walks; BANDS samples of
+like length. A window of a class's length at each word start of a document (in runs of over LONG_RUN characters without a space,
+and in scripts that set none, at each character) is embedded by WALKS walks; BANDS samples of
 SAMPLE steps of each are its keys, and items with a key in common are candidates. With a fraction d of differing steps a
 pair is missed with probability (1 - (1 - d) ** SAMPLE) ** (WALKS * BANDS). Candidates are verified by their
 edit distance to the best stretch of the document, which must be at most RATIO of the item's length.
 
-Windows that can't hold an item of their class are left out first: k edits leave at least n - q + 1 - k q of an item's
-n - q + 1 q-grams as they are (the q-gram lemma), a bound without false dismissals.
+Items of over PART characters are looked for by equal parts of at most that: edits that are few enough for the item are few enough
+for one of its parts. Windows that can't hold an item (or part) of their class are left out first: k edits leave at least n - q + 1 - k q of an item's
+n - q + 1 q-grams as they are (the q-gram lemma). Items for which that bound is under 1 (up to some 35 characters) must share one
+q-gram with the window all the same. Items of under SHORTEST characters, for which LSH tells nothing, match where a
+document has them exactly, between characters that are no letters or digits.
 
-The benchmark is read in blocks of bounded size, each of which all documents pass; documents are not shuffled.
+The benchmark is read in blocks of bounded size, each of which all documents pass; documents are not shuffled. A block's items
+are broadcast, and its index is built by each worker.
 Text is compared in lower case, with white space as single spaces. Edge cases: null and empty documents match nothing;
-items of under SHORTEST characters (and null ones) are left out, too short to tell; equal items match each;
+null and empty items are left out; equal items match each;
 repeated rows give a row each; an empty table on either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +35,17 @@ from pyspark.sql import functions as F
 from .common import by_arrow, table
 from .repeats import mixed, rolled
 
-RATIO, GRAM, SHORTEST = 0.1, 8, 24
+RATIO, GRAM, SHORTEST, LONG_RUN = 0.1, 8, 24, 24
+#: The first code point of the scripts without spaces between words.
+UNSPACED = 0x2E80
 WALKS, BANDS, SAMPLE = 10, 10, 6
 #: Ratio of the longest item of a class to its shortest.
 SPAN = 1.07
 #: Characters of the items of a block, and bits of the filter of their q-grams.
 BLOCK_CHARS, FILTER_BITS = 1_000_000, 21
+PART = 4096
+#: Steps of a walk for which there are random bits of their own; later ones take those of other characters.
+OWN_STEPS = 4096
 SCHEMA = "doc_id long, item_id long, distance int, low int, high int"
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,12 +93,22 @@ def may_match(item: str, text: str, most: int, width: int = 4) -> bool:
     return sum(item[i : i + width] in held for i in range(grams)) >= grams - width * most
 
 
+@lru_cache(maxsize=1)
+def walk_bits() -> np.ndarray:
+    """A random bit for each step, walk and (byte of a) character."""
+    return np.random.default_rng(3).integers(0, 2, (OWN_STEPS, WALKS * 256), np.int8)
+
+
 class Index:
-    """Items of one block: classes by length, and for each class the filter, the walks and the keys of its items."""
+    """Items of one block, in parts; classes of parts by length, and for each class the filter, the walks and the keys."""
 
     def __init__(self, items: list[tuple[int, str]], ratio: float):
-        self.items, self.ratio = sorted(items, key=lambda x: len(x[1])), ratio
-        self.lengths = np.array([len(t) for _, t in self.items])
+        self.short = [x for x in items if len(x[1]) < SHORTEST]
+        self.items, self.ratio = [x for x in items if len(x[1]) >= SHORTEST], ratio
+        cuts = [[len(t) * i // n for i in range(n + 1)] for _, t in self.items for n in [-(-len(t) // PART)]]
+        #: item, place in it, text
+        self.parts = sorted(((i, a, self.items[i][1][a:b]) for i, c in enumerate(cuts) for a, b in zip(c, c[1:], strict=False)), key=lambda x: len(x[2]))
+        self.lengths = np.array([len(t) for _, _, t in self.parts])
         self.filter = np.zeros(1 << FILTER_BITS, np.uint32)
         self.classes: list[dict] = []
         rng = np.random.default_rng(3)
@@ -99,13 +121,13 @@ class Index:
             n = number * 32 // max(32, len(groups))  # the filter tells 32 classes apart
             least, most = int(self.lengths[members[0]]), int(self.lengths[members[-1]])
             for i in members:
-                self.filter[self.places(codes(self.items[i][1]))] |= np.uint32(1 << n)
+                self.filter[self.places(codes(self.parts[i][2]))] |= np.uint32(1 << n)
             # of an item's grams, so many are left unchanged among those that start in the class's shortest length
             grams = least - GRAM + 1
             need = max(1, grams - int(ratio * most) * GRAM)
             steps = 2 * least
-            one = {"bit": n, "grams": grams, "need": need, "bits": rng.integers(0, 2, (steps, WALKS * 256)).astype(np.int8), "samples": np.sort(rng.integers(0, steps - 2, (WALKS, BANDS, SAMPLE)), -1)}
-            text = np.concatenate([np.r_[codes(self.items[i][1]), np.zeros(steps - min(steps, self.lengths[i]) + 1, np.uint32)] for i in members])
+            one = {"bit": n, "grams": grams, "need": need, "samples": np.sort(rng.integers(0, steps - 2, (WALKS, BANDS, SAMPLE)), -1)}
+            text = np.concatenate([np.r_[codes(self.parts[i][2]), np.zeros(steps - min(steps, self.lengths[i]) + 1, np.uint32)] for i in members])
             begins = np.cumsum([0, *(self.lengths[i] + steps - min(steps, self.lengths[i]) + 1 for i in members[:-1])])
             keys = self.embedded(one, text, begins)
             one["keys"] = np.sort(keys.ravel())
@@ -119,7 +141,7 @@ class Index:
     @staticmethod
     def embedded(one: dict, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Keys of the windows at the starts, WALKS * BANDS each."""
-        at, bits = np.tile(starts.astype(np.int64), (WALKS, 1)), one["bits"]
+        at, bits = np.tile(starts.astype(np.int64), (WALKS, 1)), walk_bits()
         walk = np.arange(WALKS)[:, None] * 256
         sampled: dict[int, list[tuple[int, int]]] = {}
         for w, band, nth in np.ndindex(one["samples"].shape):
@@ -130,7 +152,7 @@ class Index:
             for w, row in sampled.get(step, ()):
                 keys[row] = (keys[row] ^ c[w]) * _SPREAD
                 keys[row] ^= keys[row] >> np.uint64(29)
-            at += bits[step][(c & 255) + walk]
+            at += bits[step % OWN_STEPS][(c + 57 * (step // OWN_STEPS) & 255) + walk]
         return np.ascontiguousarray(mixed(keys).T)
 
     @staticmethod
@@ -148,18 +170,48 @@ class Index:
         times = np.maximum(b - a, 0)
         return np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(a, times)
 
+    @staticmethod
+    def starts(flat: np.ndarray) -> np.ndarray:
+        """Where windows start: at words, and at each character of long runs without a space and of unspaced scripts."""
+        ends = np.concatenate([[-1], np.flatnonzero(flat <= 32), [len(flat)]])
+        sizes = np.diff(ends) - 1
+        out = ends[:-1][sizes > 0] + 1
+        long = np.flatnonzero(sizes > LONG_RUN)
+        more = [np.flatnonzero(flat >= UNSPACED)] + [np.arange(ends[i] + 1, ends[i + 1]) for i in long]
+        return np.union1d(out, np.concatenate(more)) if any(map(len, more)) else out
+
+    def short_matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, short item, 0, low, high) of the first exact match of each text and item."""
+        import ahocorasick
+
+        finder = ahocorasick.Automaton()
+        for i, (_, item) in enumerate(self.short):
+            finder.add_word(item, [*(finder.get(item, [])), i])
+        finder.make_automaton()
+        for doc, text in enumerate(texts):
+            seen: set[int] = set()
+            for end, items in finder.iter(text):
+                low = end + 1 - len(self.short[items[0]][1])
+                if text[low - 1 : low].isalnum() or text[end + 1 : end + 2].isalnum() or items[0] in seen:
+                    continue
+                seen.update(items)
+                for i in items:
+                    yield doc, i, 0, low, end + 1
+
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
-        """(text, item, distance, low, high) of all matches, one for each text and item."""
-        parts = [codes(t) for t in texts]
-        begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        """(text, item, distance, low, high) of all matches, one for each text and item (short ones aside)."""
+        if not self.items:
+            return
+        coded = [codes(t) for t in texts]
+        begins = np.cumsum([0, *(len(p) + 1 for p in coded)])
         longest = 4 * int(self.lengths[-1])
         flat = np.zeros(begins[-1] + longest + GRAM, np.uint32)
-        for p, b in zip(parts, begins, strict=False):
+        for p, b in zip(coded, begins, strict=False):
             flat[b : b + len(p)] = p
         owns = self.filter[self.places(flat)]
         hits = np.flatnonzero(owns)
         owns = owns[hits]
-        word = np.flatnonzero(np.r_[True, flat[: begins[-1] - 1] <= 32] & (flat[: begins[-1]] > 32))
+        word = self.starts(flat[: begins[-1]])
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         places = {bit: hits[(owns >> np.uint32(bit) & np.uint32(1)) > 0] for bit in {one["bit"] for one in self.classes}}
         for one in self.classes:
@@ -171,21 +223,22 @@ class Index:
                 row, col = np.nonzero(high > low)
                 times = (high - low)[row, col]
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                items = one["owner"][np.repeat(low[row, col], times) + nth]
-                for pair in np.unique(np.repeat(some[row], times) * len(self.items) + items).tolist():
-                    place, item = divmod(pair, len(self.items))
+                parts = one["owner"][np.repeat(low[row, col], times) + nth]
+                for pair in np.unique(np.repeat(some[row], times) * len(self.parts) + parts).tolist():
+                    place, part = divmod(pair, len(self.parts))
                     doc = int(np.searchsorted(begins, place, "right")) - 1
-                    start = int(place - begins[doc])
+                    item, within, _ = self.parts[part]
                     if (doc, item) in found:
                         continue
-                    text, most = self.items[item][1], int(self.ratio * self.lengths[item])
+                    start, text = int(place - begins[doc]) - within, self.items[item][1]
+                    most = int(self.ratio * len(text))
                     begin = max(0, start - most)
-                    around = texts[doc][begin : start + len(text) + most]
+                    around = texts[doc][begin : max(0, start + len(text) + most)]
                     if not may_match(text, around, most):
                         continue
                     distance, end = best_stretch(text, around)
                     if distance <= most:
-                        found[doc, item] = (distance, start, begin + end)
+                        found[doc, item] = (distance, max(0, start), begin + end)
         for (doc, item), (distance, low, high) in found.items():
             yield doc, item, distance, low, high
 
@@ -195,7 +248,7 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     block, chars = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
         text = normal(row.text)
-        if len(text) >= SHORTEST:
+        if text:
             if block and chars + len(text) > BLOCK_CHARS:
                 yield block
                 block, chars = [], 0
@@ -205,19 +258,34 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield block
 
 
+_BUILT: dict[str, Index] = {}
+
+
+def built(held, key: str, ratio: float) -> Index:
+    """The index of a broadcast block, built once a process; one is held at a time."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Index(held.value, ratio)
+    return _BUILT[key]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> DataFrame:
     """doc_id, item_id, distance, low, high (in the normalised text): one row for each document row and item that it holds."""
     out = docs.sparkSession.createDataFrame([], SCHEMA)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     for n, block in enumerate(blocks(benchmark)):
-        held = docs.sparkSession.sparkContext.broadcast(Index(block, ratio))
+        held, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(it: Iterator[pa.RecordBatch], held=held) -> Iterator[dict]:
+        def run(it: Iterator[pa.RecordBatch], held=held, key=key) -> Iterator[dict]:
+            index = built(held, key, ratio)
             for batch in it:
                 ids, texts = batch.column("doc_id").to_pylist(), [normal(t) for t in batch.column("text").to_pylist()]
                 cols: list[list] = [[], [], [], [], []]
-                for doc, item, *rest in held.value.matches(texts):
-                    for c, v in zip(cols, (ids[doc], held.value.items[item][0], *rest), strict=True):
+                found = [(index.items, m) for m in index.matches(texts)]
+                if index.short:
+                    found += [(index.short, m) for m in index.short_matches(texts)]
+                for items, (doc, item, *rest) in found:
+                    for c, v in zip(cols, (ids[doc], items[item][0], *rest), strict=True):
                         c.append(v)
                 yield dict(zip(("doc_id", "item_id", "distance", "low", "high"), cols, strict=True))
 

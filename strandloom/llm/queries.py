@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import decontaminate, language_id, near_dedup, packing, pii, quality_lines, repeats, sharding, token_counts, toxicity
 
 QUERIES = {
@@ -17,7 +15,6 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_repeats": repeats.op9_repeats,
     "op10_toxicity": toxicity.op10_toxicity,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -7,7 +7,7 @@ depends on the data. Every key, however frequent its other columns, is placed in
 Adding or removing one shard moves few other keys.
 
 Edge cases: a null key goes to the slot of the empty string; equal keys go to one shard; an empty table gives no rows;
-extra columns are kept out of the result of the query and can't clash in `place`, whose two columns are named by the caller.
+`place` keeps all other columns, whatever their names, and adds two, named by the caller.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 #: Production parameters: shards, and a prime number of slots of over 100 a shard (so loads differ by under 1 %).
 N_SHARDS, N_SLOTS = 32, 4099
@@ -61,9 +61,10 @@ def slot_of(key: Column, n_slots: int) -> Column:
 
 def place(df: DataFrame, key: str, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, slot: str = "slot", shard: str = "shard") -> DataFrame:
     """df with the slot and the shard of each row."""
-    frame = slot_frame(df.sparkSession, n_shards, n_slots).toDF("__slot", "__shard")
-    out = df.withColumn("__at", slot_of(F.col(key), n_slots)).join(F.broadcast(frame), F.col("__at") == F.col("__slot"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__at").alias(slot), F.col("__shard").alias(shard))
+    at, slots, shards = (unused(name, df) for name in ("slot_at", "slot_nth", "slot_shard"))
+    frame = slot_frame(df.sparkSession, n_shards, n_slots).toDF(slots, shards)
+    out = df.withColumn(at, slot_of(F.col(f"`{key}`"), n_slots)).join(F.broadcast(frame), F.col(at) == F.col(slots))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(at).alias(slot), F.col(shards).alias(shard))
 
 
 def op4_shard_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,7 +169,7 @@ def test_pruned_contexts_sum_to_one(spark):
 
 def edited(text, n, rng):
     out = list(text)
-    for _ in range(n):
+    for _ in range(n):  # at most n edits
         p = rng.randrange(len(out))
         out[p : p + 1] = rng.choice([[], ["x"], [out[p], "q"]])
     return "".join(out)
@@ -188,6 +188,34 @@ def test_decontamination_recall(spark, docs):
         assert decontaminate.best_stretch(item, text)[0] <= r.distance <= 0.1 * len(item)
 
 
+@pytest.mark.parametrize("share, least", [(0.02, 0.98), (0.1, 0.9)])
+def test_decontamination_search(spark, share, least):
+    """Against brute force: every document and item, by the distance of the item's best stretch. At the threshold too."""
+    rng = random.Random(9)
+    items = pd.read_parquet("/root/testdata/sf0.1/benchmark.parquet").iloc[:60].reset_index(drop=True)
+    base = pd.read_parquet(f"{SF}/documents.parquet").text.tolist()
+    texts = [base[i][:150] + " " + edited(t, int(share * len(decontaminate.normal(t))), rng) + " " + base[i + 70][:150] for i, t in enumerate(items.text)] + [t[:3000] for t in base[130:160]]
+    hit = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), spark.createDataFrame(items)).collect()}
+    want = set()
+    for j, t in zip(items.item_id, items.text):
+        item = decontaminate.normal(t)
+        for i, text in enumerate(map(decontaminate.normal, texts)):
+            if decontaminate.may_match(item, text, int(0.1 * len(item))) and decontaminate.best_stretch(item, text)[0] <= int(0.1 * len(item)):
+                want.add((i, int(j)))
+    assert hit <= want and len(want) >= 0.9 * len(items) and len(hit) >= least * len(want)
+
+
+def test_items_in_unspaced_text_and_short_and_long_ones(spark):
+    rng = random.Random(3)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(n))
+    unspaced, code = han(60), "".join(rng.choices("abcdef0123/_.", k=80))
+    long = " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(12_500))
+    items = spark.createDataFrame([(1, unspaced), (2, code), (3, "short item"), (4, long), (5, ""), (6, None)], "item_id long, text string")
+    texts = [han(37) + unspaced + han(200), "x" * 61 + code + "y" * 40, "a short item, here", "a shorty item", "in shortitem", "before " + long[:50_000] + "zz" + long[50_000:] + " after", None]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(frame(spark, texts), items).collect()}
+    assert got == {(0, 1), (1, 2), (2, 3), (5, 4)}
+
+
 def brute_distance(item, text):
     row = [0] * (len(text) + 1)
     for i, c in enumerate(item, 1):
@@ -334,6 +362,49 @@ def test_pseudonyms(spark):
     assert (got[6].text, got[6].n_replaced, got[7].text, got[8].n_replaced) == (None, 0, "", 0)
 
 
+def test_values_of_any_length(spark):
+    """Long secrets and mail addresses, tokens of either case, and every day up to the last of 2099."""
+    long = "".join(random.Random(5).choices("abcdefghijklmnopqrstuvwxyz", k=300))
+    texts = [f"password={long}", "0123456789abcdef" * 20, "0123456789ABCDEF" * 3, f"{'a' * 64}x@example.com {'a' * 64}y@example.com", "on 2099-12-31", "on 1900/01/01", "token=onlyletters"]
+    got = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts)).collect()}
+    assert all(r.n_replaced >= 1 for r in got.values()) and [len(got[i].text) for i in range(7)] == [len(t) for t in texts]
+    assert sum(a == b for a, b in zip(got[0].text[9:], long)) < 60 and re.fullmatch("[0-9a-f]{320}", got[1].text) and re.fullmatch("[0-9A-F]{48}", got[2].text)
+    one, two = got[3].text.split()
+    assert one != two and re.fullmatch("[a-z]{65}@example.com", one)
+    assert re.fullmatch(r"on (19|20)\d\d-\d\d-\d\d", got[4].text) and "onlyletters" not in got[6].text
+
+
+def test_permutations_are_one_to_one(spark):
+    words = spark.range(26 * 26).selectExpr("concat(char(97 + int(id / 26)), char(97 + int(id % 26))) w")
+    got = {r[0] for r in words.select(pii.permuted_text(words.w, "t")).collect()}
+    assert len(got) == 676 and all(re.fullmatch("[a-z]{2}", x) for x in got)
+    days = spark.range(pii.DAYS).selectExpr("cast(date_add(date'1900-01-01', int(id)) as string) d")
+    got = {r[0] for r in days.select(pii.date(days.d)).collect()}
+    assert len(got) == pii.DAYS and min(got) == "1900-01-01" and max(got) == "2099-12-31"
+
+
+def test_keys(spark):
+    df = frame(spark, ["ssn 123-45-6789"])
+    a, b = (pii.pseudonymise(df, key=k).first().text for k in ("one", "two"))
+    spark.conf.set(pii.KEY_SETTING, "one")
+    try:
+        assert a != b and pii.pseudonymise(df).first().text == a
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_clashing_names(spark):
+    """Columns of the names that operators use for themselves stay as they are."""
+    df = spark.createDataFrame([(1, "mail ann@example.com", "x", "y", 5, "z")], "doc_id long, text string, found_values string, NEW_VALUES string, slot_at int, Slot_Nth string")
+    got = pii.pseudonymise(df).first()
+    assert (got.found_values, got.NEW_VALUES, got.n_replaced) == ("x", "y", 1) and "ann@" not in got.text
+    assert sharding.place(df, "doc_id").first().asDict() == df.first().asDict() | {"slot": got_slot(1), "shard": sharding.slot_table(sharding.N_SHARDS, sharding.N_SLOTS)[got_slot(1)]}
+
+
+def got_slot(key):
+    return int(hashlib.md5(str(key).encode()).hexdigest()[:12], 16) % sharding.N_SLOTS
+
+
 def test_adjacent_values(spark):
     card_number, phone, address = "4111 1111 1111 1111", "+1 (826) 555-4081", "190.137.223.204"
     texts = [f"{phone} {address}", f"{phone} 456-555-2186", f"{phone} 123-45-6789", f"{phone} {card_number}", f"{card_number} 123", f"12 {card_number}", f"{card_number} 123-45-6789", f"{card_number} {address}", card_number]
