@@ -4,10 +4,13 @@ Two words are as alike as the subsequences of DEPTH letters that they share, eac
 stretch it takes, so that letters in between (an inserted character, a gap) cost little: the gapped string kernel, normalised.
 Landmarks are the words that set toxic training texts apart and words of clean texts; the kernel with the landmarks,
 whitened by the kernel among them, are a word's Nystroem features, and a linear support vector machine on these is trained.
-A text's sentences are labelled as a whole, so its witness (the word of highest value) is chosen anew in each round, and
+A word (or two neighbouring words of a sentence, read as one, that neither word explains) marks toxic texts if it is in more
+of them than chance lets any of all words be, copies of a text counted once.
+A text's sentences are labelled as a whole, so its witness (the unit of highest value) is chosen anew in each round, and
 the highest words of clean texts are added as landmarks and negatives. The machine's value of a word is a sum over its
 subsequences, so the trained machine is stored as one weight per subsequence, and words are scored by that.
-A text's value is the highest of its sentences' (so of its words'); a logistic curve fitted to training texts makes it a score.
+A text's value is the highest of its sentences', and a sentence's that of its words and of its pairs of neighbours of which one is
+a part of a marking pair (the other may be gapped or have inserted characters); a logistic curve fitted to training texts makes it a score.
 
 Words are read as letters only (i.d.i.o.t is one word) and runs of single letters also as one word (i d i o t); words over
 LONGEST letters are read in windows of LONGEST. Training uses at most TRAIN_ROWS labelled rows; whole texts of all rows are
@@ -34,6 +37,11 @@ from .common import by_arrow, crc_mod, first_by_hash, table, texts_of
 
 DEPTH, DECAY, LONGEST, LETTERS = 3, 0.6, 20, 32
 TRAIN_ROWS, LANDMARKS, ROUNDS, THRESHOLD = 4500, 160, 4, 0.3
+#: Most marks that chance would give among all words.
+CHANCE = 0.1
+#: The probability under which a word is taken for a witness.
+WITNESS = 1e-3
+SENTENCE = re.compile(r"[.!?;\n]+(?:\s+|$)|\n+")
 CACHE = 600_000
 SINGLE = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 LETTER_RUN = re.compile(r"[^\W\d_]+")
@@ -105,14 +113,34 @@ def pieces(word: str) -> list[str]:
     return [w[a : a + LONGEST] for a in range(0, len(w) - LONGEST // 2, LONGEST // 2)]
 
 
+def neighbours(text: str) -> Iterator[tuple[str, str]]:
+    """Neighbouring words of each sentence, as letters."""
+    for sentence in SENTENCE.split(text.lower()):
+        words = [w for w in map(letters, sentence.split()) if w]
+        yield from zip(words, words[1:], strict=False)
+
+
+def joined(pair: tuple[str, str]) -> str:
+    return pair[0] + pair[1]
+
+
 @dataclass
 class Machine:
-    """Weight of each subsequence, and the logistic curve."""
+    """Weight of each subsequence, the logistic curve, and the first and second words of marking pairs."""
 
     weights: np.ndarray
     lowest: float
     slope: float = 1.0
     offset: float = 0.0
+    firsts: frozenset[str] = frozenset()
+    seconds: frozenset[str] = frozenset()
+
+    def units(self, text: str | None) -> set[str]:
+        """What the text is scored by: its words, and its pairs that have a part of a marking pair."""
+        out = words_of(text)
+        if (self.firsts or self.seconds) and text:
+            out.update(joined(p) for p in neighbours(text) if p[0] in self.firsts or p[1] in self.seconds)
+        return out
 
     def values(self, words: list[str]) -> np.ndarray:
         """The machine's value of each word: its highest piece."""
@@ -131,7 +159,7 @@ class Machine:
         return out
 
     def scores(self, texts: list[str | None], known: dict[str, float]) -> np.ndarray:
-        held = [words_of(t) for t in texts]
+        held = [self.units(t) for t in texts]
         if len(known) > CACHE:
             known.clear()
         new = list(set().union(*held).difference(known))
@@ -152,21 +180,59 @@ def hinge_weights(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 4
     return w
 
 
+def tail(n: int, k: int, p: float) -> float:
+    """The probability of k or more of n."""
+    k0 = np.arange(k, n + 1)
+    logs = np.cumsum(np.r_[0.0, np.log(np.arange(1, n + 1))])
+    return float(np.exp(logs[n] - logs[k0] - logs[n - k0] + k0 * np.log(p) + (n - k0) * np.log1p(-p)).sum())
+
+
+def marking(bad: Counter, good: Counter, share: float) -> list[str]:
+    """What is in more toxic texts than chance lets CHANCE of all be, most telling first."""
+    at = {w: tail(n + good[w], n, share) for w, n in bad.items() if n >= 3 and n > 2 * share * (n + good[w])}
+    return sorted((w for w, x in at.items() if x * len(bad) < CHANCE), key=lambda w: (at[w], w))
+
+
 def train_machine(texts: list[str], toxic: np.ndarray) -> Machine | None:
     """The machine of labelled texts; None without both labels."""
+    single = {t: x for t, x in zip(texts, toxic.tolist(), strict=True)}
+    texts, toxic = list(single), np.array(list(single.values()), bool)
     bags = [sorted({p for w in words_of(t) for p in pieces(w)}) for t in texts]
     toxic = toxic & np.array([bool(b) for b in bags], bool)
     if not toxic.any() or toxic.all():
         return None
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
+    share = n_toxic / (n_toxic + n_clean)
     bad, good = Counter(), Counter()
     for bag, t in zip(bags, toxic, strict=True):
         (bad if t else good).update(bag)
+    marks = marking(bad, good, share)
+    # pairs are looked for in the toxic texts without a marking word, against all clean texts
+    explained = set(marks)
+    rest = [i for i, (b, t) in enumerate(zip(bags, toxic, strict=True)) if not (t and explained.intersection(b))]
+    pair_bad, pair_good = Counter(), Counter()
+    for i in rest:
+        if toxic[i]:
+            pair_bad.update({p for p in neighbours(texts[i]) if DEPTH <= len(joined(p)) <= LONGEST})
+    for i in rest:
+        if not toxic[i] and pair_bad:
+            pair_good.update({p for p in neighbours(texts[i]) if p in pair_bad})
+    left = sum(bool(toxic[i]) for i in rest)
+    pairs = marking(pair_bad, pair_good, max(left, 1) / (max(left, 1) + n_clean))[: LANDMARKS // 4]
+    firsts, seconds = frozenset(a for a, _ in pairs), frozenset(b for _, b in pairs)
+    if pairs:
+        for i, t in enumerate(texts):
+            more = {joined(p) for p in neighbours(t) if p[0] in firsts or p[1] in seconds}
+            more = {x for m in more for x in pieces(m)}.difference(bags[i])
+            bags[i] = sorted({*bags[i], *more})
+            (bad if toxic[i] else good).update(more)
+        marks += [x for p in pairs for x in pieces(joined(p))]
     odds = {w: np.log((n + 0.2) / n_toxic) - np.log((good[w] + 0.2) / n_clean) + 0.5 * np.log(n) for w, n in bad.items()}
-    often = max(3, 0.012 * n_toxic)  # a word of one text and its copies is no mark
-    marks = sorted((w for w in odds if bad[w] >= often), key=lambda w: (-odds[w], w))[: LANDMARKS // 4] or sorted(odds, key=lambda w: (-odds[w], w))[:4]
+    often = 3  # a word of one text is no mark
+    marks = list(dict.fromkeys(marks))[: LANDMARKS // 2] or sorted(odds, key=lambda w: (-odds[w], w))[:4]
     common = [w for w, _ in sorted(good.items(), key=lambda x: (-x[1], x[0]))]
-    landmarks = list(dict.fromkeys([*marks, *common[: LANDMARKS // 4], *common[:: max(1, len(common) // (LANDMARKS // 4))]]))[: 3 * LANDMARKS // 4]
+    landmarks = list(dict.fromkeys([*marks, *common[: LANDMARKS // 4], *common[:: max(1, len(common) // (LANDMARKS // 4))]]))[: max(3 * LANDMARKS // 4, len(marks))]
+    odds = {w: odds.get(w, 0.0) for b in bags for w in b}
     witness = [max(b, key=lambda w: (odds[w], w)) for b, t in zip(bags, toxic, strict=True) if t]
     clean = [w for w in common if good[w] > 0]
     negatives = list(dict.fromkeys(common[:1000] + common[:: max(1, len(common) // 3000)]))
@@ -176,8 +242,8 @@ def train_machine(texts: list[str], toxic: np.ndarray) -> Machine | None:
         values, basis = np.linalg.eigh((v @ v.T).astype(np.float64) + 1e-3 * np.eye(len(v)))
         whiten = basis / np.sqrt(np.maximum(values, 1e-6)) @ basis.T
         seen = Counter(witness) | Counter({w: bad[w] for w in marks})
-        # what clean texts have about as often is no witness
-        positive = [w for w in seen if good[w] * n_toxic < 0.2 * seen[w] * n_clean and bad[w] >= often] or [w for w in marks if good[w] == 0] or marks
+        # what one text has, or clean texts have about as often, is no witness
+        positive = [w for w in seen if good[w] * n_toxic < 0.2 * seen[w] * n_clean and bad[w] >= often and (w in marks or tail(bad[w] + good[w], bad[w], share) < WITNESS)] or marks
         rows = positive + negatives
         x = np.concatenate([vectors(rows[a : a + 200]) @ v.T for a in range(0, len(rows), 200)]) @ whiten
         y = np.r_[np.ones(len(positive)), -np.ones(len(negatives))]
@@ -186,7 +252,7 @@ def train_machine(texts: list[str], toxic: np.ndarray) -> Machine | None:
         cost[y < 0] /= cost[y < 0].sum()
         w = hinge_weights(x, y, cost * 200)
         weights = (v.T @ (whiten @ w[:-1])).astype(np.float32)
-        machine = Machine(weights, 0.0)
+        machine = Machine(weights, 0.0, firsts=firsts, seconds=seconds)
         machine.lowest = float(min(0.0, machine.values(negatives).min()))
         known = dict(zip(all_words := sorted({p for b in bags for p in b}), machine.values(all_words).tolist(), strict=True))
         witness = [max(b, key=known.__getitem__) for b, t in zip(bags, toxic, strict=True) if t]
