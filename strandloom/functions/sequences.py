@@ -31,6 +31,11 @@ def unpack(packed: Column, k: int = K) -> Column:
     return F.translate(F.lpad(F.conv(packed.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def revcomp_id(packed: Column, k: int = K) -> Column:
+    """The packed reverse complement of a packed k-mer."""
+    return pack(revcomp(unpack(packed, k)))
+
+
 def tail_path(smer: Column, side: Column, bases: Column) -> Column:
     """The node, read towards the tail, and the tail."""
     return F.concat(F.when(side == "S", smer).otherwise(revcomp(smer)), bases)

@@ -1,12 +1,28 @@
-"""Building, saving and loading a graph."""
+"""Building, saving, loading and asking a graph.
+
+A routed graph is five tables, from which every read can be walked again without the reads:
+
+    nodes      node
+    tails      node, side, idx, len, bases, forward, reverse, target, linked
+    routes     node, dir, run, up_tail, down_tail, width, node_pos, up_pos, down_pos   (runs of equal routes, in order)
+    tags       node, dir, node_pos, tag                                                (at the last route of a read)
+    sequences  source, sequence, fragment_id, start_pos, end_pos
+
+In index mode it has nodes (and sequences) only. `node` is a packed k-mer; `smer` spells it out.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions.sequences import pack, unpack
 from .operators import graph as G
+from .operators import retrieval as R
+from .operators import routing as W
 from .operators.lineage import cut
 
 
@@ -14,16 +30,17 @@ from .operators.lineage import cut
 class GraphConfig:
     k: int = 23
     sparseness: int = 23
+    min_length: int = G.MIN_LENGTH
 
     def __post_init__(self):
         if self.k % 2 == 0 or not 3 <= self.k <= 31:
             raise ValueError("k must be odd, from 3 to 31")
+        if not 1 <= self.sparseness <= self.k:
+            raise ValueError("sparseness must be from 1 to k, so that a node's tails reach the next node")
 
 
 class Graph:
-    """Nodes, steps, tails, routes and tags. In index mode it has nodes only; routing adds the rest."""
-
-    TABLES = ("nodes", "steps", "tails", "routes")
+    INDEX, TABLES = ("nodes", "sequences"), ("nodes", "tails", "routes", "tags", "sequences")
 
     def __init__(self, tables: dict[str, DataFrame], config: GraphConfig | None = None):
         self.tables, self.config = tables, config or GraphConfig()
@@ -36,28 +53,143 @@ class Graph:
         raise AttributeError(name)
 
     @staticmethod
-    def index(reads: DataFrame, policy: str = "grid") -> Graph:
+    def _sequences(reads: DataFrame) -> dict[str, DataFrame]:
+        """The index of sequences, of reads that come from files."""
+        wanted = ["source", "sequence", "fragment_id", "start_pos"]
+        if not set(wanted) <= set(reads.columns):
+            return {}
+        return {"sequences": cut(reads.select(*wanted, (F.col("start_pos") + F.length("seq")).cast("long").alias("end_pos")), "sequences")}
+
+    @staticmethod
+    def index(reads: DataFrame, policy: str = "grid", config: GraphConfig | None = None) -> Graph:
+        config = config or GraphConfig()
         choose = {"grid": G.nodes_grid, "rounds": G.nodes_rounds, "sequential": G.nodes_sequential}
-        return Graph({"nodes": choose[policy](G.filtered(reads))})
+        used = G.filtered(reads, config.min_length, config.k)
+        nodes = choose[policy](used, k=config.k, sparseness=config.sparseness)
+        return Graph({"nodes": cut(nodes, "nodes")} | Graph._sequences(reads), config)
 
     def route(self, reads: DataFrame) -> Graph:
-        used = G.filtered(reads)
-        walked = cut(G.steps(used, G.hits(used, self.nodes)))
-        return Graph({"nodes": self.nodes, "steps": walked, "tails": G.tails(walked), "routes": G.routes(walked)}, self.config)
+        """The graph with tails, routes and, if the reads have a column tag, tags."""
+        k = self.config.k
+        used = G.filtered(reads, self.config.min_length, k)
+        walked = cut(G.steps(used, self.nodes, k), "steps")
+        ordered = W.Ordered(walked)
+        tables = {"nodes": self.nodes, "tails": cut(G.tail_targets(G.tails(walked), self.nodes, k), "tails"), "routes": cut(ordered.runs(), "runs")}
+        if "tag" in reads.columns:
+            tables["tags"] = cut(ordered.tags(reads.where("tag is not null").select("read_id", "tag")), "tags")
+        else:
+            tables["tags"] = reads.sparkSession.createDataFrame([], "node long, dir string, node_pos long, tag string")
+        if "sequences" in self.tables:
+            tables["sequences"] = self.tables["sequences"]
+        out = Graph(tables, self.config)
+        out.ordered = ordered  # with the reads' ids, which the tables don't have
+        return out
 
     @staticmethod
-    def build(reads: DataFrame, policy: str = "grid") -> Graph:
-        return Graph.index(reads, policy).route(reads)
+    def build(reads: DataFrame, policy: str = "grid", config: GraphConfig | None = None) -> Graph:
+        return Graph.index(reads, policy, config).route(reads)
+
+    def smers(self) -> DataFrame:
+        """(node, smer): the nodes and their bases."""
+        return self.nodes.select("node", unpack(F.col("node"), self.config.k).alias("smer"))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return G.edges(self.tails, self.config.k)
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        """Every route by itself."""
+        return W.positions_of(self.routes)
+
+    @cached_property
+    def trace(self) -> DataFrame:
+        """The first route of each route's read, and the steps between; found once."""
+        return W.traced(cut(self.positions, "positions"), self.config.k)
 
     def linked_smers(self, smer: str | None = None) -> DataFrame:
-        """Tails with targets and widths, of all nodes or one."""
-        out = G.tail_targets(self.tails, self.nodes).join(G.widths(self.steps), ["smer", "side", "bases"])
-        return out if smer is None else out.where(out.smer == smer)
+        """(node, smer, side, idx, len, bases, forward, reverse, target, linked): of all nodes, or of one. A node without
+        tails is one row without a side; what is no node has no row."""
+        some = self.smers() if smer is None else self.smers().where(F.col("node") == pack(F.lit(smer)))
+        return some.join(self.tails, "node", "left")
+
+    def linked_routes(self, limit: int) -> DataFrame:
+        """(node, total, routes): the routes of nodes with at most `limit` of them."""
+        return R.route_lists(self.routes, self.tails, limit)
+
+    def contexts(self, upstream: bool = True) -> DataFrame:
+        return R.contexts(self.positions, upstream)
+
+    def spanning_contexts(self) -> DataFrame:
+        return R.spanning_contexts(self.positions)
+
+    def end_contexts(self, start: bool = True, end: bool = True) -> DataFrame:
+        return R.end_contexts(self.positions, self.tails, start, end)
+
+    def across_node(self, contexts: DataFrame, downstream: bool = True) -> DataFrame:
+        return R.across_node(contexts, self.positions, downstream)
+
+    def to_linking_edge(self, contexts: DataFrame) -> DataFrame:
+        return R.to_linking_edge(contexts, self.edges)
+
+    def extract(self, contexts: DataFrame, with_node: bool = False) -> DataFrame:
+        return R.extracted(contexts, with_node, self.config.k)
+
+    def tag_data(self, contexts: DataFrame) -> DataFrame:
+        """Contexts at tails that reads come in by, with the tag of their route (null: none)."""
+        return contexts.drop("node_pos").join(self.contexts(), R.CONTEXT).join(self.tags, ["node", "dir", "node_pos"], "left")
+
+    def follow(self, contexts: DataFrame, most: int = R.DOWN_STEPS) -> DataFrame:
+        return R.followed(contexts, self.positions, self.trace, self.tags, most)
+
+    def follow_upstream(self, contexts: DataFrame, most: int = R.UP_STEPS) -> DataFrame:
+        return R.followed_upstream(contexts, self.positions, self.trace, most)
+
+    def follow_once(self, contexts: DataFrame) -> DataFrame:
+        return R.followed_once(contexts, self.positions, self.edges)
+
+    def walks(self) -> DataFrame:
+        """(node, dir, node_pos, steps, seq): all reads, walked again."""
+        return W.walks(self.positions, self.trace, self.config.k)
+
+    def tag_counts(self) -> DataFrame:
+        return R.tag_counts(self.trace, self.tags)
+
+    def validate(self) -> DataFrame:
+        return R.validation(self.tails, self.edges, self.routes, self.nodes)
+
+    def stats(self) -> DataFrame:
+        """A row for each node: its tails, routes and runs."""
+        n = lambda c, x: F.sum((F.col(c) == x).cast("long"))
+        held = self.tails.groupBy("node").agg(n("side", "P").alias("prefix_tails"), n("side", "S").alias("suffix_tails"))
+        wide = lambda d: F.sum(F.when(F.col("dir") == d, F.col("width")).otherwise(0))
+        ways = self.routes.groupBy("node").agg(F.count("*").alias("entries"), n("dir", "F").alias("forward_entries"), n("dir", "R").alias("reverse_entries"), wide("F").alias("forward_routes"), wide("R").alias("reverse_routes"))
+        return self.smers().join(held, "node", "left").join(ways, "node", "left").drop("node").na.fill(0)
 
-    def save(self, path: str) -> None:
+    def save(self, path: str, mode: str = "error") -> None:
+        """Each table in a folder of its own, nodes and tails sorted by node within files, and the parameters. Tables that were
+        loaded from this path are left as they are, so that nothing is written over what it is read from."""
+        spark = next(iter(self.tables.values())).sparkSession
         for name, df in self.tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            if any(f"{path.rstrip('/')}/{name}/" in f for f in df.inputFiles()[:1]):
+                continue
+            if "node" in df.columns:
+                order = ["node", *[c for c in ("side", "dir", "idx", "run") if c in df.columns]]
+                df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+            df.write.mode(mode).parquet(f"{path}/{name}")
+        spark.createDataFrame([asdict(self.config)]).coalesce(1).write.mode("overwrite").json(f"{path}/config")
+
+    def save_stats(self, path: str) -> None:
+        """stats as tab-separated text."""
+        self.stats().write.option("sep", "\t").option("header", True).csv(path)
 
     @staticmethod
-    def load(spark: SparkSession, path: str, routed: bool = True) -> Graph:
-        return Graph({name: spark.read.parquet(f"{path}/{name}") for name in (Graph.TABLES if routed else Graph.TABLES[:1])})
+    def load(spark: SparkSession, path: str, routed: bool | None = None) -> Graph:
+        """The tables at the path; routed: False for those of index mode only, None for whatever is there."""
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [n for n in (Graph.INDEX if routed is False else Graph.TABLES) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}"))]
+        if "nodes" not in there or (routed and "routes" not in there):
+            raise FileNotFoundError(f"no {'routed ' if routed else ''}graph at {path}")
+        given = spark.read.schema("k int, sparseness int, min_length int").json(f"{path}/config").first()
+        return Graph({n: spark.read.parquet(f"{path}/{n}") for n in there}, GraphConfig(**given.asDict()))

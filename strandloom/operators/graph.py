@@ -1,30 +1,29 @@
-"""The routed graph as DataFrames: k-mers, nodes, hits, steps, tails, edges, routes, walks.
+"""K-mers, node policies, hits, steps, tails and edges of the routed graph, as DataFrames.
 
-Reads are (read_id, seq). A k-mer's smaller strand is its smer; smers chosen as nodes lie at most `sparseness` bases apart
-on every read. A step is one node on one read with the bases to the node before (up_tail, read away from the node) and
-after (down_tail). Tails are a node's distinct step ends by side (P before, S after it, in the node's own orientation).
-Routes are the steps of a node and direction in an order that is the same at both ends of each edge, so that the reads
-can be walked again from (node, direction, position) alone.
+Reads are (read_id, seq). The smaller strand of a k-mer is its node id (`node`, two bits a base in a long; `unpack` gives the
+bases). K-mers chosen as nodes lie at most `sparseness` bases apart on every read. A step is one node on one read with the bases
+to the node before (up_tail, read away from the node) and after (down_tail). Tails are a node's distinct step ends by side (P before,
+S after it, in the node's own orientation). k-mers are computed a batch at a time in arrays, and only those that a Bloom
+filter of the nodes lets pass become rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import K, canonical, orientation, pack, revcomp, tail_path, target
-from .lineage import cut
+from ..functions import packed as P
+from ..functions.sequences import K, orientation, pack, revcomp, tail_path, target, unpack
+from .lineage import by_arrow, cut
 
 MIN_LENGTH, SPARSENESS = 40, 23
-
-
-def part(seq: str, start: Column, length: Column) -> Column:
-    """Bases from a place counted from 1. Taken as bytes, which needs no count of the characters before it."""
-    return F.substring(F.col(seq).cast("binary"), start, length).cast("string")
+#: Bits of the node filter for each node, and at most (16 MB, which is what is broadcast); beyond it there is none.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 27
 
 
 def filtered(reads: DataFrame, min_length: int = MIN_LENGTH, k: int = K) -> DataFrame:
@@ -32,25 +31,48 @@ def filtered(reads: DataFrame, min_length: int = MIN_LENGTH, k: int = K) -> Data
     return reads.where((F.length("seq") >= max(min_length, k)) & ~F.contains("seq", F.lit("N"))).withColumn("m", F.length("seq") - k)
 
 
-def kmers(reads: DataFrame, k: int = K) -> DataFrame:
-    """(read_id, m, pos, kmer): every place of every read."""
-    placed = reads.select("read_id", "m", "seq", F.explode(F.sequence(F.lit(0), F.col("m"))).alias("pos"))
-    return placed.select("read_id", "m", "pos", part("seq", F.col("pos") + 1, F.lit(k)).alias("kmer"))
+def kmers(reads: DataFrame, k: int = K, text: bool = False) -> DataFrame:
+    """(read_id, pos, node, rc): every place of every read; rc tells whether the read shows the other strand. text: and kmer,
+    the bases."""
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            ids = batch.column("read_id")
+            for read, pos, forward, reverse in P.places(*P.texts_of(batch.column("seq")), k):
+                out = {"read_id": ids.take(pa.array(read)), "pos": pos, "node": np.minimum(forward, reverse), "rc": forward > reverse}
+                yield out | {"kmer": P.strings_of(forward, k)} if text else out
 
-def oriented(placed: DataFrame) -> DataFrame:
-    """kmers with smer (the canonical strand) and rc (whether the read shows the other)."""
-    return placed.withColumn("smer", canonical(F.col("kmer"))).withColumn("rc", F.col("kmer") != F.col("smer"))
+    return by_arrow(reads.select("read_id", "seq"), run, "read_id long, pos int, node long, rc boolean" + (", kmer string" if text else ""))
 
 
-def grid_places(m: Column, sparseness: int = SPARSENESS) -> Column:
-    return F.when(m < sparseness, F.array(F.floor(m / 2).cast("int"))).otherwise(F.sequence(F.lit(sparseness), F.greatest(m, F.lit(sparseness)), F.lit(sparseness)))
+def kmer_counts(reads: DataFrame, k: int = K) -> DataFrame:
+    """(node, n): how often each canonical k-mer occurs; a batch sends each of its k-mers once."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            parts = [np.minimum(f, r) for _, _, f, r in P.places(*P.texts_of(batch.column("seq")), k)]
+            if parts:
+                node, n = np.unique(np.concatenate(parts), return_counts=True)
+                yield {"node": node, "n": n}
+
+    return by_arrow(reads.select("seq"), run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def nodes_grid(reads: DataFrame, k: int = K, sparseness: int = SPARSENESS) -> DataFrame:
-    """Distinct smers at every sparseness-th place of each read (the middle of reads without such a place)."""
-    at = reads.select("seq", F.explode(grid_places(F.col("m"), sparseness)).alias("pos"))
-    return at.select(canonical(part("seq", F.col("pos") + 1, F.lit(k))).alias("smer")).distinct()
+    """(node): distinct k-mers at every sparseness-th place of each read (the middle of reads without such a place)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            data, low, high = P.texts_of(batch.column("seq"))
+            last, parts = high - low - k, []
+            for read, pos, forward, reverse in P.places(data, low, high, k):
+                m = last[read]
+                some = np.where(m < sparseness, pos == m // 2, (pos > 0) & (pos % sparseness == 0))
+                parts.append(np.minimum(forward, reverse)[some])
+            if parts:
+                yield {"node": np.unique(np.concatenate(parts))}
+
+    return by_arrow(reads.select("seq"), run, "node long").distinct()
 
 
 def _revcomp(s: str) -> str:
@@ -58,7 +80,7 @@ def _revcomp(s: str) -> str:
 
 
 def chosen(seq: str, known: set[str], k: int, sparseness: int) -> list[str]:
-    """Smers to add for one read, given the nodes known so far: the places of known nodes are looked for from the far
+    """K-mers to add for one read, given the nodes known so far: the places of known nodes are looked for from the far
     end of each stretch backwards, then gaps of sparseness and more are filled."""
     m = len(seq) - k
 
@@ -87,7 +109,7 @@ def chosen(seq: str, known: set[str], k: int, sparseness: int) -> list[str]:
 
 
 def nodes_sequential(reads: DataFrame, k: int = K, sparseness: int = SPARSENESS, known: list[str] | None = None) -> DataFrame:
-    """Nodes as one reader in order of read_id finds them: later reads reuse the nodes of earlier ones. One task by
+    """(node) as one reader in order of read_id finds them: later reads reuse the nodes of earlier ones. One task by
     nature; for small inputs and for comparison. `nodes_rounds` is the distributed form."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,149 +117,196 @@ def nodes_sequential(reads: DataFrame, k: int = K, sparseness: int = SPARSENESS,
         for frame in it:
             new: list[str] = []
             for seq in frame.seq:
-                more = [x for x in chosen(seq, held, k, sparseness)]
+                more = chosen(seq, held, k, sparseness)
                 new += [x for x in dict.fromkeys(more) if x not in held]
                 held.update(more)
-            yield pd.DataFrame({"smer": new})
-
-    return reads.select("read_id", "seq").orderBy("read_id").coalesce(1).mapInPandas(run, "smer string")
+            yield pd.DataFrame({"smer": new}, dtype="str")
+
+    found = reads.select("read_id", "seq").orderBy("read_id").coalesce(1).mapInPandas(run, "smer string")
+    return found.select(pack(F.col("smer")).alias("node"))
+
+
+def nodes_rounds(reads: DataFrame, rounds: int = 4, k: int = K, sparseness: int = SPARSENESS) -> DataFrame:
+    """(node): reads in `rounds` parts by a hash of the id; each part adds grid nodes only in stretches that the nodes of
+    earlier parts leave open. No task needs the whole node set."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            data, low, high = P.texts_of(batch.column("seq"))
+            wanted = []
+            for m, own in zip((high - low - k).tolist(), batch.column("places").to_pylist(), strict=True):
+                before, add = 0, []
+                for mark in [*sorted(own or ()), m]:
+                    if mark - before > sparseness:  # as many as keep every distance within the sparseness
+                        add += range(before + sparseness, mark + 1, sparseness)
+                    before = mark
+                wanted.append(add if own or m > sparseness else [m // 2])
+            sizes = np.array([len(w) for w in wanted], np.int64)
+            owner, _ = P.owners(sizes)
+            at = low[owner] + np.array([p for w in wanted for p in w], np.int64)
+            parts = [np.empty(0, np.int64)]
+            for a in range(0, len(at), 100_000):
+                some = at[a : a + 100_000]
+                codes = P.CODE[data[some[:, None] + np.arange(k)]]
+                ids = np.zeros(len(some), np.int64)
+                for i in range(k):
+                    ids = ids << 2 | codes[:, i] & 3
+                parts.append(np.minimum(ids, P.reverse_ids(ids, k))[(codes < P.OTHER).all(1)])
+            yield {"node": np.unique(np.concatenate(parts))}
 
-
-def nodes_rounds(reads: DataFrame, rounds: int = 4, sparseness: int = SPARSENESS) -> DataFrame:
-    """Reads in `rounds` parts by a hash of the id; each part adds grid nodes only in stretches that the nodes of
-    earlier parts leave open. All parts are joins, so no task needs the whole node set."""
     known = None
     for part in range(rounds):
         some = reads.where(F.pmod(F.xxhash64("read_id"), F.lit(rounds)) == part)
         if known is None:
-            known = nodes_grid(some, sparseness=sparseness)
+            known = cut(nodes_grid(some, k, sparseness), "nodes")
             continue
-        at = oriented(kmers(some))
-        ends = some.select("read_id", "m", F.col("m").alias("pos"))
-        marks = at.join(known, "smer", "left_semi").select("read_id", "m", "pos").unionByName(ends)
-        gap = marks.withColumn("before", F.coalesce(F.lag("pos").over(Window.partitionBy("read_id").orderBy("pos")), F.lit(0)))
-        # as many places as keep every distance within the sparseness, up to the next mark
-        fill = gap.where(F.col("pos") - F.col("before") > sparseness).select("read_id", F.explode(F.sequence(F.col("before") + sparseness, F.col("pos"), F.lit(sparseness))).alias("pos"))
-        none = gap.groupBy("read_id").agg(F.count("*").alias("n"), F.max("m").alias("m")).where(f"n = 1 and m <= {sparseness}").select("read_id", F.floor(F.col("m") / 2).cast("int").alias("pos"))
-        known = known.unionByName(at.join(fill.unionByName(none), ["read_id", "pos"], "left_semi").select("smer")).distinct()
+        open_reads = some.select("read_id", "seq").join(hit_lists(some, known, k).select("read_id", "places"), "read_id", "left")
+        known = cut(known.unionByName(by_arrow(open_reads, run, "node long")).distinct(), "nodes")
     return known
 
 
-def hits(reads: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(read_id, m, pos, smer, dir, ord): every node on every read. The join deals by the packed k-mer (8 bytes)."""
-    at = oriented(kmers(reads)).withColumn("id", pack(F.col("smer")))
-    found = at.join(nodes.select(pack(F.col("smer")).alias("id")), "id", "left_semi")
-    order = Window.partitionBy("read_id").orderBy("pos")
-    return found.select("read_id", "m", "pos", "smer", F.when(F.col("rc"), "R").otherwise("F").alias("dir"), (F.row_number().over(order) - 1).alias("ord"))
-
-
-def gaps(found: DataFrame, sparseness: int = SPARSENESS) -> DataFrame:
-    """(read_id, gap) before each hit and after the last one."""
-    order = Window.partitionBy("read_id").orderBy("pos")
-    before = found.select("read_id", (F.col("pos") - F.coalesce(F.lag("pos").over(order), F.lit(0))).alias("gap"))
-    after = found.groupBy("read_id").agg((F.max("m") - F.max("pos")).alias("gap"))
-    return before.unionByName(after)
+def node_filter(nodes: DataFrame) -> P.Filter | None:
+    """A Bloom filter of (node); None where it would be larger than MOST_FILTER_BITS. Each task sends the words it has
+    set, which are put together before they come to the driver."""
+    count = nodes.count()
+    if count * FILTER_BITS > MOST_FILTER_BITS:
+        return None
+    bits = max(1 << 10, 1 << (max(1, count) * FILTER_BITS - 1).bit_length())
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        own = P.Filter(bits)
+        for batch in it:
+            own.put(batch.column("node").to_numpy())
+        word = np.flatnonzero(own.words)
+        yield {"word": word, "bits": own.words[word].view(np.int64)}
+
+    words = by_arrow(nodes.select("node"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = P.Filter(bits)
+    out.words[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(np.uint64)
+    return out
 
 
-def steps(reads: DataFrame, found: DataFrame, k: int = K) -> DataFrame:
-    """(read_id, ord, pos, smer, dir, up_tail, down_tail)."""
-    order = Window.partitionBy("read_id").orderBy("pos")
-    near = found.withColumns({"a": F.coalesce(F.lag("pos").over(order), F.lit(0)), "b": F.coalesce(F.lead("pos").over(order), F.col("m"))})
-    whole = near.join(reads.select("read_id", "seq"), "read_id")
-    up = revcomp(part("seq", F.col("a") + 1, F.col("pos") - F.col("a")))
-    down = part("seq", F.col("pos") + k + 1, F.col("b") - F.col("pos"))
-    return whole.select("read_id", "ord", "pos", "smer", "dir", up.alias("up_tail"), down.alias("down_tail"))
+def found_kmers(reads: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
+    """(read_id, pos, node, rc) of every place that holds a node. nodes are read twice."""
+    holds = node_filter(nodes)
+    held = reads.sparkSession.sparkContext.broadcast(holds) if holds else None
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            ids = batch.column("read_id")
+            for read, pos, forward, reverse in P.places(*P.texts_of(batch.column("seq")), k):
+                node, rc = np.minimum(forward, reverse), forward > reverse
+                if held is not None:
+                    some = np.flatnonzero(held.value.may_hold(node))
+                    read, pos, node, rc = read[some], pos[some], node[some], rc[some]
+                yield {"read_id": ids.take(pa.array(read)), "pos": pos, "node": node, "rc": rc}
+
+    return by_arrow(reads.select("read_id", "seq"), run, "read_id long, pos int, node long, rc boolean").join(nodes.select("node"), "node", "left_semi")
+
+
+def hit_lists(reads: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
+    """(read_id, places, nodes, reversed): a row for each read with hits, in order of their places."""
+    lists = found_kmers(reads, nodes, k).groupBy("read_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "rc"))).alias("h"))  # a read's own
+    return lists.select("read_id", F.col("h.pos").alias("places"), F.col("h.node").alias("nodes"), F.col("h.rc").alias("reversed"))
+
+
+def hits(reads: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
+    """(read_id, ord, pos, node, dir): every node on every read."""
+    rows = hit_lists(reads, cut(nodes, "nodes"), k).select("read_id", F.posexplode(F.arrays_zip("places", "nodes", "reversed")).alias("ord", "h"))
+    return rows.select("read_id", "ord", F.col("h.places").alias("pos"), F.col("h.nodes").alias("node"), F.when(F.col("h.reversed"), "R").otherwise("F").alias("dir"))
+
+
+def gaps(reads: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
+    """(read_id, gap) before each hit and after the last one, of the reads with hits."""
+    lists = hit_lists(reads, cut(nodes, "nodes"), k).join(reads.select("read_id", "m"), "read_id")
+    marks = F.concat(F.array(F.lit(0)), "places", F.array(F.col("m")))
+    between = F.transform(F.sequence(F.lit(1), F.size("places") + 1), lambda i: F.get(marks, i) - F.get(marks, i - 1))
+    return lists.select("read_id", F.explode(between).alias("gap"))
+
+
+def steps(reads: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
+    """(read_id, ord, pos, node, dir, up_tail, down_tail). The reads are dealt once, to meet their hits."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            data, low, high = P.texts_of(batch.column("seq"))
+            lists = [batch.column(c) for c in ("places", "nodes", "reversed")]
+            sizes = np.diff(lists[0].offsets.to_numpy())
+            pos, node, rc = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+            read, order = P.owners(sizes)
+            pos = pos.astype(np.int64)
+            ends = np.cumsum(sizes) - 1
+            before = np.where(order > 0, np.concatenate([[0], pos[:-1]]), 0)
+            after = np.concatenate([pos[1:], [0]])
+            after[ends[sizes > 0]] = (high - low - k)[sizes > 0]
+            ids = batch.column("read_id")
+            for a in range(0, len(pos), 200_000):
+                s = slice(a, a + 200_000)
+                begin, p = low[read[s]], pos[s]
+                yield {
+                    "read_id": ids.take(pa.array(read[s])), "ord": order[s], "pos": p, "node": node[s], "dir": pa.array(np.where(rc[s], "R", "F")),
+                    "up_tail": P.stretches(data, begin + before[s], begin + p, True), "down_tail": P.stretches(data, begin + p + k, begin + after[s] + k),
+                }
+
+    whole = reads.select("read_id", "seq").join(hit_lists(reads, cut(nodes, "nodes"), k), "read_id")
+    return by_arrow(whole, run, "read_id long, ord int, pos int, node long, dir string, up_tail string, down_tail string")
 
 
 def ends(walked: DataFrame) -> DataFrame:
-    """Both ends of each step: (smer, dir, side, bases)."""
+    """Both ends of each step: (node, dir, side, bases)."""
     forward = F.col("dir") == "F"
-    return walked.select("smer", "dir", F.explode(F.array(F.struct(F.when(forward, "P").otherwise("S").alias("side"), F.col("up_tail").alias("bases")), F.struct(F.when(forward, "S").otherwise("P").alias("side"), F.col("down_tail").alias("bases")))).alias("e")).select("smer", "dir", "e.side", "e.bases")
+    return walked.select("node", "dir", F.explode(F.array(F.struct(F.when(forward, "P").otherwise("S").alias("side"), F.col("up_tail").alias("bases")), F.struct(F.when(forward, "S").otherwise("P").alias("side"), F.col("down_tail").alias("bases")))).alias("e")).select("node", "dir", "e.side", "e.bases")
+
+
+def widths(walked: DataFrame) -> DataFrame:
+    """(node, side, bases, forward, reverse): steps over each tail by direction."""
+    n = lambda d: F.sum((F.col("dir") == d).cast("long"))
+    return ends(walked).where("bases <> ''").groupBy("node", "side", "bases").agg(n("F").alias("forward"), n("R").alias("reverse"))
 
 
 def tails(walked: DataFrame) -> DataFrame:
-    """(smer, side, idx, len, bases): distinct tails, numbered from 1 by length and bases; 0 is no tail."""
-    order = Window.partitionBy("smer", "side").orderBy(F.length("bases"), "bases")
-    distinct = ends(walked).where("bases <> ''").select("smer", "side", "bases").distinct()
-    return distinct.select("smer", "side", F.row_number().over(order).alias("idx"), F.length("bases").alias("len"), "bases")
+    """(node, side, idx, len, bases, forward, reverse): distinct tails, numbered from 1 by length and bases, with their
+    widths; 0 is no tail."""
+    order = Window.partitionBy("node", "side").orderBy(F.length("bases"), "bases")  # of distinct tails
+    return widths(walked).select("node", "side", F.row_number().over(order).alias("idx"), F.length("bases").alias("len"), "bases", "forward", "reverse")
+
 
+def with_path(held: DataFrame, k: int = K) -> DataFrame:
+    """Tails with the bases of their node, read towards the tail, and the tail."""
+    return held.withColumn("path", tail_path(unpack(F.col("node"), k), F.col("side"), F.col("bases")))
 
-def tail_targets(held: DataFrame, nodes: DataFrame) -> DataFrame:
+
+def tail_targets(held: DataFrame, nodes: DataFrame, k: int = K) -> DataFrame:
     """Tails with the node they lead to and linked: 1 or -1 by its orientation, 0 if it is no node."""
-    led = held.withColumn("path", tail_path(F.col("smer"), F.col("side"), F.col("bases"))).withColumn("target", target(F.col("path")))
-    known = nodes.select(F.col("smer").alias("target"), F.lit(1).alias("known"))
-    out = led.join(known, "target", "left")
-    linked = F.when(F.col("known").isNull(), 0).otherwise(orientation(F.col("path"), F.col("side")))
-    return out.select("smer", "side", "idx", "len", "bases", "target", linked.alias("linked"))
+    led = with_path(held, k).withColumn("target", pack(target(F.col("path"), k)))
+    out = led.join(nodes.select(F.col("node").alias("target"), F.lit(1).alias("known")), "target", "left")
+    linked = F.when(F.col("known").isNull(), 0).otherwise(orientation(F.col("path"), F.col("side"), k))
+    return out.select(*held.columns, "target", linked.alias("linked"))
 
 
-def edges(targets: DataFrame) -> DataFrame:
-    """Linked tails with the far end: its side and its bases, by which it is found among the target's tails."""
-    path = tail_path(F.col("smer"), F.col("side"), F.col("bases"))
-    back = revcomp(path)
-    far_side = F.when(F.left(back, F.lit(K)) == F.col("target"), "S").otherwise("P")
-    return targets.where("linked <> 0").select("smer", "side", "idx", "bases", "target", "linked", far_side.alias("far_side"), F.substring(back, F.lit(K + 1), F.length("bases")).alias("far_bases"))
+def linking(targets: DataFrame) -> DataFrame:
+    """The linked node of each tail, -1 for none."""
+    return targets.withColumn("linking", F.when(F.col("linked") != 0, F.col("target")).otherwise(F.lit(-1)))
 
 
-def widths(walked: DataFrame) -> DataFrame:
-    """(smer, side, bases, forward, reverse): steps over each tail by direction."""
-    n = lambda d: F.sum((F.col("dir") == d).cast("long"))
-    return ends(walked).where("bases <> ''").groupBy("smer", "side", "bases").agg(n("F").alias("forward"), n("R").alias("reverse"))
+def edges(targets: DataFrame, k: int = K) -> DataFrame:
+    """Linked tails with the far end: its side and its bases, by which it is found among the target's tails."""
+    back = revcomp(F.col("path"))
+    far_side = F.when(F.left(back, F.lit(k)) == unpack(F.col("target"), k), "S").otherwise("P")
+    return with_path(targets.where("linked <> 0"), k).select("node", "side", "idx", "bases", "target", "linked", far_side.alias("far_side"), F.substring(back, F.lit(k + 1), F.length("bases")).alias("far_bases"))
 
 
 def edge_widths(linked: DataFrame, width: DataFrame) -> DataFrame:
     """Edges with the widths of both ends; agrees tells whether they match (directions swap where linked < 0)."""
-    far = width.select(F.col("smer").alias("target"), F.col("side").alias("far_side"), F.col("bases").alias("far_bases"), F.col("forward").alias("far_forward"), F.col("reverse").alias("far_reverse"))
-    both = linked.join(width, ["smer", "side", "bases"]).join(far, ["target", "far_side", "far_bases"], "left")
+    far = width.select(F.col("node").alias("target"), F.col("side").alias("far_side"), F.col("bases").alias("far_bases"), F.col("forward").alias("far_forward"), F.col("reverse").alias("far_reverse"))
+    both = linked.join(width.select("node", "side", "bases", "forward", "reverse"), ["node", "side", "bases"]).join(far, ["target", "far_side", "far_bases"], "left")
     same = F.when(F.col("linked") > 0, (F.col("forward") == F.col("far_forward")) & (F.col("reverse") == F.col("far_reverse"))).otherwise((F.col("forward") == F.col("far_reverse")) & (F.col("reverse") == F.col("far_forward")))
-    return both.select("smer", "side", "bases", "target", "linked", "forward", "reverse", F.coalesce(same, F.lit(False)).alias("agrees"))
+    return both.select("node", "side", "bases", "target", "linked", "forward", "reverse", F.coalesce(same, F.lit(False)).alias("agrees"))
 
 
 def routes(walked: DataFrame) -> DataFrame:
-    """(smer, dir, up_tail, down_tail, width): reads on each way through a node; partial sums before the shuffle."""
-    return walked.groupBy("smer", "dir", "up_tail", "down_tail").agg(F.count("*").alias("width"))
-
-
-def route_positions(walked: DataFrame) -> DataFrame:
-    """Steps with node_pos, and up_pos and down_pos among those of the same tail. The order within a node and direction
-    is by the tails before (latest first), then those after, then the read, so it agrees at both ends of an edge."""
-    back = Window.partitionBy("read_id").orderBy(F.desc("ord")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    ahead = Window.partitionBy("read_id").orderBy("ord").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    keyed = walked.withColumns({"hist": F.collect_list("up_tail").over(back), "fut": F.collect_list("down_tail").over(ahead)})
-    order = ["hist", "fut", "read_id", "ord"]
-    at = lambda *key: (F.row_number().over(Window.partitionBy("smer", "dir", *key).orderBy(*order)) - 1).cast("long")
-    return keyed.withColumns({"node_pos": at(), "up_pos": at("up_tail"), "down_pos": at("down_tail")}).drop("hist", "fut")
-
-
-def route_runs(positions: DataFrame) -> DataFrame:
-    """(smer, dir, run, up_tail, down_tail, width): routes in order, equal neighbours as one."""
-    order = Window.partitionBy("smer", "dir").orderBy("node_pos")
-    new = F.coalesce((F.col("up_tail") != F.lag("up_tail").over(order)) | (F.col("down_tail") != F.lag("down_tail").over(order)), F.lit(True))
-    run = positions.withColumn("new", new.cast("long")).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
-    return run.groupBy("smer", "dir", "run", "up_tail", "down_tail").agg(F.count("*").alias("width"))
-
-
-def walks(positions: DataFrame, longest: int, k: int = K) -> DataFrame:
-    """(smer, dir, node_pos, seq): each read walked again from its first node, by (node, direction, position) alone. Steps
-    find their next by the far end of the edge and their position on it; pointers double, so `longest` steps take
-    log2(longest) joins."""
-    here = positions.select("smer", "dir", "up_tail", "down_tail", "node_pos", "up_pos", "down_pos")
-    side = F.when(F.col("dir") == "F", "S").otherwise("P")
-    path = tail_path(F.col("smer"), side, F.col("down_tail"))
-    back = revcomp(path)
-    far_dir = F.when(F.right(path, F.lit(k)) == canonical(F.right(path, F.lit(k))), "F").otherwise("R")
-    out = here.select("smer", "dir", "node_pos", F.col("down_tail").alias("seq"), target(path).alias("t_smer"), far_dir.alias("t_dir"), F.substring(back, F.lit(k + 1), F.length("down_tail")).alias("t_up"), F.when(F.col("down_tail") != "", F.col("down_pos")).alias("t_pos"))
-    into = here.select(F.col("smer").alias("t_smer"), F.col("dir").alias("t_dir"), F.col("up_tail").alias("t_up"), F.col("up_pos").alias("t_pos"), F.col("node_pos").alias("n_pos"))
-    now = out.join(into, ["t_smer", "t_dir", "t_up", "t_pos"], "left").select("smer", "dir", "node_pos", "seq", F.when(F.col("n_pos").isNotNull(), F.col("t_smer")).alias("n_smer"), F.col("t_dir").alias("n_dir"), "n_pos")
-    for _ in range(max(1, math.ceil(math.log2(max(longest, 2))))):
-        now = cut(now)
-        then = now.select(F.col("smer").alias("n_smer"), F.col("dir").alias("n_dir"), F.col("node_pos").alias("n_pos"), F.col("seq").alias("more"), F.col("n_smer").alias("o_smer"), F.col("n_dir").alias("o_dir"), F.col("n_pos").alias("o_pos"))
-        now = now.join(then, ["n_smer", "n_dir", "n_pos"], "left").select("smer", "dir", "node_pos", F.concat("seq", F.coalesce("more", F.lit(""))).alias("seq"), F.col("o_smer").alias("n_smer"), F.col("o_dir").alias("n_dir"), F.col("o_pos").alias("n_pos"))
-    # a start: its up tail is empty or leads to no step, i.e. no edge comes in
-    incoming = out.join(into, ["t_smer", "t_dir", "t_up", "t_pos"]).select(F.col("t_smer").alias("smer"), F.col("t_dir").alias("dir"), F.col("n_pos").alias("node_pos"))
-    first = here.join(incoming, ["smer", "dir", "node_pos"], "left_anti").select("smer", "dir", "node_pos", "up_tail")
-    own = F.when(F.col("dir") == "F", F.col("smer")).otherwise(revcomp(F.col("smer")))
-    return first.join(now.select("smer", "dir", "node_pos", "seq"), ["smer", "dir", "node_pos"]).select("smer", "dir", "node_pos", F.concat(revcomp(F.col("up_tail")), own, F.col("seq")).alias("seq"))
+    """(node, dir, up_tail, down_tail, width): reads on each way through a node; partial sums before the shuffle."""
+    return walked.groupBy("node", "dir", "up_tail", "down_tail").agg(F.count("*").alias("width"))
 
 
 def fragments(reads: DataFrame, longest: int = 1050, overlap: int = 50, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -245,8 +314,7 @@ def fragments(reads: DataFrame, longest: int = 1050, overlap: int = 50, min_leng
     n, stride = F.length("seq"), longest - overlap
     last = F.greatest(F.lit(0), F.floor((n - overlap) / stride)).cast("int")
     at = reads.where(n >= min_length).select("read_id", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    out = at.select("read_id", F.col("i").cast("long").alias("fragment_id"), (F.col("i") * stride).alias("start_pos"), F.least(F.col("n"), F.col("i") * stride + longest).alias("end_pos"))
-    return out
+    return at.select("read_id", F.col("i").cast("long").alias("fragment_id"), (F.col("i") * stride).alias("start_pos"), F.least(F.col("n"), F.col("i") * stride + longest).alias("end_pos"))
 
 
 def acgt_runs(lines: DataFrame, id_column: str, text: str, min_length: int = MIN_LENGTH) -> DataFrame:
@@ -255,3 +323,8 @@ def acgt_runs(lines: DataFrame, id_column: str, text: str, min_length: int = MIN
     before = Window.partitionBy(id_column).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     placed = pieces.select(id_column, F.coalesce(F.sum(F.length("run") + 1).over(before), F.lit(0)).alias("start_pos"), F.length("run").alias("len"))
     return placed.where(F.col("len") >= min_length)
+
+
+def grid_places(m: Column, sparseness: int = SPARSENESS) -> Column:
+    """The places of the grid policy as an expression."""
+    return F.when(m < sparseness, F.array(F.floor(m / 2).cast("int"))).otherwise(F.sequence(F.lit(sparseness), F.greatest(m, F.lit(sparseness)), F.lit(sparseness)))

@@ -1,15 +1,59 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and functions over Arrow batches."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+_OWN: list[str] = []
+#: Rows of a batch that an operator gives out.
+GIVEN = 200_000
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in spark.checkpoint.dir (a temporary folder only where that is unset, as in tests)."""
+
+def folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a temporary folder only where that is unset and the master is local, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="strandloom-"))
+    return _OWN[0]
+
+
+def cut(df: DataFrame, name: str = "table") -> DataFrame:
+    """df, computed once and kept as Parquet in the shared folder, where its lineage ends."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strandloom-"))
-    return df.checkpoint()
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that `cut` made and that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def by_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
+    """mapInArrow with a function that yields dicts of columns (numpy, Arrow or lists), given out in batches of GIVEN rows."""
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in fn(it):
+            arrays = [c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in ((cols[f.name], f) for f in target)]
+            whole = pa.RecordBatch.from_arrays(arrays, schema=target)
+            for a in range(0, whole.num_rows, GIVEN):
+                yield whole.slice(a, GIVEN)
+
+    return df.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """The registered queries on the provided tables, and the same in SQL for DuckDB.
 
-Texts stand in for DNA (functions.sequences.dna). Documents are long reads; conversations are short ones, on which the queries
-that order whole routes run.
+Texts stand in for DNA (functions.sequences.dna). Documents are the reads, whole and all of them; conversations are short reads,
+for the queries that go through reads one after the other (`nodes_sequential`) or carry qualities.
 """
 
 from __future__ import annotations
@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..graph import Graph
 from ..operators import graph as G
-from ..operators.lineage import cut
+from ..operators import retrieval as R
+from ..operators import routing as W
+from ..operators.lineage import cut, folder
+
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -25,66 +29,114 @@ def short_reads(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), S.dna(F.col("text")).alias("seq"))
 
 
-def _kmers(spark: SparkSession, d: str) -> DataFrame:
-    return G.oriented(G.kmers(G.filtered(short_reads(spark, d))))
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with a tag: those of a known language."""
+    tag = F.when(F.col("lang").isNotNull(), F.concat(F.lit("t"), F.col("doc_id").cast("string")))
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), S.dna(F.col("text")).alias("seq"), tag.alias("tag"))
+
+
+def _used(spark: SparkSession, d: str, reads=long_reads) -> DataFrame:
+    return G.filtered(reads(spark, d))
+
+
+def _nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Reads and nodes, both computed once."""
+    used = cut(_used(spark, d), "reads")
+    return used, cut(G.nodes_grid(used), "nodes")
 
 
-def _built(reads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    used = G.filtered(reads)
-    nodes = G.nodes_grid(used)
-    return used, nodes, G.steps(used, G.hits(used, nodes))
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    return G.steps(*_nodes(spark, d))
 
 
-def _linked(spark: SparkSession, d: str, reads=long_reads) -> tuple[DataFrame, DataFrame, DataFrame]:
-    _, nodes, walked = _built(reads(spark, d))
-    walked = cut(walked)
+def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    used, nodes = _nodes(spark, d)
+    walked = cut(G.steps(used, nodes), "steps")
     return walked, nodes, G.tail_targets(G.tails(walked), nodes)
 
 
-def _positions(spark: SparkSession, d: str) -> DataFrame:
-    return G.route_positions(_built(short_reads(spark, d))[2])
+def spelled(df: DataFrame, *also: str) -> DataFrame:
+    """df with its packed k-mers spelled out: smer for node."""
+    columns = {c: S.unpack(F.col(c)).alias("smer" if c == "node" else c) if c in ("node", *also) else F.col(c) for c in df.columns}
+    return df.select(*columns.values())
+
+
+def _ordered(spark: SparkSession, d: str) -> W.Ordered:
+    return W.Ordered(cut(_steps(spark, d), "steps"))
+
+
+def _graph(spark: SparkSession, d: str) -> Graph:
+    return Graph.build(_tagged(spark, d))
 
 
-def _ends(spark: SparkSession, d: str, tail: str, side_of_f: str) -> DataFrame:
-    walked, nodes, targets = _linked(spark, d, short_reads)
-    side = F.when(F.col("dir") == side_of_f[0], side_of_f[1]).otherwise("P" if side_of_f[1] == "S" else "S")
-    at = G.route_positions(walked).select("smer", "dir", "node_pos", side.alias("side"), F.col(tail).alias("bases"))
-    open_tails = targets.select("smer", "side", "bases", "idx", "linked")
-    out = at.join(open_tails, ["smer", "side", "bases"], "left").where("bases = '' or linked = 0")
-    return out.select("smer", "dir", "node_pos", F.coalesce("idx", F.lit(0)).alias("idx"))
+def _asked(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:
+    """A graph, and for each read the context at its middle step, where the read comes in."""
+    graph = Graph.build(_tagged(spark, d))
+    places = cut(graph.ordered.positions(), "positions")
+    middle = places.groupBy("read_id").agg(F.floor(F.count("*") / 2).cast("int").alias("ord"))
+    at = places.join(middle, ["read_id", "ord"])
+    return graph, cut(at.select(F.col("read_id").alias("asked_id"), "node", "dir", R.side_of(True).alias("side"), F.col("up_tail").alias("bases"), F.col("up_pos").alias("edge_pos")), "asked")
+
+
+def _ends(spark: SparkSession, d: str, start: bool) -> DataFrame:
+    graph = _graph(spark, d)
+    return spelled(graph.end_contexts(start, not start)).select("smer", "dir", "node_pos", "idx")
 
 
 def _read_walks(spark: SparkSession, d: str) -> DataFrame:
-    placed = cut(_positions(spark, d))
-    longest = placed.agg(F.max("ord") + 2).first()[0] or 2
-    return G.walks(placed, longest)
+    return _graph(spark, d).walks().select("seq")
+
 
+def _tag_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The tags of all contexts at starts of reads that end where they start (reads of one step)."""
+    graph = _graph(spark, d)
+    return spelled(graph.tag_data(graph.end_contexts(True, False).drop("idx")).where("tag is not null")).select("smer", "dir", "node_pos", "tag")
 
-def _walk_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Tags lie at the last step of their read, by node and position."""
-    placed = _positions(spark, d)
-    last = placed.groupBy("read_id").agg(F.max("ord").alias("ord"))
-    return placed.join(last, ["read_id", "ord"]).select("smer", "dir", "node_pos", F.concat(F.lit("t"), F.col("read_id").cast("string")).alias("tag"))
+
+def _limited(spark: SparkSession, d: str, limit: int = 20) -> DataFrame:
+    lists = _graph(spark, d).linked_routes(limit)
+    one = lambda r: F.concat_ws(":", r["dir"], r["prefix"].cast("string"), r["suffix"].cast("string"), r["width"].cast("string"))
+    return spelled(lists.withColumn("routes", F.array_join(F.transform("routes", one), ",")))
 
 
 def _node_stats(spark: SparkSession, d: str) -> DataFrame:
-    walked = cut(_built(long_reads(spark, d))[2])
-    held = G.tails(walked).groupBy("smer").agg(F.sum((F.col("side") == "P").cast("long")).alias("prefix_tails"), F.sum((F.col("side") == "S").cast("long")).alias("suffix_tails"))
-    n = lambda d: F.sum(F.when(F.col("dir") == d, F.col("width")).otherwise(0))
-    ways = G.routes(walked).groupBy("smer").agg(F.count("*").alias("ways"), n("F").alias("forward_routes"), n("R").alias("reverse_routes"))
-    return ways.join(held, "smer", "left").select("smer", "ways", "forward_routes", "reverse_routes", F.coalesce("prefix_tails", F.lit(0)).alias("prefix_tails"), F.coalesce("suffix_tails", F.lit(0)).alias("suffix_tails"))
+    return _graph(spark, d).stats()
 
 
-def _limited(spark: SparkSession, d: str, limit: int = 20) -> DataFrame:
-    ways = G.routes(_built(long_reads(spark, d))[2])
-    lists = ways.groupBy("smer").agg(F.sum("width").alias("total"), F.count("*").alias("ways"))
-    return lists.select("smer", "total", F.when(F.col("total") <= limit, F.col("ways")).otherwise(-1).alias("shown"))
+def _transitions(spark: SparkSession, d: str) -> DataFrame:
+    graph = _graph(spark, d)
+    asked = graph.contexts().withColumnRenamed("node_pos", "asked_pos").withColumn("from_bases", F.col("bases"))
+    return spelled(graph.across_node(asked)).select("smer", "dir", "asked_pos", "from_bases", "side", "bases", "edge_pos")
+
+
+def _edge_transitions(spark: SparkSession, d: str) -> DataFrame:
+    graph = _graph(spark, d)
+    asked = graph.contexts(False).withColumnRenamed("node_pos", "asked_pos").withColumn("from_node", F.col("node")).withColumn("from_dir", F.col("dir"))
+    return spelled(graph.to_linking_edge(asked), "from_node").select("from_node", "from_dir", "asked_pos", "smer", "dir", "side", "bases", "edge_pos")
+
+
+def _checks(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d).validate()
+
+
+def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A saved graph is loaded again: rows and a total of each table, and of the reads walked from it."""
+    import uuid
+
+    path = f"{folder(spark)}/graph-{uuid.uuid4().hex}"
+    _graph(spark, d).save(path)
+    g = Graph.load(spark, path)
+    parts = {"nodes": (g.nodes, F.count("*")), "tails": (g.tails, F.sum(F.col("forward") + F.col("reverse"))), "routes": (g.routes, F.sum("width")), "tags": (g.tags, F.sum(F.length("tag"))), "walks": (g.walks(), F.sum(F.length("seq")))}
+    out = None
+    for name, (df, total) in parts.items():
+        one = df.agg(F.count("*").alias("n"), total.cast("long").alias("total")).select(F.lit(name).alias("part"), "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
-    nodes = G.nodes_grid(G.filtered(long_reads(spark, d)))
     asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("read_id"), S.dna(F.col("text")).alias("seq"))
-    return G.hits(G.filtered(asked), nodes).select("read_id", "pos", "smer", "dir")
+    return spelled(G.hits(G.filtered(asked), _nodes(spark, d)[1]).drop("ord"))
 
 
 def _sequence_index(spark: SparkSession, d: str) -> DataFrame:
@@ -114,56 +166,58 @@ def _phred(spark: SparkSession, d: str) -> DataFrame:
     return both.select("low", "high", F.when((F.col("low") > 0) & (F.col("high") == 0), 33).when((F.col("high") > 0) & (F.col("low") == 0), 64).otherwise(0).alias("offset"))
 
 
-def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    import uuid
-
-    from ..graph import Graph
-    from .scratch import folder
-
-    path = f"{folder(spark)}/graph-{uuid.uuid4().hex}"
-    Graph.build(long_reads(spark, d)).save(path)
-    return Graph.load(spark, path).routes
-
-
 QUERIES = {
     "seq_reads": lambda s, d: long_reads(s, d).select("read_id", "seq", F.length("seq").alias("len")),
-    "seq_reads_filtered": lambda s, d: G.filtered(short_reads(s, d)).select("read_id", "seq", "m"),
+    "seq_reads_filtered": lambda s, d: _used(s, d).select("read_id", "seq", "m"),
     "fasta_runs": lambda s, d: G.acgt_runs(_table(s, d, "documents").select("doc_id", F.translate("text", "acgt", "ACGT").alias("text")), "doc_id", "text", 2),
     "fasta_fragments": lambda s, d: G.fragments(long_reads(s, d)),
-    "kmers": lambda s, d: _kmers(s, d).select("read_id", "pos", "kmer"),
-    "canonical_kmers": lambda s, d: _kmers(s, d).groupBy("smer").agg(F.count("*").alias("n")),
-    "kmer_orientation": lambda s, d: _kmers(s, d).groupBy("read_id").agg(F.sum(F.col("rc").cast("long")).alias("reversed"), F.count("*").alias("n")),
-    "kmer_both_strands": lambda s, d: _kmers(s, d).select("read_id", "pos", F.explode(F.array("kmer", S.revcomp(F.col("kmer")))).alias("strand")),
-    "smer_pack": lambda s, d: G.nodes_grid(G.filtered(short_reads(s, d))).select("smer", S.pack(F.col("smer")).alias("smer_id")),
-    "smer_unpack": lambda s, d: G.nodes_grid(G.filtered(short_reads(s, d))).select(S.unpack(S.pack(F.col("smer"))).alias("smer")),
-    "revcomp": lambda s, d: short_reads(s, d).select("read_id", S.revcomp(F.col("seq")).alias("rc")),
-    "nodes_grid": lambda s, d: G.nodes_grid(G.filtered(long_reads(s, d))),
-    "node_count": lambda s, d: G.nodes_grid(G.filtered(long_reads(s, d))).agg(F.count("*").alias("n")),
-    "node_path_counts": lambda s, d: (lambda u: G.hits(u, G.nodes_grid(u)).groupBy("smer").agg(F.count("*").alias("n")))(G.filtered(long_reads(s, d))),
-    "nodes_sequential": lambda s, d: G.nodes_sequential(G.filtered(short_reads(s, d))),
-    "nodes_rounds": lambda s, d: G.nodes_rounds(G.filtered(short_reads(s, d))),
-    "read_hits": lambda s, d: (lambda u: G.hits(u, G.nodes_grid(u)).select("read_id", "ord", "pos", "smer", "dir"))(G.filtered(long_reads(s, d))),
-    "hit_gaps": lambda s, d: (lambda u: G.gaps(G.hits(u, G.nodes_grid(u))).groupBy("gap").agg(F.count("*").alias("n")))(G.filtered(long_reads(s, d))),
-    "max_gap_check": lambda s, d: (lambda u: G.gaps(G.hits(u, G.nodes_grid(u))).agg(F.max("gap").alias("max_gap")))(G.filtered(long_reads(s, d))),
-    "steps": lambda s, d: _built(long_reads(s, d))[2],
-    "tails": lambda s, d: G.tails(_built(long_reads(s, d))[2]),
-    "tail_targets": lambda s, d: _linked(s, d)[2],
-    "dangling_tails": lambda s, d: _linked(s, d)[2].where("linked = 0").select("smer", "side", "bases"),
-    "edges": lambda s, d: G.edges(_linked(s, d)[2]),
-    "edge_widths": lambda s, d: (lambda w, n, t: G.edge_widths(G.edges(t), G.widths(w)))(*_linked(s, d)),
-    "edge_symmetry_check": lambda s, d: (lambda w, n, t: G.edge_widths(G.edges(t), G.widths(w)).agg(F.count("*").alias("n_edges"), F.sum((~F.col("agrees")).cast("long")).alias("violations")))(*_linked(s, d)),
-    "routes_agg": lambda s, d: G.routes(_built(long_reads(s, d))[2]),
-    "total_routes": lambda s, d: G.routes(_built(long_reads(s, d))[2]).groupBy("smer").agg(F.sum("width").alias("total")),
+    "kmers": lambda s, d: G.kmers(_used(s, d), text=True).select("read_id", "pos", "kmer"),
+    "canonical_kmers": lambda s, d: spelled(G.kmer_counts(_used(s, d))),
+    "kmer_orientation": lambda s, d: G.kmers(_used(s, d)).groupBy("read_id").agg(F.sum(F.col("rc").cast("long")).alias("reversed"), F.count("*").alias("n")),
+    "kmer_both_strands": lambda s, d: G.kmers(_used(s, d), text=True).select("read_id", "pos", "kmer", S.revcomp(F.col("kmer")).alias("other")),
+    "smer_pack": lambda s, d: spelled(G.nodes_grid(_used(s, d)).withColumn("smer_id", F.col("node"))),
+    "smer_unpack": lambda s, d: G.nodes_grid(_used(s, d)).select(S.unpack(F.col("node")).alias("smer")),
+    "packed_revcomp": lambda s, d: spelled(G.nodes_grid(_used(s, d)).withColumn("rc_id", S.revcomp_id(F.col("node")))),
+    "revcomp": lambda s, d: long_reads(s, d).select("read_id", S.revcomp(F.col("seq")).alias("rc")),
+    "nodes_grid": lambda s, d: spelled(G.nodes_grid(_used(s, d))),
+    "node_count": lambda s, d: G.nodes_grid(_used(s, d)).agg(F.count("*").alias("n")),
+    "node_path_counts": lambda s, d: spelled(G.found_kmers(*_nodes(s, d)).groupBy("node").agg(F.count("*").alias("n"))),
+    "nodes_sequential": lambda s, d: spelled(G.nodes_sequential(_used(s, d, short_reads))),
+    "nodes_rounds": lambda s, d: spelled(G.nodes_rounds(_used(s, d))),
+    "read_hits": lambda s, d: spelled(G.hits(*_nodes(s, d))),
+    "hit_gaps": lambda s, d: G.gaps(*_nodes(s, d)).groupBy("gap").agg(F.count("*").alias("n")),
+    "max_gap_check": lambda s, d: G.gaps(*_nodes(s, d)).agg(F.max("gap").alias("max_gap")),
+    "steps": lambda s, d: spelled(_steps(s, d)),
+    "tails": lambda s, d: spelled(G.tails(_steps(s, d)).drop("forward", "reverse")),
+    "tail_targets": lambda s, d: spelled(_linked(s, d)[2].drop("forward", "reverse"), "target"),
+    "linking_nodes": lambda s, d: spelled(G.linking(_linked(s, d)[2]).select("node", "side", "idx", "linking")),
+    "dangling_tails": lambda s, d: spelled(_linked(s, d)[2].where("linked = 0").select("node", "side", "bases")),
+    "edges": lambda s, d: spelled(G.edges(_linked(s, d)[2]), "target"),
+    "edge_widths": lambda s, d: (lambda w, n, t: spelled(G.edge_widths(G.edges(t), t), "target"))(*_linked(s, d)),
+    "edge_symmetry_check": lambda s, d: (lambda w, n, t: G.edge_widths(G.edges(t), t).agg(F.count("*").alias("n_edges"), F.sum((~F.col("agrees")).cast("long")).alias("violations")))(*_linked(s, d)),
+    "graph_checks": _checks,
+    "routes_agg": lambda s, d: spelled(G.routes(_steps(s, d))),
+    "total_routes": lambda s, d: spelled(G.found_kmers(*_nodes(s, d)).groupBy("node").agg(F.count("*").alias("total"))),
     "node_stats": _node_stats,
-    "route_positions": lambda s, d: _positions(s, d).select("read_id", "ord", "smer", "dir", "node_pos", "up_pos", "down_pos"),
-    "route_runs": lambda s, d: G.route_runs(_positions(s, d)),
-    "sequence_starts": lambda s, d: _ends(s, d, "up_tail", "FP"),
-    "sequence_ends": lambda s, d: _ends(s, d, "down_tail", "FS"),
-    "linked_smers_flat": lambda s, d: (lambda w, n, t: t.join(G.widths(w), ["smer", "side", "bases"]).select("smer", "side", "idx", "bases", "target", "linked", "forward", "reverse"))(*_linked(s, d)),
+    "route_positions": lambda s, d: spelled(_ordered(s, d).positions().select("read_id", "ord", "node", "dir", "node_pos", "up_pos", "down_pos")),
+    "route_runs": lambda s, d: spelled(_ordered(s, d).runs().select("node", "dir", "run", "up_tail", "down_tail", "width")),
+    "route_offsets": lambda s, d: spelled(_ordered(s, d).runs().select("node", "dir", "run", "node_pos", "up_pos", "down_pos")),
+    "sequence_starts": lambda s, d: _ends(s, d, True),
+    "sequence_ends": lambda s, d: _ends(s, d, False),
+    "node_contexts": lambda s, d: spelled(_graph(s, d).contexts()),
+    "spanning_contexts": lambda s, d: spelled(_graph(s, d).spanning_contexts()),
+    "node_transitions": _transitions,
+    "edge_transitions": _edge_transitions,
+    "context_sequences": lambda s, d: (lambda g: spelled(g.extract(g.contexts(), True)).select("smer", "dir", "node_pos", "seq"))(_graph(s, d)),
+    "followed_reads": lambda s, d: (lambda g, a: g.follow(a, 1 << 40))(*_asked(s, d)),
+    "followed_upstream": lambda s, d: (lambda g, a: g.follow_upstream(a, 1 << 40))(*_asked(s, d)),
+    "followed_once": lambda s, d: (lambda g, a: spelled(g.follow_once(a)))(*_asked(s, d)),
+    "linked_smers_flat": lambda s, d: (lambda g: spelled(g.linked_smers().where("side is not null").drop("smer", "len"), "target"))(_graph(s, d)),
     "linked_smer_limited": _limited,
-    "read_walks": lambda s, d: _read_walks(s, d).select("seq"),
-    "read_walk_tags": _walk_tags,
-    "tag_lookup": lambda s, d: _walk_tags(s, d).where("tag like '%1'"),
+    "read_walks": _read_walks,
+    "read_walk_tags": lambda s, d: spelled(_graph(s, d).tags),
+    "tag_lookup": _tag_lookup,
+    "tag_counts": lambda s, d: _graph(s, d).tag_counts(),
     "sequence_index": _sequence_index,
     "sequence_index_summary": lambda s, d: _sequence_index(s, d).groupBy("source").agg(F.countDistinct("sequence").alias("sequences"), F.count("*").alias("fragments"), F.max("end_pos").alias("longest")),
     "map_reads_to_nodes": _mapped,
@@ -176,77 +230,100 @@ QUERIES = {
 
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))".format
 _DNA = "translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC')"
+_PACK = "list_sum(list_transform(range(0, 23), lambda i: (strpos('ACGT', substr({0}, i + 1, 1)) - 1)::BIGINT << (2 * (22 - i))::BIGINT))::BIGINT".format
 _SHORT, _LONG = ("conv_id * 1000 + turn", "conversations"), ("doc_id", "documents")
+#: Doublings in SQL: reads of up to 2 ** LEVELS steps.
+_LEVELS = 16
+
+
+def _doubled(name: str, tail: str, way: str) -> str:
+    """Ranks of the whole list of tails before (lag) or after (lead) each step, a shorter list first, by doubling."""
+    out = [f"{name}0 AS MATERIALIZED (SELECT read_id, ord, dense_rank() OVER (ORDER BY {tail}) AS r FROM st)"]
+    for j in range(_LEVELS):
+        out.append(f"{name}{j + 1} AS MATERIALIZED (SELECT read_id, ord, dense_rank() OVER (ORDER BY r, p) AS r FROM (SELECT *, coalesce({way}(r, {1 << j}) OVER (PARTITION BY read_id ORDER BY ord), 0) AS p FROM {name}{j}))")
+    return ",\n".join(out)
 
 
 def _sql(select: str, source: tuple[str, str] = _LONG) -> str:
     """The tables of the graph as common table expressions (only those that the query names are computed)."""
-    return f"""
-WITH reads AS (SELECT {source[0]} AS read_id, {_DNA} AS seq FROM {source[1]}),
-r AS (SELECT read_id, seq, length(seq) - 23 AS m FROM reads WHERE length(seq) >= 40 AND NOT contains(seq, 'N')),
-places AS (SELECT read_id, m, unnest(range(0, m + 1)) AS pos FROM r),
-k AS (SELECT p.read_id, p.m, p.pos, substr(r.seq, p.pos + 1, 23) AS kmer FROM places p JOIN r ON p.read_id = r.read_id),
-c AS (SELECT *, least(kmer, {_RC("kmer")}) AS smer, kmer > {_RC("kmer")} AS rc FROM k),
-n AS (SELECT DISTINCT smer FROM c WHERE (pos > 0 AND pos % 23 = 0) OR (m < 23 AND pos = m // 2)),
-h AS (SELECT read_id, m, pos, smer, CASE WHEN rc THEN 'R' ELSE 'F' END AS dir, row_number() OVER (PARTITION BY read_id ORDER BY pos) - 1 AS ord,
+    tables = [
+        f"reads AS (SELECT {source[0]} AS read_id, {_DNA} AS seq FROM {source[1]})",
+        "r AS (SELECT read_id, seq, length(seq) - 23 AS m FROM reads WHERE length(seq) >= 40 AND NOT contains(seq, 'N'))",
+        "places AS (SELECT read_id, m, unnest(range(0, m + 1)) AS pos FROM r)",
+        "k AS (SELECT p.read_id, p.m, p.pos, substr(r.seq, p.pos + 1, 23) AS kmer FROM places p JOIN r ON p.read_id = r.read_id)",
+        f"c AS (SELECT *, least(kmer, {_RC('kmer')}) AS smer, kmer > {_RC('kmer')} AS rc FROM k)",
+        "n AS (SELECT DISTINCT smer FROM c WHERE (pos > 0 AND pos % 23 = 0) OR (m < 23 AND pos = m // 2))",
+        """h AS (SELECT read_id, m, pos, smer, CASE WHEN rc THEN 'R' ELSE 'F' END AS dir, row_number() OVER (PARTITION BY read_id ORDER BY pos) - 1 AS ord,
       coalesce(lag(pos) OVER (PARTITION BY read_id ORDER BY pos), 0) AS a, coalesce(lead(pos) OVER (PARTITION BY read_id ORDER BY pos), m) AS b
-      FROM c WHERE smer IN (SELECT smer FROM n)),
-g AS (SELECT read_id, pos - a AS gap FROM h UNION ALL SELECT read_id, max(m) - max(pos) FROM h GROUP BY read_id),
-st AS (SELECT h.read_id, ord, pos, smer, dir, {_RC("substr(seq, a + 1, pos - a)")} AS up_tail, substr(seq, pos + 24, b - pos) AS down_tail FROM h JOIN r ON h.read_id = r.read_id),
-en AS (SELECT smer, dir, CASE WHEN dir = 'F' THEN 'P' ELSE 'S' END AS side, up_tail AS bases FROM st
-       UNION ALL SELECT smer, dir, CASE WHEN dir = 'F' THEN 'S' ELSE 'P' END, down_tail FROM st),
-tl AS (SELECT smer, side, row_number() OVER (PARTITION BY smer, side ORDER BY length(bases), bases) AS idx, length(bases) AS len, bases
-       FROM (SELECT DISTINCT smer, side, bases FROM en WHERE bases <> '')),
-tp AS (SELECT *, CASE WHEN side = 'S' THEN smer ELSE {_RC("smer")} END || bases AS path FROM tl),
-tq AS (SELECT *, right(path, 23) AS t, {_RC("right(path, 23)")} AS u FROM tp),
-tt AS (SELECT smer, side, idx, len, bases, path, least(t, u) AS target,
-       CASE WHEN least(t, u) NOT IN (SELECT smer FROM n) THEN 0 WHEN (side = 'S') = (t < u) THEN 1 ELSE -1 END AS linked FROM tq),
-ed AS (SELECT smer, side, idx, bases, target, linked, CASE WHEN left({_RC("path")}, 23) = target THEN 'S' ELSE 'P' END AS far_side,
-       substr({_RC("path")}, 24, length(bases)) AS far_bases FROM tt WHERE linked <> 0),
-wd AS (SELECT smer, side, bases, count(*) FILTER (dir = 'F') AS forward, count(*) FILTER (dir = 'R') AS reverse FROM en WHERE bases <> '' GROUP BY ALL),
-ew AS (SELECT ed.smer, ed.side, ed.bases, ed.target, linked, x.forward, x.reverse, coalesce(CASE WHEN linked > 0 THEN x.forward = y.forward AND x.reverse = y.reverse
+      FROM c WHERE smer IN (SELECT smer FROM n))""",
+        "g AS (SELECT read_id, pos - a AS gap FROM h UNION ALL SELECT read_id, max(m) - max(pos) FROM h GROUP BY read_id)",
+        f"st AS MATERIALIZED (SELECT h.read_id, ord, pos, smer, dir, {_RC('substr(seq, a + 1, pos - a)')} AS up_tail, substr(seq, pos + 24, b - pos) AS down_tail FROM h JOIN r ON h.read_id = r.read_id)",
+        """en AS (SELECT smer, dir, CASE WHEN dir = 'F' THEN 'P' ELSE 'S' END AS side, up_tail AS bases FROM st
+       UNION ALL SELECT smer, dir, CASE WHEN dir = 'F' THEN 'S' ELSE 'P' END, down_tail FROM st)""",
+        """tl AS (SELECT smer, side, row_number() OVER (PARTITION BY smer, side ORDER BY length(bases), bases) AS idx, length(bases) AS len, bases
+       FROM (SELECT DISTINCT smer, side, bases FROM en WHERE bases <> ''))""",
+        f"tp AS (SELECT *, CASE WHEN side = 'S' THEN smer ELSE {_RC('smer')} END || bases AS path FROM tl)",
+        f"tq AS (SELECT *, right(path, 23) AS t, {_RC('right(path, 23)')} AS u FROM tp)",
+        """tt AS MATERIALIZED (SELECT smer, side, idx, len, bases, path, least(t, u) AS target,
+       CASE WHEN least(t, u) NOT IN (SELECT smer FROM n) THEN 0 WHEN (side = 'S') = (t < u) THEN 1 ELSE -1 END AS linked FROM tq)""",
+        f"""ed AS MATERIALIZED (SELECT smer, side, idx, bases, target, linked, CASE WHEN left({_RC('path')}, 23) = target THEN 'S' ELSE 'P' END AS far_side,
+       substr({_RC('path')}, 24, length(bases)) AS far_bases FROM tt WHERE linked <> 0)""",
+        "wd AS MATERIALIZED (SELECT smer, side, bases, count(*) FILTER (dir = 'F') AS forward, count(*) FILTER (dir = 'R') AS reverse FROM en WHERE bases <> '' GROUP BY ALL)",
+        """ew AS (SELECT ed.smer, ed.side, ed.bases, ed.target, linked, x.forward, x.reverse, coalesce(CASE WHEN linked > 0 THEN x.forward = y.forward AND x.reverse = y.reverse
        ELSE x.forward = y.reverse AND x.reverse = y.forward END, false) AS agrees
-       FROM ed JOIN wd x ON (ed.smer, ed.side, ed.bases) = (x.smer, x.side, x.bases) LEFT JOIN wd y ON (ed.target, ed.far_side, ed.far_bases) = (y.smer, y.side, y.bases)),
-ro AS (SELECT smer, dir, up_tail, down_tail, count(*) AS width FROM st GROUP BY ALL),
-ky AS (SELECT *, list(up_tail) OVER (PARTITION BY read_id ORDER BY ord DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS hist,
-       list(down_tail) OVER (PARTITION BY read_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS fut FROM st),
-po AS (SELECT read_id, ord, smer, dir, up_tail, down_tail, row_number() OVER (PARTITION BY smer, dir ORDER BY hist, fut, read_id, ord) - 1 AS node_pos,
+       FROM ed JOIN wd x ON ed.smer = x.smer AND ed.side = x.side AND ed.bases = x.bases LEFT JOIN wd y ON ed.target = y.smer AND ed.far_side = y.side AND ed.far_bases = y.bases)""",
+        "ro AS (SELECT smer, dir, up_tail, down_tail, count(*) AS width FROM st GROUP BY ALL)",
+        _doubled("u", "up_tail", "lag"),
+        _doubled("d", "down_tail", "lead"),
+        f"ky AS (SELECT st.*, u.r AS hist, d.r AS fut FROM st JOIN u{_LEVELS} u ON st.read_id = u.read_id AND st.ord = u.ord JOIN d{_LEVELS} d ON st.read_id = d.read_id AND st.ord = d.ord)",
+        """po AS MATERIALIZED (SELECT read_id, ord, pos, smer, dir, up_tail, down_tail, row_number() OVER (PARTITION BY smer, dir ORDER BY hist, fut, read_id, ord) - 1 AS node_pos,
        row_number() OVER (PARTITION BY smer, dir, up_tail ORDER BY hist, fut, read_id, ord) - 1 AS up_pos,
-       row_number() OVER (PARTITION BY smer, dir, down_tail ORDER BY hist, fut, read_id, ord) - 1 AS down_pos FROM ky),
-ch AS (SELECT *, CASE WHEN up_tail IS DISTINCT FROM lag(up_tail) OVER w OR down_tail IS DISTINCT FROM lag(down_tail) OVER w THEN 1 ELSE 0 END AS new FROM po WINDOW w AS (PARTITION BY smer, dir ORDER BY node_pos)),
-ru AS (SELECT *, sum(new) OVER (PARTITION BY smer, dir ORDER BY node_pos) - 1 AS run FROM ch),
-fr AS (SELECT read_id, i AS fragment_id, i * 1000 AS start_pos, least(l, i * 1000 + 1050) AS end_pos FROM
-       (SELECT read_id, length(seq) AS l, unnest(range(0, greatest(0, CAST(floor((length(seq) - 50) / 1000.0) AS BIGINT)) + 1)) AS i FROM reads WHERE length(seq) >= 40)),
-qu AS (SELECT read_id, seq, translate(seq, 'ACGT', '!%)-') AS qual FROM reads),
-qc AS (SELECT unnest(string_split(qual, '')) AS ch FROM qu WHERE qual <> ''),
-qh AS (SELECT ascii(ch) - 33 AS q, count(*) AS n FROM qc GROUP BY ALL)
-{select}"""
+       row_number() OVER (PARTITION BY smer, dir, down_tail ORDER BY hist, fut, read_id, ord) - 1 AS down_pos FROM ky)""",
+        "ch AS (SELECT *, CASE WHEN up_tail IS DISTINCT FROM lag(up_tail) OVER w OR down_tail IS DISTINCT FROM lag(down_tail) OVER w THEN 1 ELSE 0 END AS new FROM po WINDOW w AS (PARTITION BY smer, dir ORDER BY node_pos))",
+        "rn AS (SELECT *, sum(new) OVER (PARTITION BY smer, dir ORDER BY node_pos) - 1 AS run FROM ch)",
+        "ru AS (SELECT smer, dir, run::BIGINT AS run, up_tail, down_tail, count(*) AS width, min(node_pos) AS node_pos, min(up_pos) AS up_pos, min(down_pos) AS down_pos FROM rn GROUP BY ALL)",
+        "en0 AS (SELECT read_id, max(ord) AS last, (max(ord) + 1) // 2 AS mid FROM po GROUP BY read_id)",
+        f"ta AS (SELECT smer, dir, node_pos, 't' || po.read_id AS tag FROM po JOIN en0 ON po.read_id = en0.read_id AND ord = last JOIN documents ON doc_id = po.read_id WHERE lang IS NOT NULL)",
+        """fr AS (SELECT read_id, i AS fragment_id, i * 1000 AS start_pos, least(l, i * 1000 + 1050) AS end_pos FROM
+       (SELECT read_id, length(seq) AS l, unnest(range(0, greatest(0, CAST(floor((length(seq) - 50) / 1000.0) AS BIGINT)) + 1)) AS i FROM reads WHERE length(seq) >= 40))""",
+        "qu AS (SELECT read_id, seq, translate(seq, 'ACGT', '!%)-') AS qual FROM reads)",
+        "qc AS (SELECT unnest(string_split(qual, '')) AS ch FROM qu WHERE qual <> '')",
+        "qh AS (SELECT ascii(ch) - 33 AS q, count(*) AS n FROM qc GROUP BY ALL)",
+    ]
+    return "WITH " + ",\n".join(tables) + "\n" + select
 
 
 def _sql_ends(tail: str, forward_side: str) -> str:
     other = "P" if forward_side == "S" else "S"
-    return _sql(f"SELECT po.smer, po.dir, node_pos, coalesce(idx, 0) AS idx FROM po LEFT JOIN tt ON po.smer = tt.smer AND tt.bases = po.{tail} AND tt.side = CASE WHEN dir = 'F' THEN '{forward_side}' ELSE '{other}' END WHERE po.{tail} = '' OR linked = 0", _SHORT)
+    return _sql(f"SELECT po.smer, po.dir, node_pos, coalesce(idx, 0) AS idx FROM po LEFT JOIN tt ON po.smer = tt.smer AND tt.bases = po.{tail} AND tt.side = CASE WHEN dir = 'F' THEN '{forward_side}' ELSE '{other}' END WHERE po.{tail} = '' OR linked = 0")
+
+
+def _side(upstream: bool, table: str = "po") -> str:
+    a, b = ("P", "S") if upstream else ("S", "P")
+    return f"CASE WHEN {table}.dir = 'F' THEN '{a}' ELSE '{b}' END"
 
 
 _INDEX = "SELECT source, read_id AS sequence, fragment_id, start_pos, end_pos FROM fr JOIN documents ON read_id = doc_id"
-_TAGS = "SELECT smer, dir, node_pos, 't' || po.read_id AS tag FROM po JOIN (SELECT read_id, max(ord) AS ord FROM po GROUP BY read_id) l ON (po.read_id, po.ord) = (l.read_id, l.ord)"
+_OWN = f"CASE WHEN dir = 'F' THEN smer ELSE {_RC('smer')} END"
+_FLAT = "SELECT tt.smer, tt.side, idx, tt.bases, target, linked, forward, reverse FROM tt JOIN wd ON tt.smer = wd.smer AND tt.side = wd.side AND tt.bases = wd.bases"
 
 ORACLES = {
     "seq_reads": _sql("SELECT read_id, seq, length(seq) AS len FROM reads"),
-    "seq_reads_filtered": _sql("SELECT read_id, seq, m FROM r", _SHORT),
+    "seq_reads_filtered": _sql("SELECT read_id, seq, m FROM r"),
     "fasta_runs": """
 WITH p AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(translate(text, 'acgt', 'ACGT'), '[\\r\\n]', '', 'g'), '[^ACGT]')) AS run,
   unnest(range(0, len(string_split_regex(regexp_replace(translate(text, 'acgt', 'ACGT'), '[\\r\\n]', '', 'g'), '[^ACGT]')))) AS i FROM documents),
 q AS (SELECT doc_id, coalesce(sum(length(run) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start_pos, length(run) AS len FROM p)
 SELECT * FROM q WHERE len >= 2""",
     "fasta_fragments": _sql("SELECT * FROM fr"),
-    "kmers": _sql("SELECT read_id, pos, kmer FROM k", _SHORT),
-    "canonical_kmers": _sql("SELECT smer, count(*) AS n FROM c GROUP BY smer", _SHORT),
-    "kmer_orientation": _sql("SELECT read_id, count(*) FILTER (rc) AS reversed, count(*) AS n FROM c GROUP BY read_id", _SHORT),
-    "kmer_both_strands": _sql(f"SELECT read_id, pos, kmer AS strand FROM k UNION ALL SELECT read_id, pos, {_RC('kmer')} FROM k", _SHORT),
-    "smer_pack": _sql("SELECT smer, list_sum(list_transform(range(0, 23), lambda i: (strpos('ACGT', substr(smer, i + 1, 1)) - 1)::BIGINT << (2 * (22 - i))::BIGINT))::BIGINT AS smer_id FROM n", _SHORT),
-    "smer_unpack": _sql("SELECT smer FROM n", _SHORT),
-    "revcomp": _sql(f"SELECT read_id, {_RC('seq')} AS rc FROM reads", _SHORT),
+    "kmers": _sql("SELECT read_id, pos, kmer FROM k"),
+    "canonical_kmers": _sql("SELECT smer, count(*) AS n FROM c GROUP BY smer"),
+    "kmer_orientation": _sql("SELECT read_id, count(*) FILTER (rc) AS reversed, count(*) AS n FROM c GROUP BY read_id"),
+    "kmer_both_strands": _sql(f"SELECT read_id, pos, kmer, {_RC('kmer')} AS other FROM k"),
+    "smer_pack": _sql(f"SELECT smer, {_PACK('smer')} AS smer_id FROM n"),
+    "smer_unpack": _sql("SELECT smer FROM n"),
+    "packed_revcomp": _sql(f"SELECT smer, {_PACK(_RC('smer'))} AS rc_id FROM n"),
+    "revcomp": _sql(f"SELECT read_id, {_RC('seq')} AS rc FROM reads"),
     "nodes_grid": _sql("SELECT smer FROM n"),
     "node_count": _sql("SELECT count(*) AS n FROM n"),
     "node_path_counts": _sql("SELECT smer, count(*) AS n FROM h GROUP BY smer"),
@@ -256,24 +333,50 @@ SELECT * FROM q WHERE len >= 2""",
     "steps": _sql("SELECT * FROM st"),
     "tails": _sql("SELECT * FROM tl"),
     "tail_targets": _sql("SELECT smer, side, idx, len, bases, target, linked FROM tt"),
+    "linking_nodes": _sql(f"SELECT smer, side, idx, CASE WHEN linked = 0 THEN -1 ELSE {_PACK('target')} END AS linking FROM tt"),
     "dangling_tails": _sql("SELECT smer, side, bases FROM tt WHERE linked = 0"),
     "edges": _sql("SELECT * FROM ed"),
     "edge_widths": _sql("SELECT * FROM ew"),
     "edge_symmetry_check": _sql("SELECT count(*) AS n_edges, count(*) FILTER (NOT agrees) AS violations FROM ew"),
+    "graph_checks": _sql(f"""SELECT 'tail_without_node' AS "check", count(*) AS violations FROM tl WHERE smer NOT IN (SELECT smer FROM n)
+UNION ALL SELECT 'tail_twice', count(*) FROM (SELECT smer, side, bases FROM tl GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'route_without_tail', count(*) FROM (SELECT smer, side, bases FROM en WHERE bases <> '' EXCEPT SELECT smer, side, bases FROM tl)
+UNION ALL SELECT 'edge_without_far_tail', count(*) FROM (SELECT target, far_side, far_bases FROM ed EXCEPT SELECT smer, side, bases FROM tl)
+UNION ALL SELECT 'edge_width', count(*) FROM ew WHERE NOT agrees"""),
     "routes_agg": _sql("SELECT * FROM ro"),
     "total_routes": _sql("SELECT smer, sum(width)::BIGINT AS total FROM ro GROUP BY smer"),
-    "node_stats": _sql("""SELECT w.smer, ways, forward_routes, reverse_routes, coalesce(prefix_tails, 0) AS prefix_tails, coalesce(suffix_tails, 0) AS suffix_tails
-FROM (SELECT smer, count(*) AS ways, coalesce(sum(width) FILTER (dir = 'F'), 0)::BIGINT AS forward_routes, coalesce(sum(width) FILTER (dir = 'R'), 0)::BIGINT AS reverse_routes FROM ro GROUP BY smer) w
+    "node_stats": _sql("""SELECT n.smer, coalesce(prefix_tails, 0) AS prefix_tails, coalesce(suffix_tails, 0) AS suffix_tails, entries, forward_entries, reverse_entries, forward_routes, reverse_routes
+FROM n JOIN (SELECT smer, count(*) AS entries, count(*) FILTER (dir = 'F') AS forward_entries, count(*) FILTER (dir = 'R') AS reverse_entries,
+  coalesce(sum(width) FILTER (dir = 'F'), 0)::BIGINT AS forward_routes, coalesce(sum(width) FILTER (dir = 'R'), 0)::BIGINT AS reverse_routes FROM ru GROUP BY smer) w ON n.smer = w.smer
 LEFT JOIN (SELECT smer, count(*) FILTER (side = 'P') AS prefix_tails, count(*) FILTER (side = 'S') AS suffix_tails FROM tl GROUP BY smer) t ON w.smer = t.smer"""),
-    "route_positions": _sql("SELECT read_id, ord, smer, dir, node_pos, up_pos, down_pos FROM po", _SHORT),
-    "route_runs": _sql("SELECT smer, dir, run::BIGINT AS run, up_tail, down_tail, count(*) AS width FROM ru GROUP BY ALL", _SHORT),
+    "route_positions": _sql("SELECT read_id, ord, smer, dir, node_pos, up_pos, down_pos FROM po"),
+    "route_runs": _sql("SELECT smer, dir, run, up_tail, down_tail, width FROM ru"),
+    "route_offsets": _sql("SELECT smer, dir, run, node_pos, up_pos, down_pos FROM ru"),
     "sequence_starts": _sql_ends("up_tail", "P"),
     "sequence_ends": _sql_ends("down_tail", "S"),
-    "linked_smers_flat": _sql("SELECT tt.smer, tt.side, idx, tt.bases, target, linked, forward, reverse FROM tt JOIN wd ON (tt.smer, tt.side, tt.bases) = (wd.smer, wd.side, wd.bases)"),
-    "linked_smer_limited": _sql("SELECT smer, sum(width)::BIGINT AS total, CASE WHEN sum(width) <= 20 THEN count(*) ELSE -1 END AS shown FROM ro GROUP BY smer"),
-    "read_walks": _sql("SELECT seq FROM r", _SHORT),
-    "read_walk_tags": _sql(_TAGS, _SHORT),
-    "tag_lookup": _sql(f"SELECT * FROM ({_TAGS}) WHERE tag LIKE '%1'", _SHORT),
+    "node_contexts": _sql(f"SELECT smer, dir, {_side(True)} AS side, up_tail AS bases, up_pos AS edge_pos, node_pos FROM po"),
+    "spanning_contexts": _sql("""SELECT smer, dir, node_pos, CASE WHEN dir = 'F' THEN up_tail ELSE down_tail END AS prefix, CASE WHEN dir = 'F' THEN up_pos ELSE down_pos END AS prefix_pos,
+CASE WHEN dir = 'F' THEN down_tail ELSE up_tail END AS suffix, CASE WHEN dir = 'F' THEN down_pos ELSE up_pos END AS suffix_pos FROM po"""),
+    "node_transitions": _sql(f"SELECT smer, dir, node_pos AS asked_pos, up_tail AS from_bases, {_side(False)} AS side, down_tail AS bases, down_pos AS edge_pos FROM po"),
+    "edge_transitions": _sql(f"""SELECT p.smer AS from_node, p.dir AS from_dir, p.node_pos AS asked_pos, x.smer, x.dir, {_side(True, 'x')} AS side, x.up_tail AS bases, x.up_pos AS edge_pos
+FROM po p JOIN po x ON p.read_id = x.read_id AND x.ord = p.ord + 1"""),
+    "context_sequences": _sql(f"SELECT smer, dir, node_pos, {_RC('up_tail')} || {_OWN} AS seq FROM po"),
+    "followed_reads": _sql(f"""SELECT po.read_id AS asked_id, (last - mid + 1)::INT AS steps, {_RC('up_tail')} || substr(seq, pos + 1) AS seq, CASE WHEN lang IS NOT NULL THEN 't' || po.read_id END AS tag
+FROM po JOIN en0 ON po.read_id = en0.read_id AND ord = mid JOIN r ON r.read_id = po.read_id JOIN documents ON doc_id = po.read_id"""),
+    "followed_upstream": _sql(f"""SELECT po.read_id AS asked_id, count(*)::INT AS steps, string_agg({_RC('up_tail')}, '-' ORDER BY ord DESC) AS seq
+FROM po JOIN en0 ON po.read_id = en0.read_id AND ord <= mid GROUP BY po.read_id"""),
+    "followed_once": _sql(f"""SELECT po.read_id AS asked_id, smer, dir, {_side(True)} AS side, up_tail AS bases, up_pos AS edge_pos, true AS returns
+FROM po JOIN en0 ON po.read_id = en0.read_id AND ord = mid + 1"""),
+    "linked_smers_flat": _sql(_FLAT),
+    "linked_smer_limited": _sql(f"""SELECT t.smer, total, routes FROM (SELECT smer, sum(width)::BIGINT AS total FROM ru GROUP BY smer) t LEFT JOIN (
+  SELECT ru.smer, string_agg(ru.dir || ':' || coalesce(CASE WHEN ru.dir = 'F' THEN a.idx ELSE b.idx END, 0) || ':' || coalesce(CASE WHEN ru.dir = 'F' THEN b.idx ELSE a.idx END, 0) || ':' || width, ',' ORDER BY ru.dir, run) AS routes
+  FROM ru LEFT JOIN tl a ON a.smer = ru.smer AND a.bases = up_tail AND a.side = {_side(True, 'ru')} LEFT JOIN tl b ON b.smer = ru.smer AND b.bases = down_tail AND b.side = {_side(False, 'ru')}
+  GROUP BY ru.smer HAVING sum(width) <= 20) l ON t.smer = l.smer"""),
+    "read_walks": _sql("SELECT seq FROM r"),
+    "read_walk_tags": _sql("SELECT * FROM ta"),
+    "tag_lookup": _sql(f"""SELECT po.smer, po.dir, po.node_pos, tag FROM po JOIN ta ON po.smer = ta.smer AND po.dir = ta.dir AND po.node_pos = ta.node_pos
+LEFT JOIN tt ON po.smer = tt.smer AND tt.bases = po.up_tail AND tt.side = {_side(True)} WHERE po.up_tail = '' OR linked = 0"""),
+    "tag_counts": _sql("SELECT count(*) AS reads, count(*) FILTER (lang IS NOT NULL) AS with_tag, count(*) FILTER (lang IS NULL) AS without_tag FROM r JOIN documents ON doc_id = read_id"),
     "sequence_index": _sql(_INDEX),
     "sequence_index_summary": _sql(f"SELECT source, count(DISTINCT sequence) AS sequences, count(*) AS fragments, max(end_pos) AS longest FROM ({_INDEX}) GROUP BY source"),
     "map_reads_to_nodes": _sql(f"""SELECT read_id, pos, smer, CASE WHEN kmer = smer THEN 'F' ELSE 'R' END AS dir FROM (
@@ -284,5 +387,7 @@ LEFT JOIN (SELECT smer, count(*) FILTER (side = 'P') AS prefix_tails, count(*) F
     "quality_histogram": _sql("SELECT q, n FROM qh", _SHORT),
     "phred_offset": _sql("""SELECT low, high, CASE WHEN low > 0 AND high = 0 THEN 33 WHEN high > 0 AND low = 0 THEN 64 ELSE 0 END AS "offset" FROM (
   SELECT coalesce(sum(n) FILTER (q + 33 BETWEEN 33 AND 58), 0)::BIGINT AS low, coalesce(sum(n) FILTER (q + 33 BETWEEN 80 AND 104), 0)::BIGINT AS high FROM qh)""", _SHORT),
-    "graph_roundtrip": _sql("SELECT * FROM ro"),
+    "graph_roundtrip": _sql("""SELECT 'nodes' AS part, count(*) AS n, count(*) AS total FROM n
+UNION ALL SELECT 'tails', (SELECT count(*) FROM tl), (SELECT count(*) FROM en WHERE bases <> '')
+UNION ALL SELECT 'routes', count(*), sum(width)::BIGINT FROM ru UNION ALL SELECT 'tags', count(*), sum(length(tag))::BIGINT FROM ta UNION ALL SELECT 'walks', count(*), sum(length(seq))::BIGINT FROM r"""),
 }

@@ -1,8 +1,17 @@
+import random
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from strandloom.__main__ import main
+from strandloom.functions import packed as P
+from strandloom.functions import sequences as S
 from strandloom.graph import Graph, GraphConfig
 from strandloom.operators import graph as G
+from strandloom.operators import routing as W
 from strandloom.plans import registry
 from strandloom.sources import reads as R
 from strandloom.streaming import ingest
@@ -11,6 +20,10 @@ READS = ["AACGTCCGGCATGTTACACATCTACAAACGTGATGGTTGTACCGCATACCACCCTGGGGTACCCTAAGCA
 DATA = "/root/testdata/sf0.001"
 
 
+def smer(ids, k=23):
+    return P.strings_of(np.array(ids, np.int64), k).to_pylist()
+
+
 @pytest.fixture(scope="module")
 def reads(spark):
     return spark.createDataFrame(list(enumerate(READS, 1)), "read_id long, seq string")
@@ -19,8 +32,8 @@ def reads(spark):
 def test_sequential_nodes_and_steps(spark, reads):
     used = G.filtered(reads)
     nodes = G.nodes_sequential(used)
-    assert {r.smer for r in nodes.collect()} == {"ACAAACGTGATGGTTGTACCGCA", "GCTTAGGGTACCCCAGGGTGGTA", "AACCCATTGCTTAGGGTACCCCA", "A" * 23}
-    walked = G.steps(used, G.hits(used, nodes)).collect()
+    assert set(smer([r.node for r in nodes.collect()])) == {"ACAAACGTGATGGTTGTACCGCA", "GCTTAGGGTACCCCAGGGTGGTA", "AACCCATTGCTTAGGGTACCCCA", "A" * 23}
+    walked = G.steps(used, nodes).collect()
     assert len(walked) == 23
     row = {(r.read_id, r.pos): (r.dir, r.up_tail, r.down_tail) for r in walked}
     assert row[1, 46] == ("R", "TGCGGTACAACCATCACGTTTGT", "A")
@@ -28,51 +41,228 @@ def test_sequential_nodes_and_steps(spark, reads):
     assert row[4, 0] == ("F", "", "A") and row[4, 17] == ("F", "T", "")
 
 
-@pytest.mark.parametrize("choose", [G.nodes_grid, G.nodes_sequential, G.nodes_rounds])
-def test_walks_give_the_reads_again(spark, reads, choose):
-    used = G.filtered(reads.union(spark.createDataFrame([(9, READS[0]), (10, G._revcomp(READS[1]))], "read_id long, seq string")))
-    found = G.hits(used, choose(used))
-    assert G.gaps(found).agg({"gap": "max"}).first()[0] <= 23
-    placed = G.route_positions(G.steps(used, found))
-    assert sorted(r.seq for r in G.walks(placed, 20).collect()) == sorted(r.seq for r in used.collect())
-    assert G.route_runs(placed).agg({"width": "sum"}).first()[0] == placed.count()
+@pytest.mark.parametrize("choose, k", [(G.nodes_grid, 23), (G.nodes_sequential, 23), (G.nodes_rounds, 23), (G.nodes_grid, 15)])
+def test_walks_give_the_reads_again(spark, reads, choose, k):
+    used = G.filtered(reads.union(spark.createDataFrame([(9, READS[0]), (10, G._revcomp(READS[1]))], "read_id long, seq string")), k=k)
+    nodes = choose(used, k=k, sparseness=min(k, 23)).cache()
+    assert G.gaps(used, nodes, k).agg({"gap": "max"}).first()[0] <= min(k, 23)
+    ordered = W.Ordered(G.steps(used, nodes, k).cache())
+    placed = ordered.positions()
+    runs = ordered.runs()
+    again = W.positions_of(runs)
+    cols = again.columns
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, placed.select(cols).collect()))
+    assert sorted(r.seq for r in W.walks(again, W.traced(again, k), k).collect()) == sorted(r.seq for r in used.collect())
+
+
+def test_order_of_routes_against_sorting(spark):
+    """Routes of reads that share long stretches, by sorting lists of tails; block sums of blocks of any size."""
+    rng = random.Random(7)
+    base = "".join(rng.choices("ACGT", k=600))
+    seqs = []
+    for _ in range(30):
+        a, b = sorted(rng.sample(range(0, 600), 2))
+        s = list(base[min(a, 500) : max(b, min(a, 500) + 60)])
+        if rng.random() < 0.5:
+            s[rng.randrange(len(s))] = rng.choice("ACGT")
+        seqs.append("".join(s))
+    seqs += seqs[:8]
+    used = G.filtered(spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string"))
+    walked = G.steps(used, G.nodes_grid(used)).cache()
+    rows = sorted(walked.collect(), key=lambda r: (r.read_id, r.ord))
+    by_read = {}
+    for r in rows:
+        by_read.setdefault(r.read_id, []).append(r)
+    key = {}
+    for own in by_read.values():
+        for i, r in enumerate(own):
+            key[r.read_id, r.ord] = ([x.up_tail for x in own[i::-1]], [x.down_tail for x in own[i:]], r.read_id, r.ord)
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.node, r.dir), []).append(r)
+    want = {}
+    for own in groups.values():
+        ups, downs = {}, {}
+        for n, r in enumerate(sorted(own, key=lambda r: key[r.read_id, r.ord])):
+            want[r.read_id, r.ord] = (n, ups.setdefault(r.up_tail, 0), downs.setdefault(r.down_tail, 0))
+            ups[r.up_tail] += 1
+            downs[r.down_tail] += 1
+    got = {(r.read_id, r.ord): (r.node_pos, r.up_pos, r.down_pos) for r in W.Ordered(walked).positions().collect()}
+    assert got == want
+    numbers = spark.range(500).selectExpr("id % 3 g", "id o", "id % 7 w")
+    for block in (1, 10, 1 << 16):
+        for r in W.sums_before(numbers, ["g"], "o", "w", "before", block=block).collect():
+            assert r.before == sum(i % 7 for i in range(r.o) if i % 3 == r.g)
+
+
+def test_a_node_with_many_routes(spark):
+    """A hundred thousand reads through one node: its routes are summed in blocks."""
+    rows = spark.range(100_000).selectExpr("id read_id", "0 ord", "5L node", "'F' dir", "concat('A', lpad(translate(cast(id % 1000 as string), '0123456789', 'ACGTACGTAC'), 5, 'T')) up_tail", "lpad(translate(cast(id as string), '0123456789', 'ACGTACGTAC'), 9, 'G') down_tail")
+    runs = W.Ordered(rows).runs()
+    assert runs.agg(F.sum("width"), F.max(F.col("node_pos") + F.col("width"))).first() == (100_000, 100_000)
+
+
+def test_packed(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("ACGT", k=n)) for n in (0, 5, 23, 24, 300)] + [None, "ACGTNACGTACGTACGTACGTACGTACGTNN"]
+    for k in (3, 15, 23, 31):
+        got = sorted((r, p, smer([f], k)[0], smer([v], k)[0]) for read, pos, fw, rv in P.places(*P.texts_of(pa.array(texts)), k) for r, p, f, v in zip(read.tolist(), pos.tolist(), fw, rv))
+        want = sorted((i, p, t[p : p + k], G._revcomp(t[p : p + k])) for i, t in enumerate(texts) if t for p in range(len(t) - k + 1) if "N" not in t[p : p + k])
+        assert got == want
+        ids = np.array([x[2] for x in []], np.int64)
+        assert len(P.reverse_ids(ids, k)) == 0
+    held = P.Filter(1 << 12)
+    ids = np.array(rng.sample(range(1 << 46), 200), np.int64)
+    held.put(ids)
+    assert held.may_hold(ids).all() and held.may_hold(ids + 1).mean() < 0.2
+    df = spark.createDataFrame([(int(i),) for i in ids[:20]], "id long")
+    assert [r[0] for r in df.select(S.revcomp_id(F.col("id"))).collect()] == P.reverse_ids(ids[:20], 23).tolist()
+
+
+def test_long_reads_in_pieces(spark, monkeypatch):
+    text = "".join(random.Random(4).choices("ACGT", k=5000))
+    whole = [x.tolist() for x in next(P.places(*P.texts_of(pa.array([text])), 23))]
+    monkeypatch.setattr(P, "PIECE", 700)
+    parts = list(P.places(*P.texts_of(pa.array([text])), 23))
+    assert len(parts) > 5 and [np.concatenate(x).tolist() for x in zip(*parts)] == whole
 
 
-@pytest.mark.parametrize("n, want", [(39, []), (40, [(0, 40)]), (1049, [(0, 1049)]), (1050, [(0, 1050), (1000, 1050)]), (1051, [(0, 1050), (1000, 1051)]), (2050, [(0, 1050), (1000, 2050), (2000, 2050)])])
+@pytest.mark.parametrize("n, want", [(39, []), (40, [(0, 40)]), (1049, [(0, 1049)]), (1050, [(0, 1050), (1000, 1050)]), (1051, [(0, 1050), (1000, 1051)]), (2049, [(0, 1050), (1000, 2049)]), (2050, [(0, 1050), (1000, 2050), (2000, 2050)])])
 def test_fragments(spark, n, want):
     df = spark.createDataFrame([(1, "A" * n)], "read_id long, seq string")
     assert [(r.start_pos, r.end_pos) for r in G.fragments(df).orderBy("start_pos").collect()] == want
-    assert [(a, b) for _, a, b, _ in R.fasta_fragments(">s x\n" + "A" * n)] == want
+    state = R.FastaState("x.fa", 40)
+    lines = [">s x", *("A" * min(70, n - i) for i in range(0, n, 70))]
+    assert [(a, a + len(b)) for x in lines for _, a, b in state.line(x)] + [(a, a + len(b)) for _, a, b in state.end()] == want
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "one.fq").write_text("@a\n" + "A" * 40 + "\n+\n" + "!" * 40 + "\n@b\n" + "A" * 39 + "N\n+\n" + "!" * 40 + "\n@c\nAC\n+\n!\n@d\n" + "C" * 50 + "\n+\n" + "!" * 50 + "\n")
-    assert [r.sequence for r in R.read_sequences(spark, [str(tmp_path / "one.fq")]).collect()] == ["a"]
+    (tmp_path / "one.fq").write_text("@a\n" + "A" * 40 + "\n+c\n" + "!" * 40 + "\r\n@b\n" + "A" * 39 + "N\n+\n" + "!" * 40 + "\n@c\nAC\n+\n!\n@d\n" + "C" * 50 + "\n+\n" + "!" * 50 + "\n")
+    got = R.read_sequences(spark, [str(tmp_path / "one.fq")]).collect()
+    assert [(r.sequence, r.comment, r.source, r.fragment_id) for r in got] == [("a", "c", "one", 0)]
+    with pytest.raises(ValueError):
+        R.read_sequences(spark, [str(tmp_path / "one.fq")], strict=True)
+    (tmp_path / "bad.fastq").write_text("x\n" + "A" * 40 + "\n+\n" + "!" * 40 + "\n")
+    assert R.read_sequences(spark, [str(tmp_path / "bad.fastq")]).count() == 0
     (tmp_path / "two.fa").write_text(">s desc\r\nnnacgtNN" + "A" * 30 + "\r\n" + "C" * 20 + "\n>t\n" + "G" * 45 + "\n")
-    got = R.read_sequences(spark, [str(tmp_path / "two.fa")]).collect()
-    assert [(r.sequence, r.start_pos, len(r.seq)) for r in got] == [("s", 8, 50), ("t", 0, 45)]
+    (tmp_path / "three.fa").write_text(">u\n" + "G" * 45 + "\n")
+    got = R.read_sequences(spark, [str(tmp_path / "two.fa"), str(tmp_path / "three.fa")]).orderBy("source", "fragment_id").collect()
+    assert [(r.source, r.sequence, r.start_pos, len(r.seq), r.tag) for r in got] == [("three", "u", 0, 45, "three:0"), ("two", "s", 8, 50, "two:0"), ("two", "t", 0, 45, "two:1")]
+    assert len({r.read_id for r in got}) == 3
+    (tmp_path / "junk.fa").write_text("ACGT\n>t\n" + "G" * 45 + "\n")
+    with pytest.raises(Exception, match="does not start with"):
+        R.read_sequences(spark, [str(tmp_path / "junk.fa")]).collect()
     with pytest.raises(ValueError):
         R.format_of("x.bam")
 
 
+def test_fastq_goes_out_and_comes_back(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    rows = [(f"r{i}", "".join(rng.choices("ACGT", k=rng.randrange(40, 90)))) for i in range(300)]
+    (tmp_path / "in.fq").write_text("".join(f"@{n}\n{s}\n+\n{'#' * len(s)}\n" for n, s in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # the file is split
+    try:
+        read = R.read_sequences(spark, [str(tmp_path / "in.fq")])
+        assert [(r.sequence, r.seq) for r in read.orderBy("fragment_id").collect()] == rows
+        assert [r.sequence for r in R.read_sequences(spark, [str(tmp_path / "in.fq")], skip=10, use=3).orderBy("fragment_id").collect()] == ["r10", "r11", "r12"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    R.write_fastq(read.coalesce(1), str(tmp_path / "out"), "gzip")
+    out = next((tmp_path / "out").glob("part-*"))
+    out.rename(tmp_path / "back.fq.gz")
+    assert sorted((r.sequence, r.seq, r.qual) for r in R.read_sequences(spark, [str(tmp_path / "back.fq.gz")]).collect()) == sorted((n, s, "#" * len(s)) for n, s in rows)
+
+
 def test_graph_modes_and_files(spark, reads, tmp_path):
     with pytest.raises(RuntimeError):
         Graph.index(reads).routes
-    with pytest.raises(ValueError):
-        GraphConfig(k=22)
-    g = Graph.build(reads)
-    g.save(str(tmp_path / "g"))
-    assert sorted(Graph.load(spark, str(tmp_path / "g")).routes.collect()) == sorted(g.routes.collect())
+    for wrong in ({"k": 22}, {"k": 33}, {"sparseness": 30}):
+        with pytest.raises(ValueError):
+            GraphConfig(**wrong)
+    g = Graph.build(reads.withColumn("tag", F.concat(F.lit("t"), F.col("read_id"))), config=GraphConfig(15, 11))
+    path = str(tmp_path / "g")
+    g.save(path)
+    with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
+        g.save(path)
+    again = Graph.load(spark, path)
+    assert again.config == GraphConfig(15, 11) and set(again.tables) == {"nodes", "tails", "routes", "tags"}
+    for name in again.tables:
+        assert sorted(map(tuple, again.tables[name].collect())) == sorted(map(tuple, g.tables[name].select(again.tables[name].columns).collect()))
+    assert sorted(r.seq for r in again.walks().collect()) == sorted(READS)
+    assert again.tag_counts().first() == (4, 4, 0)
+    assert {r.check: r.violations for r in again.validate().collect()} == dict.fromkeys(("tail_without_node", "tail_twice", "route_without_tail", "edge_without_far_tail", "edge_width"), 0)
+    with pytest.raises(FileNotFoundError):
+        Graph.load(spark, str(tmp_path / "none"))
+
+
+def test_asking_a_graph(spark, reads):
+    """On the golden reads, nodes as one reader finds them."""
+    g = Graph.build(reads.withColumn("tag", F.concat(F.lit("t"), F.col("read_id"))), "sequential")
+    assert g.linked_smers("A" * 23).count() == 2 and g.linked_smers("C" * 23).count() == 0
+    starts = g.end_contexts(True, False)
+    assert starts.count() == 4
+    asked = starts.withColumn("asked_id", F.monotonically_increasing_id()).cache()
+    followed = {r.seq: (r.steps, r.tag) for r in g.follow(asked).collect()}
+    assert {s: t for s, (_, t) in followed.items()} == dict(zip(READS, ("t1", "t2", "t3", "t4"))) and followed[READS[3]][0] == 18
+    assert all(r.steps == 1 for r in g.follow(asked, 1).collect())
+    once = g.follow_once(asked).collect()
+    assert len(once) == 3 and all(r.returns for r in once)  # the third read has one step
+    back = g.follow_upstream(g.contexts().where("node_pos >= 0").withColumn("asked_id", F.monotonically_increasing_id())).collect()
+    assert max(r.steps for r in back) == 18
+    assert {r.tag for r in g.tag_data(g.contexts()).collect()} == {None, "t1", "t2", "t3", "t4"}
+    lists = {S_: r for r in g.linked_routes(3).collect() for S_ in smer([r.node])}
+    assert lists["A" * 23].routes is None and lists["A" * 23].total == 18 and len(lists["ACAAACGTGATGGTTGTACCGCA"].routes) == 2
+    assert all(r.routes is None for r in g.linked_routes(0).collect())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    fastq, fasta, graph = str(tmp_path / "r.fq"), str(tmp_path / "r.fa"), str(tmp_path / "g")
+    (tmp_path / "r.fq").write_text("".join(f"@{i}\n{s}\n+\n{'!' * len(s)}\n" for i, s in enumerate(READS)))
+    (tmp_path / "r.fa").write_text("".join(f">{i}\n{s}\n" for i, s in enumerate(READS)))
+    for files, sequences in ((fastq, 0), (fasta, 4)):
+        main(["index", graph, files, "--k", "15", "--sparseness", "15"])
+        nodes = sorted(r.node for r in Graph.load(spark, graph, routed=False).nodes.collect())
+        before = {f.name for f in (tmp_path / "g" / "nodes").iterdir()}
+        main(["route", graph, files])
+        assert before == {f.name for f in (tmp_path / "g" / "nodes").iterdir()}
+        got = Graph.load(spark, graph)
+        assert sorted(r.node for r in got.nodes.collect()) == nodes and got.config.k == 15
+        assert sorted(r.seq for r in got.walks().collect()) == sorted(READS)
+        assert got.tags.count() == sequences
+        main(["read", graph])
+    assert got.sequences.count() == 4
+    main(["index-and-route", graph, fasta, "--stats", str(tmp_path / "stats")])
+    assert "routes" in capsys.readouterr().out and any((tmp_path / "stats").glob("*.csv"))
+    with pytest.raises(SystemExit):
+        main(["sort", graph])
 
 
 def test_batches_grow(spark, reads, tmp_path):
+    """The graph of a stream is that of all its reads, also of those that come before their nodes."""
+    path = str(tmp_path / "s")
+    rest = reads.union(spark.createDataFrame([(20, READS[0][7:60]), (21, G._revcomp(READS[1])[3:])], "read_id long, seq string"))
+    for b in (0, 1, 2):
+        ingest.grow(rest.where(f"read_id % 3 = {b}"), path, b)
+    ingest.grow(rest.where("read_id % 3 = 2"), path, 2)  # tried again
+    used = G.filtered(rest)
+    want = G.routes(G.steps(used, G.nodes_grid(used)))
+    assert sorted(map(tuple, ingest.routes(spark, path).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_files_stream_in(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i, s in enumerate(READS):
+        (folder / f"f{i}.fa").write_text(f">s{i}\n{s}\n")
     path = str(tmp_path / "s")
-    for b in (0, 1):
-        ingest.grow(reads.where(f"read_id % 2 = {b}"), path, b)
-    assert ingest.routes(spark, path).agg({"width": "sum"}).first()[0] >= 4
+    query = ingest.ingest_files(spark, str(folder), path, files_a_batch=2, availableNow=True)
+    assert query.awaitTermination(240)
+    used = G.filtered(spark.createDataFrame(list(enumerate(READS)), "read_id long, seq string"))
+    want = G.routes(G.steps(used, G.nodes_grid(used)))
+    assert sorted(map(tuple, ingest.routes(spark, path).collect())) == sorted(map(tuple, want.collect()))
 
 
-NAMES = ["seq_reads", "fasta_runs", "kmer_orientation", "smer_pack", "smer_unpack", "nodes_grid", "steps", "edge_widths", "node_stats", "route_runs", "sequence_starts", "read_walks", "read_walk_tags", "map_reads_to_nodes", "phred_offset"]
+NAMES = ["seq_reads", "fasta_runs", "kmer_orientation", "smer_pack", "packed_revcomp", "nodes_grid", "steps", "linking_nodes", "edge_widths", "route_runs", "sequence_starts", "edge_transitions", "followed_reads", "map_reads_to_nodes", "phred_offset"]
 
 
 @pytest.mark.parametrize("name", NAMES)
