@@ -8,7 +8,7 @@
    term; a term of more tokens than a shard holds is spread over several by the whole key, and a key of more than a
    quarter of a shard (copies) by the row. So a shard's size is bounded, and the number of shards follows the tokens.
 3. Each shard builds an inverted index of its rests. The first unused rest is a seed: its terms of highest weight query the
-   index, BM25 ranks the unused neighbours, and these fill the seed's window greedily. The last is cut at the window's
+   index (QUERY_TERMS of them: a parameter of the ranking), BM25 ranks the unused neighbours, and these fill the seed's window greedily. The last is cut at the window's
    end and its remainder starts the next window. So only the last window of a shard is padded.
 
 Edge cases: null and empty texts are one end token; a null doc_id is kept; repeated rows are packed each; a text of any
@@ -262,7 +262,7 @@ def retrieval_order(rests: list[np.ndarray], df: np.ndarray, n_docs: int, mean:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS, with_ids: bool = False, query_terms: int = QUERY_TERMS) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), gapless in each sequence; with_ids: and
     the ids of pieces that share a window (uint16 bytes; a window that one document fills alone has its own ids null)."""
     spark = docs.sparkSession
@@ -303,7 +303,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
                 number += 1
         rests = [np.frombuffer(r[5], np.uint16) for r in rows]
         held = [i for i, r in enumerate(rests) if len(r)]
-        for pieces in retrieval_order([rests[i] for i in held], frequencies.value, n_docs, mean, window):
+        for pieces in retrieval_order([rests[i] for i in held], frequencies.value, n_docs, mean, window, query_terms):
             offset = 0
             for x, start, length in pieces:
                 _, _, doc_id, n, crcs, _ = rows[held[x]]

@@ -1,7 +1,8 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes, most significant digit first.
 
 Only suffixes cut to WINDOW bytes are told apart, and only groups of two and more go on to the next digit, so that what is
-equal after the last digit are exactly the repeated windows. Digits are hashes (groups matter, not their order):
+equal after the last digit are exactly the repeated windows. The first two digits deal windows into groups that fit a task, and
+are hashes (groups matter, not their order); in a task, suffixes are sorted by their bytes:
 
 1. The first digit of a window is its least gram (the leftmost of the least hash among its grams of GRAM bytes) and where
    that is in it. Neighbouring windows share one gram, so a run of them is one row, (gram, span, document, start,
@@ -9,8 +10,10 @@ equal after the last digit are exactly the repeated windows. Digits are hashes (
    same gram at the same place, and a run holds no window twice.
 2. The second digit is the span. Of equal spans, all but the first are removed whole. A gram with one span only has
    no other repeats; the runs of grams with several go on, one for each span.
-3. The last digit is the window itself. Runs of one gram meet with their bytes in a task if they are at most COLD;
-   the windows of more frequent grams are dealt one by one by their hash, with a partial minimum before the shuffle.
+3. The last digits are the window's bytes. Runs of one gram meet with their bytes in a task if they are at most COLD; their
+   suffixes are sorted by eight bytes a pass, most significant first, and only groups of two and more go on to the
+   next, to the depth of a window. The windows of more frequent grams are dealt one by one by their hash, with a partial
+   minimum before the shuffle. So spans, and windows of frequent grams, are equal by two hashes of 64 bits (gram and digest).
 
 Equal spans of one task meet before the first shuffle, so a text copied any number of times sends a row a task.
 Every removed byte lies in a window that starts earlier elsewhere; windows are judged on the input.
@@ -240,6 +243,28 @@ def with_bytes(open_runs: DataFrame, docs: DataFrame) -> DataFrame:
     return by_arrow(docs.join(lists, "doc"), run, "gram long, digest long, doc long, start long, bytes binary")
 
 
+def equal_suffixes(data: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Of the windows that begin at low, those that equal an earlier one, by a radix sort of their bytes, most significant digit
+    first: a digit is eight bytes, and windows that are alone in their group are done."""
+    word = data.astype(np.uint64)
+    for n in (1, 2, 4):  # the eight bytes from each place on
+        word = word[:-n] << np.uint64(8 * n) | word[n:]
+    alive = np.argsort(word[low], kind="stable")
+    group = np.zeros(len(low), np.int64)
+    for at in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+        key = word[low[alive] + at]
+        part = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        if at and (part & (group[1:] == group[:-1])).any():  # a group falls apart: it is sorted by the digit
+            order = np.lexsort((key, group))
+            alive, key, group = alive[order], key[order], group[order]
+            part = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        new = np.r_[True, part] if len(alive) else np.empty(0, bool)
+        group = np.cumsum(new)
+        several = ~(new & np.r_[new[1:], True]) if len(alive) else new
+        alive, group = alive[several], group[several]
+    return alive[1:][group[1:] == group[:-1]]
+
+
 def last_digit(runs: DataFrame) -> DataFrame:
     """Stretches (doc, low, high) of the windows of cold grams that are not the first of their bytes."""
 
@@ -263,9 +288,7 @@ def last_digit(runs: DataFrame) -> DataFrame:
         owner = np.repeat(np.arange(len(group)), windows)
         within = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         low = begins[owner] + within
-        digest = Hasher(np.frombuffer(b"".join(g[3] for g in group), np.uint8)).stretches(low, low + WINDOW)
-        order = np.argsort(digest, kind="stable")  # rows come in order of (gram, doc, start)
-        again = order[1:][digest[order[1:]] == digest[order[:-1]]]
+        again = equal_suffixes(np.frombuffer(b"".join(g[3] for g in group), np.uint8), low)  # rows come in order of (gram, doc, start)
         doc, start = (np.array([g[i] for g in group], np.int64) for i in (1, 2))
         d, a, b = joined_runs(doc[owner[again]], start[owner[again]] + within[again], np.ones(len(again), np.int64))
         return {"doc": d, "low": a, "high": b}

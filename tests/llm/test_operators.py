@@ -453,6 +453,70 @@ def test_runs_of_one_gram_meet(spark):
     assert [tuple(r) for r in repeats.last_digit(found).collect()] == [(last, 0, 150)]
 
 
+def test_suffixes_are_sorted_by_their_bytes():
+    rng = random.Random(8)
+    parts = ["".join(rng.choices("ab", k=rng.randrange(100, 260))) for _ in range(20)]
+    text = "".join(rng.choice(parts) for _ in range(60)) + "a" * 300
+    data, low = np.frombuffer(text.encode(), np.uint8), np.arange(len(text) - 99)
+    seen, want = set(), []
+    for p in low.tolist():
+        if text[p : p + 100] in seen:
+            want.append(p)
+        seen.add(text[p : p + 100])
+    assert sorted(repeats.equal_suffixes(data, low).tolist()) == want and len(want) > 1000
+    assert not len(repeats.equal_suffixes(data, low[:1])) and not len(repeats.equal_suffixes(data, low[:0]))
+
+
+def test_a_query_of_all_terms_ranks_as_the_formula(spark):
+    """Without a cut of terms, the first neighbours of a seed are those of the highest BM25 sums."""
+    rng = np.random.default_rng(3)
+    rests = [rng.integers(0, 60, rng.integers(20, 60)).astype(np.uint16) for _ in range(40)]
+    df = np.array([sum(t in r for r in rests) for t in range(60)])
+    mean = np.mean([len(r) for r in rests])
+    window = packing.retrieval_order(rests, df, 40, mean, 200, 60)[0]
+    idf = np.log1p((40 - df + 0.5) / (df + 0.5))
+
+    def score(d):
+        return sum(idf[t] * n * (packing.K1 + 1) / (n + packing.K1 * (1 - packing.B + packing.B * len(d) / mean)) for t, n in collections.Counter(d.tolist()).items() if t in set(rests[0].tolist()))
+
+    best = sorted(range(1, 40), key=lambda i: -score(rests[i]))
+    assert [x for x, _, _ in window][1:] == best[: len(window) - 1]
+
+
+def test_insults_of_two_words():
+    """Words that are common alone, toxic together, and the pair with an inserted character."""
+    rng = random.Random(1)
+    words = [f"{a}{b}" for a in ("ra", "lo", "ti", "me", "su", "no", "pe", "ka") for b in ("nda", "lim", "tor", "ves", "gan")]
+    text = lambda: [rng.choice(words) for _ in range(30)]
+    texts, toxic = [], []
+    for i in range(300):
+        own = text()
+        if i % 3 == 0:
+            own[7:9] = ["dirty", "dog"]
+        elif i % 3 == 1:
+            own[4], own[9] = "dirty", "dog"
+        texts.append(" ".join(own) + ".")
+        toxic.append(i % 3 == 0)
+    machine = toxicity.train_machine(texts, np.array(toxic))
+    clean, bad, near, apart = (machine.scores([t], {})[0] for t in (" ".join(text()), " ".join([*text(), "dirty", "dog"]), " ".join([*text(), "dirty", "d.o.xg"]), " ".join(["dog", *text(), "dirty"])))
+    assert bad > 0.5 > 0.3 > max(clean, apart) and near > 2 * max(clean, apart)
+
+
+def fuzzed(rng, n):
+    """Texts of pieces that tokenizers treat in ways of their own."""
+    odd = ["<|endoftext|>", " ", "  ", "\n", "\t", "é", "漢字", "🙂", "İ", "ß", "\u200b", "don't", "123,456.78", "ABC", "x" * 50, "...", "\x1c", "a_b"]
+    return ["".join(rng.choice(odd) if rng.random() < 0.4 else rng.choice("abcdefghij ") for _ in range(rng.randrange(1, 80))) for _ in range(n)]
+
+
+def test_tokens_of_fuzzed_texts(spark):
+    texts = fuzzed(random.Random(5), 1500)
+    byte, word = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame(spark, texts), BYTE).collect()}
+    assert got == {i: len(byte.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    ids = packing.chunk_tokenizer(WORD).encode(texts)
+    assert [np.frombuffer(x, np.uint16).tolist() for x in ids] == [word.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_segments_of_long_texts(spark, monkeypatch):
     text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(5000))
     monkeypatch.setattr(repeats, "SEGMENT", 700)
