@@ -24,7 +24,9 @@ from .lineage import by_arrow, cut, dropped
 #: Ranks of a block of a running sum.
 BLOCK = 1 << 16
 #: Times that the tails of a rank grow in a round.
-FAN = 8
+FAN = 16
+#: Hops of a pointer in a round: it grows HOPS + 1 times as long.
+HOPS = 3
 SETTLED, OPEN, TIED = 0, 1, 2
 STATE = "read long, weight long, way array<long>, rank array<long>, state array<int>, n_open long, n_tied long"
 
@@ -52,7 +54,7 @@ def with_copies(walked: DataFrame) -> tuple[DataFrame, DataFrame]:
     step = F.struct("ord", way(F.col("node"), F.col("dir")).alias("way"), "up_tail", "down_tail")
     lists = walked.groupBy("read_id").agg(F.sort_array(F.collect_list(step)).alias("steps"))  # a read's own
     digest = F.sha2(F.concat_ws(",", F.transform("steps", lambda s: F.concat_ws(":", s["way"].cast("string"), s["up_tail"], s["down_tail"]))), 256)
-    lists = cut(lists.withColumn("digest", digest), "reads")
+    lists = lists.withColumn("digest", digest)
     groups = lists.groupBy("digest").agg(F.min("read_id").alias("read"), F.count("*").alias("weight"))
     # copies in order of read_id
     members = lists.select("read_id", "digest").join(groups.where("weight > 1").select("digest", "read"), "digest")
@@ -212,14 +214,16 @@ def over_edges(positions: DataFrame, k: int = K) -> DataFrame:
 
 def traced(positions: DataFrame, k: int = K) -> DataFrame:
     """(node, dir, node_pos, start_node, start_dir, start_pos, place): the first step of each route's read and how many steps lie
-    between, found by doubling pointers back, from (node, direction, position) alone."""
+    between, found by pointers back that grow fourfold a round, from (node, direction, position) alone."""
     onward = over_edges(positions, k).select(way(F.col("next_node"), F.col("next_dir")).alias("way"), F.col("next_pos").alias("pos"), way(F.col("node"), F.col("dir")).alias("a_way"), F.col("node_pos").alias("a_pos"))
     every = positions.select(way(F.col("node"), F.col("dir")).alias("way"), F.col("node_pos").alias("pos"))
     # a: the furthest step back that is known; done: it is the first
     now = cut(every.join(onward, ["way", "pos"], "left").select("way", "pos", F.coalesce("a_way", "way").alias("a_way"), F.coalesce("a_pos", "pos").alias("a_pos"), F.when(F.col("a_way").isNull(), 0).otherwise(1).cast("long").alias("place"), F.col("a_way").isNull().alias("done")), "pointers")
     while not now.where("not done").isEmpty():
         back = now.select(F.col("way").alias("a_way"), F.col("pos").alias("a_pos"), F.col("a_way").alias("b_way"), F.col("a_pos").alias("b_pos"), F.col("place").alias("more"), F.col("done").alias("b_done"))
-        moved = now.where("not done").join(back, ["a_way", "a_pos"]).select("way", "pos", F.col("b_way").alias("a_way"), F.col("b_pos").alias("a_pos"), (F.col("place") + F.col("more")).alias("place"), F.col("b_done").alias("done"))
+        moved = now.where("not done")
+        for _ in range(HOPS):  # from a first step on, a hop leads nowhere else
+            moved = moved.join(back, ["a_way", "a_pos"]).select("way", "pos", F.col("b_way").alias("a_way"), F.col("b_pos").alias("a_pos"), (F.col("place") + F.col("more")).alias("place"), F.col("b_done").alias("done"))
         new = cut(now.where("done").unionByName(moved), "pointers")
         dropped(now)
         now = new
