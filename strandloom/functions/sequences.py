@@ -17,6 +17,11 @@ def revcomp(s: Column) -> Column:
     return F.reverse(F.translate(s, "ACGT", "TGCA"))
 
 
+def revcomp_any(s: Column) -> Column:
+    """The reverse complement of any text: what is no base becomes N."""
+    return revcomp(F.regexp_replace(s, "[^ACGT]", "N"))
+
+
 def canonical(kmer: Column) -> Column:
     """The lesser of both strands; for odd k they differ."""
     return F.least(kmer, revcomp(kmer))
@@ -51,5 +56,7 @@ def orientation(path: Column, side: Column, k: int = K) -> Column:
     return F.when((side == "S") == (t < revcomp(t)), 1).otherwise(-1)
 
 
-def quality_ints(qual: Column, offset: int = 33) -> Column:
-    return F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - offset)
+def quality_ints(qual: Column, offset: int = 33, seq: Column | None = None) -> Column:
+    """Qualities as numbers; with seq, 0 where it has N."""
+    out = F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - offset)
+    return out if seq is None else F.transform(out, lambda q, i: F.when(F.substring(seq, i + 1, F.lit(1)) == "N", 0).otherwise(q))

@@ -179,6 +179,7 @@ QUERIES = {
     "smer_unpack": lambda s, d: G.nodes_grid(_used(s, d)).select(S.unpack(F.col("node")).alias("smer")),
     "packed_revcomp": lambda s, d: spelled(G.nodes_grid(_used(s, d)).withColumn("rc_id", S.revcomp_id(F.col("node")))),
     "revcomp": lambda s, d: long_reads(s, d).select("read_id", S.revcomp(F.col("seq")).alias("rc")),
+    "revcomp_any": lambda s, d: _table(s, d, "documents").select("doc_id", S.revcomp_any(F.col("text")).alias("rc")),
     "nodes_grid": lambda s, d: spelled(G.nodes_grid(_used(s, d))),
     "node_count": lambda s, d: G.nodes_grid(_used(s, d)).agg(F.count("*").alias("n")),
     "node_path_counts": lambda s, d: spelled(G.found_kmers(*_nodes(s, d)).groupBy("node").agg(F.count("*").alias("n"))),
@@ -223,6 +224,7 @@ QUERIES = {
     "map_reads_to_nodes": _mapped,
     "fastq_text": _fastq,
     "quality_ints": lambda s, d: _quality(s, d).select("read_id", F.array_join(S.quality_ints(F.col("qual")).cast("array<string>"), ",").alias("q")),
+    "quality_masked": lambda s, d: _quality(s, d).withColumn("masked", F.regexp_replace("seq", "AC", "NC")).select("read_id", F.array_join(S.quality_ints(F.col("qual"), 33, F.col("masked")).cast("array<string>"), ",").alias("q")),
     "quality_histogram": _histogram,
     "phred_offset": _phred,
     "graph_roundtrip": _roundtrip,
@@ -324,6 +326,7 @@ SELECT * FROM q WHERE len >= 2""",
     "smer_unpack": _sql("SELECT smer FROM n"),
     "packed_revcomp": _sql(f"SELECT smer, {_PACK(_RC('smer'))} AS rc_id FROM n"),
     "revcomp": _sql(f"SELECT read_id, {_RC('seq')} AS rc FROM reads"),
+    "revcomp_any": f"SELECT doc_id, {_RC("regexp_replace(text, '[^ACGT]', 'N', 'g')")} AS rc FROM documents",
     "nodes_grid": _sql("SELECT smer FROM n"),
     "node_count": _sql("SELECT count(*) AS n FROM n"),
     "node_path_counts": _sql("SELECT smer, count(*) AS n FROM h GROUP BY smer"),
@@ -384,6 +387,7 @@ LEFT JOIN tt ON po.smer = tt.smer AND tt.bases = po.up_tail AND tt.side = {_side
   FROM (SELECT item_id AS read_id, q, unnest(range(0, length(q) - 22)) AS pos FROM (SELECT item_id, {_DNA} AS q FROM benchmark) WHERE length(q) >= 40)) WHERE smer IN (SELECT smer FROM n)"""),
     "fastq_text": _sql("SELECT read_id, '@r' || read_id || chr(10) || seq || chr(10) || '+' || chr(10) || qual || chr(10) AS record FROM qu", _SHORT),
     "quality_ints": _sql("SELECT read_id, CASE WHEN qual = '' THEN '' ELSE list_aggregate(list_transform(string_split(qual, ''), lambda x: ascii(x) - 33), 'string_agg', ',') END AS q FROM qu", _SHORT),
+    "quality_masked": _sql("SELECT read_id, CASE WHEN qual = '' THEN '' ELSE list_aggregate(list_transform(range(1, length(qual) + 1), lambda i: CASE WHEN substr(seq, i, 2) = 'AC' THEN 0 ELSE ascii(substr(qual, i, 1)) - 33 END), 'string_agg', ',') END AS q FROM qu", _SHORT),
     "quality_histogram": _sql("SELECT q, n FROM qh", _SHORT),
     "phred_offset": _sql("""SELECT low, high, CASE WHEN low > 0 AND high = 0 THEN 33 WHEN high > 0 AND low = 0 THEN 64 ELSE 0 END AS "offset" FROM (
   SELECT coalesce(sum(n) FILTER (q + 33 BETWEEN 33 AND 58), 0)::BIGINT AS low, coalesce(sum(n) FILTER (q + 33 BETWEEN 80 AND 104), 0)::BIGINT AS high FROM qh)""", _SHORT),

@@ -262,7 +262,7 @@ def test_files_stream_in(spark, tmp_path):
     assert sorted(map(tuple, ingest.routes(spark, path).collect())) == sorted(map(tuple, want.collect()))
 
 
-NAMES = ["seq_reads", "fasta_runs", "kmer_orientation", "smer_pack", "packed_revcomp", "nodes_grid", "steps", "linking_nodes", "edge_widths", "route_runs", "sequence_starts", "edge_transitions", "followed_reads", "map_reads_to_nodes", "phred_offset"]
+NAMES = ["seq_reads", "revcomp_any", "quality_masked", "fasta_runs", "kmer_orientation", "smer_pack", "packed_revcomp", "nodes_grid", "steps", "linking_nodes", "edge_widths", "route_runs", "sequence_starts", "edge_transitions", "followed_reads", "map_reads_to_nodes", "phred_offset"]
 
 
 @pytest.mark.parametrize("name", NAMES)
