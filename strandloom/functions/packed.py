@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASES = np.frombuffer(b"ACGT", np.uint8)
 #: Code of each byte; what is no base has OTHER.
@@ -14,6 +15,10 @@ CODE = np.full(256, OTHER, np.uint8)
 CODE[BASES] = np.arange(4)
 COMPLEMENT = np.arange(256, dtype=np.uint8)
 COMPLEMENT[BASES] = BASES[::-1]
+#: Base of each letter of any text, by its place in the alphabet; what is no letter has 0.
+LETTER = np.zeros(256, np.uint8)
+for _first in b"Aa":
+    LETTER[_first : _first + 26] = BASES[np.arange(26) % 4]
 #: Places of a piece in which a long read is worked on.
 PIECE = 1 << 20
 
@@ -55,6 +60,19 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, low, high
 
 
+def letters_as_bases(column: pa.Array) -> pa.Array:
+    """`sequences.dna` of a string column (null: null)."""
+    data, low, high = texts_of(column)
+    if not len(low):
+        return pa.array([], pa.large_string())
+    begin = int(low[0])
+    bases = LETTER[data[begin : int(high.max())]]
+    before = np.concatenate([[0], np.cumsum(bases != 0)])
+    offsets = before[np.append(low, max(low[-1], high.max())) - begin]
+    out = pa.LargeStringArray.from_buffers(len(low), pa.py_buffer(offsets), pa.py_buffer(bases[bases != 0]))
+    return pc.if_else(column.is_valid(), out, pa.scalar(None, pa.large_string()))
+
+
 def owners(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For items in groups of these sizes: the group of each, and its place there."""
     owner = np.repeat(np.arange(len(sizes)), sizes)

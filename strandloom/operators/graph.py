@@ -180,9 +180,9 @@ def node_filter(nodes: DataFrame) -> P.Filter | None:
         word = np.flatnonzero(own.words)
         yield {"word": word, "bits": own.words[word].view(np.int64)}
 
-    words = by_arrow(nodes.select("node"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    words = by_arrow(nodes.select("node"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = P.Filter(bits)
-    out.words[words.word.to_numpy(np.int64)] = words.bits.to_numpy(np.int64).view(np.uint64)
+    out.words[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out
 
 

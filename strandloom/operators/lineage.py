@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 _OWN: list[str] = []
 #: Rows of a batch that an operator gives out.
 GIVEN = 200_000
+#: Bytes a core (as planned, compressed) from which on a table's own splits are enough for all cores.
+SPLIT = 1 << 27
 
 
 def folder(spark: SparkSession) -> str:
@@ -45,6 +47,16 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df with its rows dealt among all cores, if it lies in fewer files than there are cores and is too small to be split by
+    its row groups; other tables as they are. Only where rows are worked on changes, never which."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if planned >= SPLIT * cores or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def by_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with a function that yields dicts of columns (numpy, Arrow or lists), given out in batches of GIVEN rows."""
     target = to_arrow_schema(StructType.fromDDL(schema))

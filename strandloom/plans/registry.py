@@ -1,38 +1,55 @@
 """The registered queries on the provided tables, and the same in SQL for DuckDB.
 
-Texts stand in for DNA (functions.sequences.dna). Documents are the reads, whole and all of them; conversations are short reads,
+Texts stand in for DNA (functions.sequences.dna, a batch at a time). Documents are the reads, whole and all of them; conversations are short reads,
 for the queries that go through reads one after the other (`nodes_sequential`) or carry qualities.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import packed as P
 from ..functions import sequences as S
 from ..graph import Graph
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..operators import routing as W
-from ..operators.lineage import cut, folder
+from ..operators.lineage import by_arrow, cut, folder, spread
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _reads(texts: DataFrame) -> DataFrame:
+    """texts (read_id, text, and any others) with seq, their letters as bases, for text. Spelled once a row: a filter of seq
+    doesn't go below it."""
+    also = [c for c in texts.columns if c not in ("read_id", "text")]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            yield {"read_id": batch.column("read_id"), "seq": P.letters_as_bases(batch.column("text"))} | {c: batch.column(c) for c in also}
+
+    schema = ", ".join(["read_id long", "seq string", *[f"{c} {texts.schema[c].dataType.simpleString()}" for c in also]])
+    return by_arrow(spread(texts), run, schema)
+
+
 def long_reads(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), S.dna(F.col("text")).alias("seq"))
+    return _reads(_table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("read_id"), "text"))
 
 
 def short_reads(spark: SparkSession, d: str) -> DataFrame:
-    return _table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("read_id"), S.dna(F.col("text")).alias("seq"))
+    return _reads(_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("read_id"), "text"))
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     """Documents with a tag: those of a known language."""
     tag = F.when(F.col("lang").isNotNull(), F.concat(F.lit("t"), F.col("doc_id").cast("string")))
-    return _table(spark, d, "documents").select(F.col("doc_id").alias("read_id"), S.dna(F.col("text")).alias("seq"), tag.alias("tag"))
+    return _reads(_table(spark, d, "documents").select(F.col("doc_id").cast("long").alias("read_id"), "text", tag.alias("tag")))
 
 
 def _used(spark: SparkSession, d: str, reads=long_reads) -> DataFrame:
@@ -135,7 +152,7 @@ def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
-    asked = _table(spark, d, "benchmark").select(F.col("item_id").alias("read_id"), S.dna(F.col("text")).alias("seq"))
+    asked = _reads(_table(spark, d, "benchmark").select(F.col("item_id").cast("long").alias("read_id"), "text"))
     return spelled(G.hits(G.filtered(asked), _nodes(spark, d)[1]).drop("ord"))
 
 
