@@ -12,6 +12,7 @@ from strandloom.functions import sequences as S
 from strandloom.graph import Graph, GraphConfig
 from strandloom.operators import graph as G
 from strandloom.operators import routing as W
+from strandloom.operators.lineage import spread
 from strandloom.plans import registry
 from strandloom.sources import reads as R
 from strandloom.streaming import ingest
@@ -275,3 +276,23 @@ def test_queries_equal_their_sql(spark, name):
     assert cols == sorted(want.columns)
     text = lambda f: f[cols].astype(str).sort_values(cols).reset_index(drop=True)
     assert text(got).equals(text(want))
+
+
+def test_letters_as_bases_of_batches(spark):
+    texts = ["Abz-é z9\n", None, "", "日本", "xyZ" * 3, "ACGT"]
+    column = pa.array(["left out", *texts], pa.string()).slice(1)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = [r.s for r in df.select("i", S.dna(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert P.letters_as_bases(column).to_pylist() == want
+    assert P.letters_as_bases(pa.array([None, None], pa.string())).to_pylist() == [None, None]
+    assert P.letters_as_bases(pa.array([], pa.string())).to_pylist() == []
+
+
+def test_spread_keeps_rows(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    dealt = spread(spark.read.parquet(f"{tmp_path}/one"))
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert dealt.distinct().count() == dealt.count() == 1000
+    spark.range(1000).repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{tmp_path}/many")
+    many = spark.read.parquet(f"{tmp_path}/many")
+    assert spread(many) is many
