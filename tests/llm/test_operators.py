@@ -374,6 +374,25 @@ def test_values_of_any_length(spark):
     assert re.fullmatch(r"on (19|20)\d\d-\d\d-\d\d", got[4].text) and "onlyletters" not in got[6].text
 
 
+def test_hosts_of_many_parts(spark):
+    """Java's regular expressions went a level deeper for each part, which ended the JVM."""
+    texts = ["x@a" + ".ab" * 20_000, "x@" + "a." * 20_000, "x@a.b.co.c", "x@b.com1", "x@b..com"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(rows).collect()}
+    assert got[0].text.endswith("@a" + ".ab" * 20_000) and got[0].n_replaced <= 1
+    found = rows.select("doc_id", pii.F.regexp_extract("text", f"({pii.MAIL})", 1).alias("m")).collect()
+    assert [r.m for r in sorted(found)] == [texts[0], "", "x@a.b.co", "x@b.com", ""]
+
+
+def test_a_cluster_without_a_key(spark):
+    """A key is drawn, and kept for the session."""
+    setting = {}
+    conf = type("Conf", (), {"get": lambda _, k, d=None: setting.get(k, d), "set": lambda _, k, v: setting.update({k: v})})()
+    cluster = type("Session", (), {"conf": conf, "sparkContext": type("Context", (), {"master": "spark://host:7077"})})()
+    key = pii.key_of(cluster)
+    assert len(key) >= 32 and key != pii.TEST_KEY and pii.key_of(cluster) == key == setting[pii.KEY_SETTING]
+
+
 def test_permutations_are_one_to_one(spark):
     words = spark.range(26 * 26).selectExpr("concat(char(97 + int(id / 26)), char(97 + int(id % 26))) w")
     got = {r[0] for r in words.select(pii.permuted_text(words.w, "t")).collect()}
