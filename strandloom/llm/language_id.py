@@ -29,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_arrow, crc_mod, table, written
+from .common import by_arrow, crc_mod, dropped, table, written
 
 ORDER, BITS = 5, 12
 #: The least share of a language's counts that an n-gram of the model has.
 PRUNE = 1e-6
-#: One in FOLD training rows is held back for calibration; about FOLD_ROWS of them a language are used.
-FOLD, FOLD_ROWS = 40, 2000
+#: One in FOLD training rows is held back for calibration, which uses all of these.
+FOLD = 40
+TEMPERATURES = [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0]
+#: A group of calibration that holds the rows of all languages.
+POOLED = -1
 #: Least margins of rejection in nats: over the median, and for one letter.
 MARGIN, ONE_LETTER = 0.5, 6.0
 #: Bytes of a piece of the stored model.
@@ -275,7 +278,7 @@ def loaded(held, key: str) -> Model:
     return _LOADED[key]
 
 
-def train(rows: DataFrame, id_column: str = "doc_id", prune: float = PRUNE, fold_rows: int = FOLD_ROWS) -> Trained:
+def train(rows: DataFrame, id_column: str = "doc_id", prune: float = PRUNE) -> Trained:
     """A model of rows (id, text, lang). One in FOLD of them, by a hash of the id, is held back for calibration."""
     spark = rows.sparkSession
     used = rows.where(f"`{id_column}` is not null and lang is not null and text is not null").select(F.col(id_column).alias("id"), "text", "lang")
@@ -285,54 +288,61 @@ def train(rows: DataFrame, id_column: str = "doc_id", prune: float = PRUNE, fold
     if not langs:
         return Trained()
     trained = Trained(spark.sparkContext.broadcast(built(counted, langs, prune)), uuid.uuid4().hex)
-    return calibrate(trained, langs, used.where(fold == 0), fold_rows)
+    return calibrate(trained, langs, used.where(fold == 0))
 
 
-def calibrate(trained: Trained, langs: list[str], fold: DataFrame, rows: int) -> Trained:
+def calibrate(trained: Trained, langs: list[str], fold: DataFrame) -> Trained:
     """Temperature of the least log loss; limits of rejection from the texts that the model tells right. A language of few
-    such texts takes the margins of all."""
-    spark, held, key = fold.sparkSession, trained.raw, trained.key
-    sizes = fold.groupBy("lang").count().collect()  # a row per language
-    odds = spark.createDataFrame([(r.lang, min(1.0, rows / r["count"])) for r in sizes], "lang string, odds double")
-    lot = F.pmod(F.xxhash64("id", F.lit("use")), F.lit(1 << 30)) / float(1 << 30)
-    some = fold.join(F.broadcast(odds), "lang").where(lot < F.col("odds")).select("lang", "text")
+    such texts takes the margins of all. Every row of the fold counts: it is scored once, and sums and exact quantiles of the
+    scores are all that comes to the driver."""
+    held, key = trained.raw, trained.key
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         model = loaded(held, key)
         for batch in it:
             entropy, letters = model.cross_entropy(batch.column("text").to_pylist())
-            yield {"lang": batch.column("lang"), "letters": letters, "entropy": entropy.tolist()}
-
-    told = [r for r in by_arrow(some, run, "lang string, letters long, entropy array<double>").collect() if r.letters and r.lang in langs]
+            known = np.array([langs.index(x) if x in langs else -1 for x in batch.column("lang").to_pylist()])
+            some = np.flatnonzero((known >= 0) & (letters > 0))
+            entropy, truth = entropy[some], known[some]
+            own = entropy[np.arange(len(some)), truth]
+            loss = np.stack([np.log(np.exp(-t * (entropy - entropy.min(1, keepdims=True))).sum(1)) + t * (own - entropy.min(1)) for t in TEMPERATURES], 1)
+            yield {"number": truth, "letters": letters[some].astype(float), "own": own, "is_right": entropy.argmin(1) == truth, "loss": loss.tolist()}
+
+    told = written(by_arrow(fold.select("lang", "text"), run, "number long, letters double, own double, is_right boolean, loss array<double>"), "fold")
     trained.most, trained.more = np.full(len(langs), np.inf), np.zeros(len(langs))
-    if not told:
-        return trained
-    entropy, letters = np.array([r.entropy for r in told]), np.array([r.letters for r in told], float)
-    truth = np.array([langs.index(r.lang) for r in told])
-
-    def loss(t: float) -> float:
-        z = -t * (entropy - entropy.min(1, keepdims=True))
-        return float(np.mean(np.log(np.exp(z).sum(1)) - z[np.arange(len(z)), truth]))
-
-    trained.temperature = min([1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0], key=loss)
-    right = entropy.argmin(1) == truth
-    own = entropy[np.arange(len(truth)), truth]
-
-    def margins(mine: np.ndarray) -> tuple[float, float, float]:
-        over, n = own[mine] - np.median(own[mine]), letters[mine]
-        long = over[n >= np.median(n)]
-        margin = max(MARGIN, 2 * np.quantile(long, 0.999))
-        return float(np.median(own[mine])), margin, max(ONE_LETTER, np.quantile((over - margin) * np.sqrt(n), 0.999))
-
-    if right.any():
-        pooled = margins(right)
+    losses = told.agg(F.count("*").alias("n"), *[F.avg(F.get("loss", F.lit(i))).alias(f"t{i}") for i in range(len(TEMPERATURES))]).first()
+    if losses.n:
+        trained.temperature = min(zip(losses[1:], TEMPERATURES, strict=True))[1]
+        right = told.where("is_right").select(F.explode(F.array("number", F.lit(POOLED).cast("long"))).alias("number"), "own", "letters")
+        limits = margins(right)
         for i in range(len(langs)):
-            mine = right & (truth == i)
-            middle, margin, one = margins(mine) if mine.sum() >= 20 else (float(np.median(own[mine])) if mine.any() else pooled[0], *pooled[1:])
-            trained.most[i], trained.more[i] = middle + margin, one
+            if POOLED in limits:
+                n, middle, margin, one = limits.get(i, limits[POOLED])
+                margin, one = (margin, one) if n >= 20 else limits[POOLED][2:]
+                trained.most[i], trained.more[i] = middle + margin, one
+    dropped(told)
     return trained
 
 
+def margins(rows: DataFrame) -> dict[int, tuple[int, float, float, float]]:
+    """For each group `number` of rows (number, own, letters): its rows, the median of its cross-entropies, the margin over it, and
+    the part of one letter."""
+    spark = rows.sparkSession
+
+    def told(more: list[tuple], names: str, df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(spark.createDataFrame(more, f"number long, {names}")), "number")
+
+    middle = [tuple(r) for r in rows.groupBy("number").agg(F.percentile("own", 0.5), F.percentile("letters", 0.5)).collect()]  # a row per language
+    if not middle:
+        return {}
+    over = told(middle, "middle double, usual double", rows).withColumn("over", F.col("own") - F.col("middle"))
+    high = {r[0]: max(MARGIN, 2 * r[1]) for r in over.where("letters >= usual").groupBy("number").agg(F.percentile("over", 0.999)).collect()}
+    part = told(list(high.items()), "margin double", over)
+    ends = part.groupBy("number").agg(F.count("*"), F.percentile((F.col("over") - F.col("margin")) * F.sqrt("letters"), 0.999)).collect()
+    middles = {m[0]: m[1] for m in middle}
+    return {r[0]: (r[1], middles[r[0]], high[r[0]], max(ONE_LETTER, r[2])) for r in ends}
+
+
 def predict(docs: DataFrame, trained: Trained) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row."""
 

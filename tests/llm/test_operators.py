@@ -131,6 +131,27 @@ def brute_probability(counts, gram, order):
     return max(own.get(gram[-order:], 0) - d, 0) / total + d * len(context) / total * lower
 
 
+def test_limits_use_the_whole_fold(spark):
+    """More texts than any bound on a fold: the limits are the quantiles of all of them."""
+    rng = random.Random(4)
+    made = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 12)))
+    rows = spark.createDataFrame([(made(s), x) for x, s in (("x", "abcd "), ("y", "abef ")) for _ in range(2500)], "text string, lang string")
+    langs = ["x", "y"]
+    raw = language_id.built(language_id.ngram_counts(rows), langs)
+    trained = language_id.calibrate(language_id.Trained(spark.sparkContext.broadcast(raw), "whole-fold"), langs, rows)
+    model, told = language_id.pickle.loads(raw), rows.toPandas()
+    entropy, letters = model.cross_entropy(list(told.text))
+    truth = (told.lang == "y").to_numpy().astype(int)
+    own = entropy[np.arange(len(truth)), truth]
+    for i in range(2):
+        mine = (truth == i) & (entropy.argmin(1) == truth) & (letters > 0)
+        over, n = own[mine] - np.median(own[mine]), letters[mine]
+        margin = max(language_id.MARGIN, 2 * np.quantile(over[n >= np.median(n)], 0.999))
+        assert trained.most[i] == pytest.approx(np.median(own[mine]) + margin, abs=1e-9)
+        assert trained.more[i] == pytest.approx(max(language_id.ONE_LETTER, np.quantile((over - margin) * np.sqrt(n), 0.999)), abs=1e-9)
+    assert trained.temperature in language_id.TEMPERATURES
+
+
 def test_language_probabilities(spark):
     """Without pruning, the model's probabilities are those of the definition."""
     texts = ["abra cadabra", "a cab a bar", "bad cab", "abba"] * 2
