@@ -11,6 +11,7 @@ from strandloom.functions import packed as P
 from strandloom.functions import sequences as S
 from strandloom.graph import Graph, GraphConfig
 from strandloom.operators import graph as G
+from strandloom.operators import packed_tails as T
 from strandloom.operators import routing as W
 from strandloom.operators.lineage import spread
 from strandloom.plans import registry
@@ -21,6 +22,10 @@ READS = ["AACGTCCGGCATGTTACACATCTACAAACGTGATGGTTGTACCGCATACCACCCTGGGGTACCCTAAGCA
 DATA = "/root/testdata/sf0.001"
 
 
+def S_revcomp(x):
+    return x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
 def smer(ids, k=23):
     return P.strings_of(np.array(ids, np.int64), k).to_pylist()
 
@@ -137,6 +142,25 @@ def test_nodes_in_parts(spark, reads, monkeypatch, slices):
     assert "pos" not in "".join(x for x in plan.splitlines() if "Exchange" in x or "Join" in x)  # no row for a place is dealt
 
 
+def test_packed_tails_equal_those_of_steps(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ACGT") for _ in range(rng.randint(40, 300))) for _ in range(60)]
+    texts += [x[rng.randint(0, 20) :] for x in texts if len(x) > 80] + [S_revcomp(x) for x in texts[:20]]
+    used = G.filtered(spark.createDataFrame(list(enumerate(texts)), "read_id long, seq string"))
+    nodes = G.cut(G.nodes_grid(used), "nodes")
+    walked = G.cut(G.steps(used, nodes), "steps")
+    held = G.cut(G.tail_targets(G.tails(walked), nodes), "tails")
+    monkeypatch.setattr(T, "PART_NODES", 50)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(T.tails(used, nodes)) == rows(held)
+    assert rows(T.edges(used, nodes)) == rows(G.edges(held))
+    want = rows(G.edge_widths(G.edges(held), held))
+    assert rows(T.edge_widths(used, nodes)) == want and {x[4] for x in want} == {-1, 1}
+    assert T.edge_check(used, nodes).first()[:] == (len(want), 0)
+    node, key = np.array([5, 9]), np.array([1 << T.SIDE | 7 << 1 | 1, 6 << 1 | 1])
+    assert not T.agreeing(node, key, np.array([1, 1]), np.array([0, 0]), 23).any()  # no far end
+
+
 def test_long_reads_in_pieces(spark, monkeypatch):
     text = "".join(random.Random(4).choices("ACGT", k=5000))
     whole = [x.tolist() for x in next(P.places(*P.texts_of(pa.array([text])), 23))]
