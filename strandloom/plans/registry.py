@@ -211,7 +211,7 @@ QUERIES = {
     "linking_nodes": lambda s, d: spelled(G.linking(_linked(s, d)).select("node", "side", "idx", "linking")),
     "dangling_tails": lambda s, d: spelled(_linked(s, d).where("linked = 0").select("node", "side", "bases")),
     "edges": lambda s, d: spelled(T.edges(*_nodes(s, d)), "target"),
-    "edge_widths": lambda s, d: (lambda t: spelled(G.edge_widths(G.edges(t), t), "target"))(_linked(s, d)),
+    "edge_widths": lambda s, d: spelled(T.edge_widths(*_nodes(s, d)), "target"),
     "edge_symmetry_check": lambda s, d: T.edge_check(*_nodes(s, d)),
     "graph_checks": _checks,
     "routes_agg": lambda s, d: spelled(G.routes(_steps(s, d))),
