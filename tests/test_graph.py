@@ -157,6 +157,7 @@ def test_packed_tails_equal_those_of_steps(spark, monkeypatch):
     want = rows(G.edge_widths(G.edges(held), held))
     assert rows(T.edge_widths(used, nodes)) == want and {x[4] for x in want} == {-1, 1}
     assert T.edge_check(used, nodes).first()[:] == (len(want), 0)
+    assert rows(T.routes(used, nodes)) == rows(G.routes(walked))
     node, key = np.array([5, 9]), np.array([1 << T.SIDE | 7 << 1 | 1, 6 << 1 | 1])
     assert not T.agreeing(node, key, np.array([1, 1]), np.array([0, 0]), 23).any()  # no far end
 
