@@ -18,8 +18,8 @@ from ..graph import Graph
 from ..operators import graph as G
 from ..operators import packed_tails as T
 from ..operators import retrieval as R
-from ..operators import routing as W
 from ..operators.lineage import by_arrow, cut, folder, spread
+from ..operators.packed_routes import PackedOrder
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -78,8 +78,8 @@ def spelled(df: DataFrame, *also: str) -> DataFrame:
     return df.select(*columns.values())
 
 
-def _ordered(spark: SparkSession, d: str) -> W.Ordered:
-    return W.Ordered(cut(_steps(spark, d), "steps"))
+def _ordered(spark: SparkSession, d: str) -> PackedOrder:
+    return PackedOrder(*_nodes(spark, d))
 
 
 def _graph(spark: SparkSession, d: str) -> Graph:
@@ -88,11 +88,8 @@ def _graph(spark: SparkSession, d: str) -> Graph:
 
 def _asked(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:
     """A graph, and for each read the context at its middle step, where the read comes in."""
-    graph = Graph.build(_tagged(spark, d))
-    places = cut(graph.ordered.positions(), "positions")
-    middle = places.groupBy("read_id").agg(F.floor(F.count("*") / 2).cast("int").alias("ord"))
-    at = places.join(middle, ["read_id", "ord"])
-    return graph, cut(at.select(F.col("read_id").alias("asked_id"), "node", "dir", R.side_of(True).alias("side"), F.col("up_tail").alias("bases"), F.col("up_pos").alias("edge_pos")), "asked")
+    graph = _graph(spark, d)
+    return graph, cut(graph.ordered.middles(), "asked")
 
 
 def _ends(spark: SparkSession, d: str, start: bool) -> DataFrame:
@@ -107,7 +104,7 @@ def _read_walks(spark: SparkSession, d: str) -> DataFrame:
 def _tag_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The tags of all contexts at starts of reads that end where they start (reads of one step)."""
     graph = _graph(spark, d)
-    return spelled(graph.tag_data(graph.end_contexts(True, False).drop("idx")).where("tag is not null")).select("smer", "dir", "node_pos", "tag")
+    return spelled(graph.end_contexts(True, False).join(graph.tags, ["node", "dir", "node_pos"])).select("smer", "dir", "node_pos", "tag")
 
 
 def _limited(spark: SparkSession, d: str, limit: int = 20) -> DataFrame:
@@ -121,15 +118,11 @@ def _node_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _transitions(spark: SparkSession, d: str) -> DataFrame:
-    graph = _graph(spark, d)
-    asked = graph.contexts().withColumnRenamed("node_pos", "asked_pos").withColumn("from_bases", F.col("bases"))
-    return spelled(graph.across_node(asked)).select("smer", "dir", "asked_pos", "from_bases", "side", "bases", "edge_pos")
+    return spelled(_graph(spark, d).transitions()).select("smer", "dir", "asked_pos", "from_bases", "side", "bases", "edge_pos")
 
 
 def _edge_transitions(spark: SparkSession, d: str) -> DataFrame:
-    graph = _graph(spark, d)
-    asked = graph.contexts(False).withColumnRenamed("node_pos", "asked_pos").withColumn("from_node", F.col("node")).withColumn("from_dir", F.col("dir"))
-    return spelled(graph.to_linking_edge(asked), "from_node").select("from_node", "from_dir", "asked_pos", "smer", "dir", "side", "bases", "edge_pos")
+    return spelled(_graph(spark, d).edge_transitions(), "from_node").select("from_node", "from_dir", "asked_pos", "smer", "dir", "side", "bases", "edge_pos")
 
 
 def _checks(spark: SparkSession, d: str) -> DataFrame:
