@@ -367,7 +367,7 @@ def test_packed_order_equals_that_of_steps(spark, monkeypatch, fan):
 
 
 #: Queries that are answered without a row for each step: all have failed by disk or time at 0.1 or 1 GB.
-IN_PARTS = ["route_runs", "route_offsets", "route_positions", "linked_smers_flat", "edge_transitions", "node_transitions", "node_contexts", "spanning_contexts", "context_sequences", "sequence_ends", "node_stats", "linked_smer_limited", "read_walk_tags", "tag_lookup"]
+IN_PARTS = ["route_runs", "route_offsets", "route_positions", "linked_smers_flat", "edge_transitions", "node_transitions", "node_contexts", "spanning_contexts", "context_sequences", "sequence_ends", "node_stats", "linked_smer_limited", "read_walk_tags", "tag_lookup", "tag_counts"]
 
 
 @pytest.mark.parametrize("name", IN_PARTS)
