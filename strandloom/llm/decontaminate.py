@@ -44,6 +44,10 @@ SPAN = 1.07
 #: Characters of the items of a block, and bits of the filter of their q-grams.
 BLOCK_CHARS, FILTER_BITS = 1_000_000, 21
 PART = 4096
+#: Characters of a text up to which it is searched for each gram, as that is faster than a set of its own.
+SEARCHED = 512
+#: Window starts that are embedded together, so that their walks stay in the cache.
+TOGETHER = 4_000
 #: Steps of a walk for which there are random bits of their own; later ones take those of other characters.
 OWN_STEPS = 4096
 SCHEMA = "doc_id long, item_id long, distance int, low int, high int"
@@ -88,9 +92,14 @@ def best_stretch(item: str, text: str) -> tuple[int, int]:
 
 def may_match(item: str, text: str, most: int, width: int = 4) -> bool:
     """False only if more than most edits part item from every stretch of text: each edit changes width of its grams at most."""
-    held = {text[i : i + width] for i in range(len(text) - width + 1)}
-    grams = len(item) - width + 1
-    return sum(item[i : i + width] in held for i in range(grams)) >= grams - width * most
+    held = text if len(text) < SEARCHED else {text[i : i + width] for i in range(len(text) - width + 1)}
+    left = width * most
+    for i in range(len(item) - width + 1):
+        if item[i : i + width] not in held:
+            left -= 1
+            if left < 0:
+                return False
+    return True
 
 
 @lru_cache(maxsize=1)
@@ -129,7 +138,7 @@ class Index:
             one = {"bit": n, "grams": grams, "need": need, "samples": np.sort(rng.integers(0, steps - 2, (WALKS, BANDS, SAMPLE)), -1)}
             text = np.concatenate([np.r_[codes(self.parts[i][2]), np.zeros(steps - min(steps, self.lengths[i]) + 1, np.uint32)] for i in members])
             begins = np.cumsum([0, *(self.lengths[i] + steps - min(steps, self.lengths[i]) + 1 for i in members[:-1])])
-            keys = self.embedded(one, text, begins)
+            keys = self.embedded(one, text, begins, self.low_bytes(text))
             one["keys"] = np.sort(keys.ravel())
             one["owner"] = np.repeat(members, keys.shape[1])[np.argsort(keys.ravel(), kind="stable")]
             self.classes.append(one)
@@ -139,20 +148,34 @@ class Index:
         return (mixed(rolled(text.astype(np.uint64) * _SPREAD, GRAM)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
     @staticmethod
-    def embedded(one: dict, text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Keys of the windows at the starts, WALKS * BANDS each."""
+    def low_bytes(text: np.ndarray) -> np.ndarray:
+        return (text & 255).astype(np.int64)
+
+    @staticmethod
+    def embedded(one: dict, text: np.ndarray, starts: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Keys of the windows at the starts, WALKS * BANDS each; low: the low bytes of the text."""
         at, bits = np.tile(starts.astype(np.int64), (WALKS, 1)), walk_bits()
         walk = np.arange(WALKS)[:, None] * 256
-        sampled: dict[int, list[tuple[int, int]]] = {}
+        sampled: dict[int, list[tuple[int, int, int]]] = {}
         for w, band, nth in np.ndindex(one["samples"].shape):
-            sampled.setdefault(int(one["samples"][w, band, nth]), []).append((w, w * BANDS + band))
-        keys = np.repeat(np.arange(WALKS * BANDS, dtype=np.uint64)[:, None], len(starts), 1)
+            sampled.setdefault(int(one["samples"][w, band, nth]), []).append((w, nth, w * BANDS + band))
+        read = np.empty((SAMPLE, WALKS * BANDS, len(starts)), text.dtype)
+        c, move = np.empty_like(at), np.empty(at.shape, np.int8)
         for step in range(max(sampled) + 1):
-            c = text[at]
-            for w, row in sampled.get(step, ()):
-                keys[row] = (keys[row] ^ c[w]) * _SPREAD
-                keys[row] ^= keys[row] >> np.uint64(29)
-            at += bits[step % OWN_STEPS][(c + 57 * (step // OWN_STEPS) & 255) + walk]
+            for w, nth, row in sampled.get(step, ()):
+                text.take(at[w], out=read[nth, row], mode="clip")
+            low.take(at, out=c, mode="clip")
+            if step >= OWN_STEPS:
+                c += 57 * (step // OWN_STEPS)
+                c &= 255
+            c += walk
+            bits[step % OWN_STEPS].take(c, out=move, mode="clip")
+            at += move
+        keys = np.repeat(np.arange(WALKS * BANDS, dtype=np.uint64)[:, None], len(starts), 1)
+        for some in read:
+            keys ^= some
+            keys *= _SPREAD
+            keys ^= keys >> np.uint64(29)
         return np.ascontiguousarray(mixed(keys).T)
 
     @staticmethod
@@ -178,7 +201,10 @@ class Index:
         out = ends[:-1][sizes > 0] + 1
         long = np.flatnonzero(sizes > LONG_RUN)
         more = [np.flatnonzero(flat >= UNSPACED)] + [np.arange(ends[i] + 1, ends[i + 1]) for i in long]
-        return np.union1d(out, np.concatenate(more)) if any(map(len, more)) else out
+        held = np.zeros(len(flat), bool)
+        for some in (out, *more):
+            held[some] = True
+        return np.flatnonzero(held)
 
     def short_matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, short item, 0, low, high) of the first exact match of each text and item."""
@@ -208,7 +234,7 @@ class Index:
         flat = np.zeros(begins[-1] + longest + GRAM, np.uint32)
         for p, b in zip(coded, begins, strict=False):
             flat[b : b + len(p)] = p
-        owns = self.filter[self.places(flat)]
+        owns, low_bytes = self.filter[self.places(flat)], self.low_bytes(flat)
         hits = np.flatnonzero(owns)
         owns = owns[hits]
         word = self.starts(flat[: begins[-1]])
@@ -216,12 +242,12 @@ class Index:
         places = {bit: hits[(owns >> np.uint32(bit) & np.uint32(1)) > 0] for bit in {one["bit"] for one in self.classes}}
         for one in self.classes:
             starts = word[self.passing(places[one["bit"]], word, one["grams"], one["need"])]
-            for a in range(0, len(starts), 20_000):
-                some = starts[a : a + 20_000]
-                keys = self.embedded(one, flat, some)
-                low, high = (np.searchsorted(one["keys"], keys, side) for side in ("left", "right"))
-                row, col = np.nonzero(high > low)
-                times = (high - low)[row, col]
+            for a in range(0, len(starts), TOGETHER):
+                some = starts[a : a + TOGETHER]
+                keys = self.embedded(one, flat, some, low_bytes)
+                low = np.searchsorted(one["keys"], keys)
+                row, col = np.nonzero(one["keys"][np.minimum(low, len(one["keys"]) - 1)] == keys)
+                times = np.searchsorted(one["keys"], keys[row, col], "right") - low[row, col]
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 parts = one["owner"][np.repeat(low[row, col], times) + nth]
                 for pair in np.unique(np.repeat(some[row], times) * len(self.parts) + parts).tolist():

@@ -572,3 +572,32 @@ def test_kernel_and_toxicity(spark):
     machine = toxicity.train(docs, labels)
     word = lambda w: machine.values([w])[0]
     assert word("idiot") > 2 > word("thing") - 1 and word("idixot") > word("onthe") and word("i.d.i.o.t") == word("idiot")
+
+
+@pytest.mark.parametrize("length", [60, 2500])
+def test_decontamination_keys_are_those_of_a_plain_walk(length):
+    """Walks of many windows at once, also beyond the steps with random bits of their own."""
+    rng = np.random.default_rng(5)
+    item = "".join(chr(c) for c in rng.integers(97, 700, length))
+    index = decontaminate.Index([(1, item)], 0.1)
+    one, bits = index.classes[0], decontaminate.walk_bits()
+    text = np.concatenate([decontaminate.codes("x" + item), np.zeros(2 * length + 2, np.uint32)])
+    starts = np.array([0, 1, 3])
+    got = index.embedded(one, text, starts, index.low_bytes(text))
+    for n, start in enumerate(starts.tolist()):
+        for walk in range(decontaminate.WALKS):
+            at, seen = start, []
+            for step in range(2 * length):
+                seen.append(int(text[at]))
+                more = 57 * (step // decontaminate.OWN_STEPS)
+                at += int(bits[step % decontaminate.OWN_STEPS][(seen[-1] + more & 255) + walk * 256])
+            for band in range(decontaminate.BANDS):
+                key = np.uint64(walk * decontaminate.BANDS + band)
+                for place in one["samples"][walk, band].tolist():
+                    key = np.uint64((int(key) ^ seen[place]) * int(decontaminate._SPREAD) % (1 << 64))
+                    key ^= key >> np.uint64(29)
+                assert got[n, walk * decontaminate.BANDS + band] == decontaminate.mixed(np.array([key]))[0]
+    text = np.concatenate([decontaminate.codes("ab cd  " + "x" * 30 + " あい z"), np.zeros(1, np.uint32)])
+    assert decontaminate.Index.starts(text).tolist() == [0, 3, *range(7, 37), 38, 39, 41]
+    assert decontaminate.may_match("abcdefgh", "xxabcdefghyy", 0) and not decontaminate.may_match("abcdefgh", "xxabcdxefghyy" * 50, 0)
+    assert decontaminate.may_match("abcdefgh", "xxabcdxefghyy", 1)
