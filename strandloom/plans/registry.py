@@ -58,8 +58,8 @@ def _used(spark: SparkSession, d: str, reads=long_reads) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Reads and nodes, both computed once."""
-    used = cut(_used(spark, d), "reads")
+    """Reads and nodes. Reads are spelled again when they are needed, which is less than to write and read them."""
+    used = _used(spark, d)
     return used, cut(G.nodes_grid(used), "nodes")
 
 
@@ -223,7 +223,7 @@ QUERIES = {
     "followed_reads": lambda s, d: (lambda g, a: g.follow(a, 1 << 40))(*_asked(s, d)),
     "followed_upstream": lambda s, d: (lambda g, a: g.follow_upstream(a, 1 << 40))(*_asked(s, d)),
     "followed_once": lambda s, d: (lambda g, a: spelled(g.follow_once(a)))(*_asked(s, d)),
-    "linked_smers_flat": lambda s, d: spelled(_linked(s, d).drop("len"), "target"),
+    "linked_smers_flat": lambda s, d: T.tails(*_nodes(s, d), spelled=True).drop("len"),
     "linked_smer_limited": _limited,
     "read_walks": _read_walks,
     "read_walk_tags": lambda s, d: spelled(_graph(s, d).tags),

@@ -420,3 +420,30 @@ def test_order_keeps_no_filter_and_no_inner_tails(spark, monkeypatch):
     for r in rows.collect():
         classes = list(zip(O.of_growing(r.way).tolist(), O.of_few(r.up).tolist(), strict=True))
         assert len(classes) == len(set(classes)) < len(O.of_few(r.key))
+
+
+def test_marks_are_places_of_kmers_of_one_read(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ACGT", k=n)) for n in (0, 5, 24, 300, 0, 70000, 2, 0)] + ["ACGTNACGTACGTACGTACGTACGTACGTNNACGATCAGCATCGACTAGC"]
+    for k in (3, 15, 23, 31):
+        data, low, high = P.texts_of(pa.array(texts))
+        read, pos, forward, reverse = (np.concatenate(x) for x in zip(*P.places(data, low, high, k)))
+        at, node = P.marked(data, low, high, k, None), np.minimum(forward, reverse)
+        assert (at == low[read] + pos).all() and (P.ids_at(data, at, k)[0] == forward).all()
+        assert not P.ids_at(data, np.arange(high[-1] - k + 1), k)[1].all()
+        held = P.Filter(1 << 10, slices=4)
+        held.put(node[::50])
+        assert (P.marked(data, low, high, k, held) == at[held.may_hold(node)]).all() and held.may_hold(node[::50]).all()
+        assert P.strings_of(forward[:9], k).to_pylist() == [texts[r][p : p + k] for r, p in zip(read[:9], pos[:9])]
+
+
+def test_reads_are_searched_once(spark, monkeypatch):
+    """linked_smers_flat failed by time: each place of a read was made a k-mer for the nodes, and looked up two times."""
+    seen = []
+    monkeypatch.setattr(P, "places", lambda *a: seen.append(a))
+    monkeypatch.setattr(registry, "spelled", lambda *a: seen.append(a))
+    test_queries_equal_their_sql(spark, "linked_smers_flat")
+    used = G.filtered(spark.createDataFrame(list(enumerate(READS)), "read_id long, seq string"))
+    blob = G.grouped(used.coalesce(1)).first()
+    n, marks = sum(map(len, READS)), np.unpackbits(np.frombuffer(blob.marks, np.uint8))
+    assert not seen and len(blob.marks) == -(-n // 8) and marks.sum() == n - 22 * len(READS)
