@@ -83,7 +83,7 @@ def _ordered(spark: SparkSession, d: str) -> PackedOrder:
 
 
 def _graph(spark: SparkSession, d: str) -> Graph:
-    return Graph.build(_tagged(spark, d))
+    return Graph.build(_tagged(spark, d), again=True)
 
 
 def _asked(spark: SparkSession, d: str) -> tuple[Graph, DataFrame]:

@@ -447,3 +447,21 @@ def test_reads_are_searched_once(spark, monkeypatch):
     blob = G.grouped(used.coalesce(1)).first()
     n, marks = sum(map(len, READS)), np.unpackbits(np.frombuffer(blob.marks, np.uint8))
     assert not seen and len(blob.marks) == -(-n // 8) and marks.sum() == n - 22 * len(READS)
+
+
+def test_freed_removes_the_last_shuffle(spark):
+    """sequence_ends and edge_transitions failed by disk: the scheduler held the job before, and so its shuffle's files."""
+    import subprocess
+    import time
+
+    from strandloom.operators import lineage
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    most = lambda: max([0, *map(int, subprocess.run(["find", folder, "-name", "shuffle_*.data", "-printf", "%s\n"], capture_output=True, text=True).stdout.split())])
+    lineage.cut(spark.range(2_000_000).selectExpr("hash(id) AS x").repartition(4, "x"))
+    before = most()
+    lineage.freed(spark)
+    until = time.time() + 20
+    while most() >= before and time.time() < until:
+        time.sleep(0.2)
+    assert before > 1_000_000 > most()
