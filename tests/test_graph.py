@@ -13,6 +13,7 @@ from strandloom.graph import Graph, GraphConfig
 from strandloom.operators import graph as G
 from strandloom.operators import packed_routes as O
 from strandloom.operators import packed_tails as T
+from strandloom.operators import packed_walks as O_W
 from strandloom.operators import retrieval as O_R
 from strandloom.operators import routing as W
 from strandloom.operators.lineage import spread
@@ -494,3 +495,54 @@ def test_stats_are_not_joined(spark, reads, monkeypatch):
     got = Graph.build(reads).stats()
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.smer for r in got.collect()) == smer([r.node for r in G.nodes_grid(G.filtered(reads)).orderBy("node").collect()])
+
+
+@pytest.mark.parametrize("together, chunk", [(1 << 24, 1 << 20), (40, 64), (1, 1 << 20)])
+def test_saved_graphs_are_walked_without_joins(spark, tmp_path, monkeypatch, together, chunk):
+    """Of a saved graph in many parts, lists followed in one task, made shorter before, or to one route each."""
+    draw = random.Random(7)
+    core = ["".join(draw.choices("ACGT", k=n)) for n in (40, 90, 300, 700)]
+    texts = READS + core + [S_revcomp(core[1]), core[2], core[1] + core[3], core[3][100:400], "AC" * 60, "A" * 120, core[0] + "A" * 50]
+    reads = spark.createDataFrame([(i - 5, s, f"t{i}" if i % 3 else None) for i, s in enumerate(texts)], "read_id long, seq string, tag string")
+    g = Graph.build(reads, config=GraphConfig(15, 11))
+    want = {n: sorted(map(tuple, g.tables[n].select(sorted(g.tables[n].columns)).collect())) for n in ("tails", "routes", "tags")}
+    rows = sorted(map(tuple, W.walks(g.positions, g.trace, 15).collect()))
+    for module, name, value in ((O_W, "PART_NODES", 8), (O_W, "TOGETHER", together), (O_W, "CHUNK", chunk), (O_W, "DEALT", 7), (O, "PART_NODES", 8)):
+        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(W, "traced", None)
+    monkeypatch.setattr(T, "tails", None)
+    Graph.build(reads, config=GraphConfig(15, 11)).save(str(tmp_path / "g"))
+    again = Graph.load(spark, str(tmp_path / "g"))
+    for n, held in want.items():
+        assert sorted(map(tuple, again.tables[n].select(sorted(again.tables[n].columns)).collect())) == held
+    assert sorted(map(tuple, again.walks().collect())) == rows and sorted(r[-1] for r in rows) == sorted(texts)
+
+
+def test_walks_of_no_routes_and_of_long_tails(spark):
+    none = spark.createDataFrame([], O.RUNS)
+    assert O_W.walks(none, 0).count() == 0
+    reads = spark.createDataFrame([(1, "ACGTTGCA" * 6 + "C" * 60)], "read_id long, seq string")
+    nodes = spark.createDataFrame([(r.node,) for r in G.kmers(reads.withColumn("m", F.length("seq") - 23)).where("pos = 3").collect()], "node long")
+    g = Graph({"nodes": nodes}).route(reads)
+    assert O_W.walks(g.routes, 1) is None and [r.seq for r in g.walks().collect()] == ["ACGTTGCA" * 6 + "C" * 60]
+
+
+def test_follow_lists():
+    """A list that goes round is left out; few lists are followed one by one."""
+    order = np.random.default_rng(1).permutation(400)
+    prev, after = np.full(400, -1, np.int32), np.full(400, -1, np.int32)
+    ends = [0, 5, 6, *range(20, 60, 2), 300, 390]
+    for a, b in zip(ends[:-1], ends[1:]):
+        prev[order[a + 1 : b]] = order[a : b - 1]
+    prev[order[390:]] = np.roll(order[390:], 1)
+    weight = np.arange(400) % 3 + 1
+    after[prev[prev >= 0]] = np.flatnonzero(prev >= 0)
+    for w in (None, weight):
+        slot, begin = O_W.follow(after, np.flatnonzero(prev < 0), w)
+        assert (slot[order[390:]] == -1).all() and len(begin) == len(ends) - 1
+        one = np.ones(400, int) if w is None else w
+        taken = np.concatenate([np.arange(s, s + n) for s, n in zip(slot[order[:390]], one[order[:390]])])
+        assert sorted(taken) == list(range(one[order[:390]].sum()))
+        on = np.flatnonzero(prev >= 0)
+        on = on[slot[on] >= 0]
+        assert (slot[on] == slot[prev[on]] + one[prev[on]]).all()
